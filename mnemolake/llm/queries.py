@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, exact_dedup, license_scan, secret_scan, token_files, toxicity
+from mnemolake.llm import bpe, exact_dedup, license_scan, secret_scan, substring_dedup, token_files, toxicity
 from mnemolake.llm.common import read_table
 
 SPEC = "byte_bpe_50k.json"
@@ -52,6 +52,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(read_table(spark, sf_dir, "documents"), public_tokenizers.path(SPEC), END_ID))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from mnemolake.llm.common import id_and_text, map_batches, materialize, small_batches
 
 #: Labelled texts to fit on, at most.
-SAMPLE = 20_000
+SAMPLE = 6_000
 #: Terms of toxic texts that are looked at, at most: the most frequent ones.
 CANDIDATES = 200_000
 #: Terms in the lexicon, at most; lengths of stems; texts that must hold a term.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, exact_dedup, license_scan, secret_scan, substring_dedup, token_files, toxicity
+from mnemolake.llm import bpe, decontaminate, exact_dedup, license_scan, secret_scan, substring_dedup, token_files, toxicity
 from mnemolake.llm.common import read_table
 
 SPEC = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     of = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, decontaminate, exact_dedup, license_scan, secret_scan, substring_dedup, token_files, toxicity
+from mnemolake.llm import bpe, chosen_path, decontaminate, exact_dedup, license_scan, secret_scan, substring_dedup, token_files, toxicity
 from mnemolake.llm.common import read_table
 
 SPEC = "byte_bpe_50k.json"
@@ -61,6 +61,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_classes(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/mnemolake"
 
 
+#: Tables that materialize() has written, in order.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage through a Parquet table in the shared folder: a lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished steps
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._table_path)
+
+
+@contextmanager
+def tables_written(spark: SparkSession, forget: Iterable[str] = ()) -> Iterator[list[str]]:
+    """Gathers the paths of tables that are written meanwhile; those in `forget` are deleted first."""
+    for path in forget:
+        _delete(spark, path)
+    mark, own = len(_WRITTEN), []
+    try:
+        yield own
+    finally:
+        own += _WRITTEN[mark:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:

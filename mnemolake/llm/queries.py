@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, chosen_path, decontaminate, exact_dedup, license_scan, secret_scan, substring_dedup, token_files, toxicity
+from mnemolake.llm import bpe, chosen_path, decontaminate, exact_dedup, license_scan, line_dedup, secret_scan, substring_dedup, token_files, toxicity
 from mnemolake.llm.common import read_table
 
 SPEC = "byte_bpe_50k.json"
@@ -46,6 +46,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(read_table(spark, sf_dir, "documents")).select("doc_id", *(of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), _sha(joined(base)).alias("base_sha256"), joined(found).alias("spans"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))

@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemolake.llm.common import id_and_text, map_batches, materialize, small_batches
+from mnemolake.llm.common import id_and_text, map_batches, materialize, small_batches, string_buffers
+from mnemolake.llm.words import grams, not_white
+from mnemolake.llm.words import words as words_of
 
 #: Labelled texts to fit on, at most.
 SAMPLE = 6_000
@@ -57,10 +59,8 @@ class Trie:
                 for c in term:
                     node = node[0].setdefault(c, [{}, None, None])
                 node[kind] = weight
-        self.heads = {w[: len(w) // 2] for w in words if len(w) >= 5}
-        self.tails = {w[len(w) // 2 :] for w in words if len(w) >= 5}
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
+        self.words = {w for w in words if len(w) >= 5}
+        self.shorter = {w[:i] + w[i + 1 :] for w in self.words for i in range(len(w))}
 
     def exact(self, word: str) -> tuple[float, str] | None:
         """Weight and kind of the word, or of its longest stem."""
@@ -76,9 +76,9 @@ class Trie:
     def near(self, word: str) -> tuple[float, str] | None:
         """The heaviest word of the lexicon at distance 1: a whole term of five letters or more.
 
-        One edit leaves the term's first or second half whole, so a word without any half isn't walked."""
+        Only words that share a single deletion with a term are walked."""
         n = len(word)
-        if n < 4 or not (any(word[:k] in self.heads for k in self.head_sizes) or any(word[n - k :] in self.tails for k in self.tail_sizes if k <= n)):
+        if n < 4 or not (word in self.shorter or any((d := word[:i] + word[i + 1 :]) in self.shorter or d in self.words for i in range(n))):
             return None
         best = None
         # the automaton's state: distances of the word's prefixes to the path, of which those up to 1 matter
@@ -154,9 +154,9 @@ class Model:
         top = 0.0
         for _, _, weight, kind, quoted in hits:
             own["quoted" if quoted else kind] += weight
-            top = max(top, 0.0 if quoted else weight)
+            top = max(top, weight if kind != "near" and not quoted else 0.0)
         sums = [math.log1p(own[k]) for k in ("exact", "stem", "near", "quoted")]
-        return [*sums, top, float(top > 0), math.log1p(sum(own.values()) * 600 / max(size, 6))]
+        return [*sums, top, float(top > 0), math.log1p((own["exact"] + own["stem"]) * 600 / max(size, 6))]
 
     def score_of(self, hits, size: int) -> float:
         z = self.weights[-1] + sum(w * x for w, x in zip(self.weights, self.features_of(hits, size)))
@@ -205,15 +205,22 @@ def _part(seen: float, expected: float) -> float:
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1.0) -> list[float]:
-    """Logistic regression by Newton's method; the last weight is the constant."""
+    """Logistic regression by Newton's method; the last weight is the constant. Hits never count against toxicity:
+    weights that would be negative are 0."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(len(w))
-    penalty[-1, -1] = 1e-3
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
-    return [float(v) for v in w]
+    live = np.ones(x.shape[1], bool)
+    while True:
+        w, own = np.zeros(x.shape[1]), x[:, live]
+        penalty = ridge * np.eye(own.shape[1])
+        penalty[-1, -1] = 1e-3
+        v = w[live]
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(own @ v, -30, 30)))
+            v = v - np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + penalty, own.T @ (p - y) + penalty @ v)
+        w[live] = v
+        if not (w[:-1] < 0).any():
+            return [float(c) for c in w]
+        live[:-1] &= w[:-1] > 0
 
 
 def learn(texts: list[str], toxic: list[int]) -> Model:
@@ -233,6 +240,14 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
+def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds the smallest hash of a text's shingles of five words."""
+    _, _, h, first = words_of(*string_buffers(batch.column(0)), not_white())
+    g = grams(h, 5, 51)
+    key = [int((g[i : j - 4] if j - i >= 5 else h[i:j] if j > i else np.zeros(1, np.uint64)).min().astype(np.int64)) for i, j in zip(first.tolist(), first[1:].tolist())]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64())], ["text", "toxic", "shingle"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on a bounded sample of the labelled texts that aren't held out: those whose ids hash lowest."""
     spark = docs.sparkSession
@@ -243,7 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         near = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, 1.2 * sample / total)))
     chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` ids travel
-    rows = materialize(id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
+    sampled = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # copies of a text, near ones too, would make terms of all its words: one text stays for each smallest shingle
+    rows = materialize(map_batches(sampled, _keyed, "text string, toxic int, shingle long").dropDuplicates(["toxic", "shingle"]).select("text", "toxic"), "toxicity-sample")
     count = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
 
     def count_terms(wanted: set[str] | None):
@@ -271,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([own.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    got = rows.mapInArrow(measure, "x array<double>, toxic int").orderBy("toxic", "x").collect()
+    got = sorted(rows.mapInArrow(measure, "x array<double>, toxic int").collect())
     model.weights = fit(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float))
     return model
 

@@ -248,7 +248,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id
         order = np.argsort(bucket, kind="stable")
         begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
         some = [i for i in range(buckets) if begin[i] < begin[i + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([name] * len(some)), pa.array([pack(order[begin[i] : begin[i + 1]]) for i in some], pa.binary())], ["bucket", "batch", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([name] * len(some), pa.string()), pa.array([pack(order[begin[i] : begin[i + 1]]) for i in some], pa.binary())], ["bucket", "batch", "blob"])
 
     def ask_symbols(rows):
         for batch in rows:

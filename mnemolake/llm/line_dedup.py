@@ -28,6 +28,8 @@ from mnemolake.llm.words import U64, _powers_of, mix, seeds, table, words
 
 #: Edits, the shortest lines that are compared by distance, and the lines of a segment that are compared in pairs.
 THRESHOLD, LEAST, BUCKET = 1, 24, 48
+#: Lines to compare that may travel to all workers (16 bytes each); beyond that the texts of all lines are shuffled.
+FEW = 1_000_000
 
 
 def within(a: bytes, b: bytes, most: int) -> bool:
@@ -236,7 +238,8 @@ def _removed(docs: DataFrame, threshold: int, least: int, bucket: int) -> DataFr
         discard(keys, sizes)
         ends = pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("h1"), F.col("x2").alias("h2")), F.struct(F.col("y1").alias("h1"), F.col("y2").alias("h2")))).alias("e")).select("e.*")
         wanted = materialize(ends.unionByName(hot).distinct(), "lines-to-compare")
-        contents = materialize(_texts(docs, wanted), "line-contents")
+        few = wanted.count() <= FEW
+        contents = materialize(_texts(docs, F.broadcast(wanted) if few else wanted.hint("shuffle_hash")), "line-contents")
         near = _near_pairs(pairs, contents, threshold)
         at = lambda a, b, name: firsts.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("place").alias(name))
         later = near.join(at("x1", "x2", "px"), ["x1", "x2"]).join(at("y1", "y2", "py"), ["y1", "y2"])

@@ -76,12 +76,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Removes the characters of [\x20\x09-\x0D].
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
+#: Words between those characters.
+_SPLIT = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _template_rows() -> str:
+    """The templates' grams as SQL rows: gram, template, at, length, base, label."""
+    k = license_scan.K
+    rows = [f"('{' '.join(w[i : i + k])}', {n}, {i}, {len(w)}, {base}, '{label}')" for n, base, label, w in license_scan.templates() for i in range(len(w) - k + 1)]
+    return ", ".join(rows)
+
 
 ORACLE_SQL = {
+    "op2_license_scan": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda p: {{'p': p - 1, 'gram': w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]}})) AS s FROM d WHERE len(w) >= 3),
+        t(gram, template, pos, length, base, label) AS (VALUES {_template_rows()}),
+        v AS (SELECT doc_id, template, base, label, length, pos, s.p - pos AS diagonal FROM g JOIN t ON s.gram = t.gram),
+        r AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER w > CASE WHEN base THEN 0 ELSE {license_scan.NEAR} END), true)::INT AS new FROM v WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal, pos)),
+        n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal, pos) AS run FROM r),
+        m AS (SELECT doc_id, base, label, min(diagonal + pos) AS start, count(DISTINCT pos) / (any_value(length) - 2) AS score FROM n GROUP BY doc_id, template, run, base, label),
+        k AS (SELECT * FROM m WHERE score >= CASE WHEN base THEN 1.0 ELSE {license_scan.ENOUGH} END)
+        SELECT d.doc_id, len(w) AS n_words, count(k.doc_id) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+               coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels, coalesce(max(score), 0)::DOUBLE AS score
+        FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, len(w)
+    """,
     "op3_exact_dedup": f"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, {_NORMAL} AS body FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id)
     """,
+    "op9_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+        g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {substring_dedup.WINDOW - 2}), lambda p: {{'p': p, 'g': array_to_string(list_slice(w, p, p + {substring_dedup.WINDOW - 1}), ' ')}})) AS s FROM d WHERE len(w) >= {substring_dedup.WINDOW}),
+        f AS (SELECT doc_id, s.p AS p, row_number() OVER (PARTITION BY s.g ORDER BY doc_id, s.p) > 1 AS late FROM g),
+        r AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(p, p + {substring_dedup.WINDOW})) AS i FROM f WHERE late) GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
+    "op10_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(list_slice(w, p, p + 4), ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+        k AS (SELECT doc_id, sh, min(doc_id) OVER (PARTITION BY sh) AS rep FROM s),
+        x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM k WHERE doc_id = rep),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= {chosen_path.LEAST} * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        walk AS (SELECT DISTINCT a AS node, a AS there FROM e UNION SELECT node, e.b FROM walk JOIN e ON walk.there = e.a),
+        c AS (SELECT node, min(there) AS low FROM walk GROUP BY 1),
+        n AS (SELECT a AS node, count(*) AS links FROM e GROUP BY 1)
+        SELECT doc_id, coalesce(low, rep) AS class_id, coalesce(links, 0) AS n_links, len(sh) AS n_shingles FROM k LEFT JOIN c ON c.node = rep LEFT JOIN n ON n.node = rep
+    """,
 }

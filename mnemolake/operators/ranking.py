@@ -12,7 +12,7 @@ from mnemolake.functions import vectors as V
 K1, B, RRF_K, DIGITS = 1.5, 0.75, 60, 6
 
 
-def _top(df: DataFrame, per: list[str], k: int, *order: Column) -> DataFrame:
+def top(df: DataFrame, per: list[str], k: int, *order: Column) -> DataFrame:
     """The first k rows of each group with their rank; Spark limits each group before it shuffles."""
     w = Window.partitionBy(*per).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -44,7 +44,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **columns: str) -> DataFrame:
     """query_id, doc_id, score, rank: ties by doc_id."""
-    return _top(bm25_scores(docs, queries, **columns), ["query_id"], k, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
+    return top(bm25_scores(docs, queries, **columns), ["query_id"], k, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
 
 
 def bm25_or_fallback(docs: DataFrame, queries: DataFrame, k: int = 10, **columns: str) -> DataFrame:
@@ -52,7 +52,7 @@ def bm25_or_fallback(docs: DataFrame, queries: DataFrame, k: int = 10, **columns
     scored = bm25_scores(docs, queries, **columns).withColumn("whole", F.col("matched") == F.col("asked"))
     any_whole = F.max("whole").over(Window.partitionBy("query_id"))
     chosen = scored.withColumn("any_whole", any_whole).filter(F.col("whole") | ~F.col("any_whole"))
-    ranked = _top(chosen, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
+    ranked = top(chosen, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
     return ranked.select("query_id", "doc_id", "score", "rank", F.when(F.col("any_whole"), "and").otherwise("or").alias("mode"))
 
 
@@ -63,7 +63,7 @@ def bm25f_topk(docs: DataFrame, queries: DataFrame, weights: dict[str, float], k
         one = bm25_scores(docs, queries, doc_id, field, query_text).select("query_id", "doc_id", (F.col("score") * weight).alias("score"))
         parts = one if parts is None else parts.unionByName(one)
     scored = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
-    return _top(scored, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
+    return top(scored, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, group: str |
     c = corpus.withColumn("unit", V.l2_normalize("vec"))
     q = queries.select("query_id", V.l2_normalize("vec").alias("asked"))
     scored = c.join(q).select("query_id", *([group] if group else []), "id", F.round(V.dot("unit", "asked"), DIGITS).alias("score"))
-    return _top(scored, ["query_id", *([group] if group else [])], 1 if group else k, F.desc("score"), F.asc("id"))
+    return top(scored, ["query_id", *([group] if group else [])], 1 if group else k, F.desc("score"), F.asc("id"))
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, keys: tuple[str, str] = ("query_id", "doc_id"), k: int | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def rrf(lists: list[DataFrame], weights: list[float] | None = None, keys: tuple[
         part = one.select(*keys, (F.lit(float(weight)) / (RRF_K + F.col("rank"))).alias("part"))
         parts = part if parts is None else parts.unionByName(part)
     fused = parts.groupBy(*keys).agg(F.round(F.sum("part"), 9).alias("score"), F.count("*").alias("found_by"))
-    return _top(fused, [keys[0]], k or 1_000_000_000, F.desc("score"), F.asc(keys[1]))
+    return top(fused, [keys[0]], k or 1_000_000_000, F.desc("score"), F.asc(keys[1]))
 
 
 def recency_factor(age_days: Column, half_life_days: float) -> Column:
@@ -133,7 +133,7 @@ def why(lex: Column, sem: Column, graph: Column) -> Column:
 def mmr(df: DataFrame, k: int, weight: float = 0.5, normalize: bool = True, pool: int = 50) -> DataFrame:
     """Maximal marginal relevance of query_id, id, score, vec: greedily weight * relevance - (1 - weight) * closest
     chosen cosine. Relevance is scaled to 0..1 with normalize. A pool has at most `pool` rows a query, the best ones."""
-    small = _top(df, ["query_id"], pool, F.desc("score"), F.asc("id")).drop("rank")
+    small = top(df, ["query_id"], pool, F.desc("score"), F.asc("id")).drop("rank")
 
     def order(pdf):
         import numpy as np
@@ -163,7 +163,7 @@ def mmr(df: DataFrame, k: int, weight: float = 0.5, normalize: bool = True, pool
 def greedy_near_dup(df: DataFrame, least: float = 0.92, pool: int = 2000) -> DataFrame:
     """group, id, rank, vec: in rank order, a row goes if its cosine with a row that stays reaches `least`. Groups are
     rankings of at most `pool` rows."""
-    small = _top(df.withColumnRenamed("rank", "place"), ["group"], pool, F.asc("place"), F.asc("id")).drop("rank")
+    small = top(df.withColumnRenamed("rank", "place"), ["group"], pool, F.asc("place"), F.asc("id")).drop("rank")
 
     def keep(pdf):
         import numpy as np

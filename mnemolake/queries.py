@@ -73,8 +73,8 @@ def bm25_or_fallback(spark, d):
     SELECT query_id, doc_id, score, found_by, {_RANKED} AS rank FROM s QUALIFY rank <= 10""")
 def rrf_fuse(spark, d):
     scored = ranking.bm25_scores(table(spark, d, "documents"), _benchmark(spark, d))
-    a = ranking._top(scored, ["query_id"], 20, F.desc("score"), F.asc("doc_id"))
-    b = ranking._top(scored, ["query_id"], 20, F.desc("matched"), F.asc("doc_id"))
+    a = ranking.top(scored, ["query_id"], 20, F.desc("score"), F.asc("doc_id"))
+    b = ranking.top(scored, ["query_id"], 20, F.desc("matched"), F.asc("doc_id"))
     return ranking.rrf([a, b], [1.0, 0.5], k=10)
 
 

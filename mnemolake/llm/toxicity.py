@@ -139,7 +139,7 @@ class Model:
     @staticmethod
     def _quoted(text: str, start: int, end: int) -> bool:
         """Whether the window around a term shows it as quoted: marks on both sides, or one mark and a word of reporting."""
-        left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+        left, right = text[max(0, start - CONTEXT) : start + 1], text[end - 1 : end + CONTEXT]  # with a letter of the term each
         # of marks on one side an odd number is open; apostrophes within words are none
         opened = len(re.findall(rf"(?<!\w)[{QUOTES}]", left)) - len(re.findall(rf"[{QUOTES}](?!\w)", left)) > 0
         closed = len(re.findall(rf"[{QUOTES}](?!\w)", right)) - len(re.findall(rf"(?<!\w)[{QUOTES}]", right)) > 0

@@ -25,9 +25,9 @@ def words(text: Column | str) -> Column:
 
 
 def tokenize(text: Column | str, stopwords: list[str] | None = STOPWORDS) -> Column:
-    """Words of more than one character that aren't stop words."""
-    drop = F.array(*map(F.lit, stopwords or [""]))
-    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~F.array_contains(drop, w))
+    """Words of more than one character that aren't stop words: one pattern, so that no word is looked up in a list."""
+    drop = rf"(?!(?:{'|'.join(stopwords)})(?![\p{{L}}\p{{N}}]))" if stopwords else ""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}]){drop}[\p{{L}}\p{{N}}]{{2,}}"), F.lit(0))
 
 
 def token_estimate(text: Column | str) -> Column:

@@ -129,8 +129,9 @@ def lines_by_hand(rows, least):
 
 
 @pytest.mark.parametrize("bucket", [1000, 3])
-def test_lines(spark, bucket):
-    """By pairs, and with all segments hot."""
+def test_lines(spark, bucket, monkeypatch):
+    """By pairs, and with all segments hot and all lines shuffled."""
+    monkeypatch.setattr(line_dedup, "FEW", 0 if bucket == 3 else line_dedup.FEW)
     r = random.Random(6)
     base = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (10, 24, 25, 30, 41, 60)]
     rows = [(i, "\n".join(changed(r, r.choice(base), r.choice([0, 0, 1, 1, 2]), "abcé") if r.random() < 0.8 else "" for _ in range(r.randint(0, 6)))) for i in range(70)] + [(500, None), (501, "")]
@@ -170,7 +171,8 @@ def classes_by_hand(rows):
 
 
 @pytest.mark.parametrize("bucket", [40, 3])
-def test_near_classes(spark, bucket):
+def test_near_classes(spark, bucket, monkeypatch):
+    monkeypatch.setattr(chosen_path, "FEW", 0 if bucket == 3 else chosen_path.FEW)
     r = random.Random(7)
     rows = []
     for i in range(120):

@@ -119,8 +119,8 @@ def _places(docs: DataFrame) -> DataFrame:
     """doc, text_hash, h1, h2, line: every line that isn't empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, _, h, _, line, doc = _lines(batch.column(2), 41)
-        other = _lines(batch.column(2), 42)[4]
+        _, data, start, end, h, _, line, doc = _lines(batch.column(2), 41)
+        other = _Spans(data, 42)(start, end)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(h.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array(line)], ["doc", "text_hash", *_ID, "line"])
 
     return map_batches(docs, run, "doc long, text_hash long, h1 long, h2 long, line long")
@@ -131,7 +131,7 @@ def _keys(docs: DataFrame, threshold: int, least: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, data, start, end, h1, _, _, _ = _lines(batch.column(2), 41)
-        h2 = _lines(batch.column(2), 42)[4]
+        h2 = _Spans(data, 42)(start, end)
         _, once = np.unique(h1 ^ mix(h2), return_index=True)
         once = once[(end - start)[once] >= least]
         start, end, h1, h2 = start[once], end[once], h1[once], h2[once]
@@ -158,7 +158,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, data, start, end, h, _, _, _ = _lines(batch.column(2), 41)
-        other, whole = _lines(batch.column(2), 42)[4], data.tobytes()
+        other, whole = _Spans(data, 42)(start, end), data.tobytes()
         return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array([whole[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())], [*_ID, "content"])
 
     return map_batches(docs, run, "h1 long, h2 long, content binary").join(wanted, _ID, "left_semi").groupBy(*_ID).agg(F.first("content").alias("content"))

@@ -5,8 +5,9 @@ each run a set descends a tree: at a path it takes each of its shingles with pro
 hash of path and shingle, so that sets at one path take the same shared shingles. Two sets of similarity LEAST share one
 chosen shingle on average; a branching process tells how likely they meet at any depth, and the runs are repeated until
 the target recall. Buckets (sets at one path) of up to BUCKET sets are compared pair by pair; larger ones are split by
-going down. Sets that are still many at the last level are, but for chance, copies of one another: each is compared with
-a pivot of its bucket, another one in each bucket. Pairs pass one-bit minwise sketches, then the exact sets are compared.
+going down. Sets that are still many at the last level are copies of one another or share a passage: all pairs of such a
+bucket are compared by their sketches, block against block, so the recall holds there too. Pairs pass one-bit minwise
+sketches, then the exact sets are compared. The work on a dense bucket grows with the square of its sets, as its links do.
 
 A class is a connected component of the links; n_links counts the verified links of a document's representative.
 
@@ -34,6 +35,8 @@ LEVELS, BUCKET = 3, 40
 SKETCH, SLACK = 4, 4.0
 #: Documents to compare that may travel to all workers (40 bytes each); beyond that the texts of all are shuffled.
 FEW = 1_000_000
+#: Sets in a block of a bucket that is still large at the last level; a task holds two blocks.
+BLOCK = 1000
 
 
 def meets(levels: int, mean: float = 1.0) -> float:
@@ -112,10 +115,44 @@ def records(df: DataFrame, runs: int, levels: int, id_col: str, text_col: str) -
     return map_batches(id_and_text(df, id_col, text_col), run, "doc_id long, node long, n long, fp long, fp2 long, sketch array<long>, paths array<struct<path:long,parent:long,level:int>>")
 
 
+def most_bits(least: float) -> float:
+    """Bits in which the sketches of a pair may differ."""
+    share = (1 + least) / 2
+    return 64 * SKETCH * (1 - share + SLACK * math.sqrt(share * (1 - share) / (64 * SKETCH)))
+
+
+def block_pairs(members: DataFrame, least: float) -> DataFrame:
+    """a < b: pairs of each path whose sizes and sketches are near enough. members: path, size (of the bucket), node, n,
+    sketch. A bucket is cut into blocks, and each two blocks meet in a group of their own."""
+    most = most_bits(least)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "path"), "blocks").cast("int"))
+    met = cut.select("path", "own", "node", "n", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "sketch")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, n, own = (group.column(c).to_numpy() for c in ("node", "n", "own"))
+        marks = np.array(group.column("sketch").to_pylist(), np.int64).view(U64)  # bits of a negative number are counted of its absolute value
+        left = np.flatnonzero(own == group.column("i")[0].as_py())
+        same = group.column("i")[0] == group.column("j")[0]
+        right = left if same else np.flatnonzero(own != own[left[0]]) if len(left) else left
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, x in enumerate(left.tolist()):
+            y = right[at + 1 :] if same else right
+            y = y[np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x])]
+            y = y[np.bitwise_count(marks[y] ^ marks[x]).sum(axis=1) <= most]
+            out_a.append(np.minimum(node[y], node[x]))
+            out_b.append(np.maximum(node[y], node[x]))
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return met.groupBy("path", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def candidates(sets: DataFrame, levels: int, bucket: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
-    """a < b: pairs of nodes that some bucket brings together, and the tables they are made from. sets: node, n, paths."""
+    """a < b: pairs of nodes that some bucket brings together, and the tables they are made from. sets: node, n, sketch,
+    paths."""
     rows = materialize(sets.select("node", "n", F.explode("paths").alias("p")).select("node", "n", "p.*"), "paths")
-    sizes = materialize(rows.groupBy("path").agg(F.count("*").alias("size"), F.max("level").alias("level"), F.min_by("node", F.xxhash64("node", "path")).alias("pivot"), F.min_by("n", F.xxhash64("node", "path")).alias("pivot_n")).filter("size > 1"), "buckets")
+    sizes = materialize(rows.groupBy("path").agg(F.count("*").alias("size"), F.max("level").alias("level")).filter("size > 1"), "buckets")
     large = sizes.filter(F.col("size") > bucket)
     below = rows.filter("level > 1").join(large.select(F.col("path").alias("parent")), "parent", "left_semi")
     live = rows.filter("level = 1").unionByName(below)
@@ -125,16 +162,15 @@ def candidates(sets: DataFrame, levels: int, bucket: int, least: float) -> tuple
     own = small.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("own"))
     two = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("m"), y["n"].alias("n")))))
     pairs = own.select(F.explode(F.filter(two, lambda t: alike(t["m"], t["n"]))).alias("t")).select("t.a", "t.b")
-    last = live.filter(F.col("level") == levels).join(large.filter(F.col("level") == levels).select("path", "pivot", "pivot_n"), "path")
-    stars = last.filter((F.col("node") != F.col("pivot")) & alike(F.col("n"), F.col("pivot_n"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    return pairs.unionByName(stars).filter("a < b").distinct(), [rows, sizes]
+    last = live.filter(F.col("level") == levels).select("path", "node").join(large.filter(F.col("level") == levels).select("path", "size"), "path")
+    dense = block_pairs(last.join(sets.select("node", "n", "sketch"), "node"), least)
+    return pairs.unionByName(dense).filter("a < b").distinct(), [rows, sizes]
 
 
 def links(df: DataFrame, sets: DataFrame, pairs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     """a, b, similarity of the pairs whose exact sets are similar enough."""
     bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    share = (1 + least) / 2
-    most = 64 * SKETCH * (1 - share + SLACK * math.sqrt(share * (1 - share) / (64 * SKETCH)))
+    most = most_bits(least)
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
     near = materialize(one.join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").filter(bits <= most).select("a", "b").distinct(), "near-pairs")
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()

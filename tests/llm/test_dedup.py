@@ -199,3 +199,30 @@ def test_near_classes(spark, bucket, monkeypatch):
 def test_runs_reach_the_recall():
     n = chosen_path.runs_for(0.98, 3)
     assert 1 - (1 - chosen_path.meets(3)) ** n >= 0.98 > 1 - (1 - chosen_path.meets(3)) ** (n - 1)
+
+
+def test_links_of_dense_groups(spark, monkeypatch):
+    """n_links of different near copies, and of pairs among many documents that share a passage, with small blocks."""
+    monkeypatch.setattr(chosen_path, "BLOCK", 64, raising=False)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(110)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        words[i % 100] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    passage = [f"p{i}" for i in range(60)]
+    for i in range(200, 320, 2):
+        own = [f"q{r.random()}" for _ in range(60)]
+        rows += [(i, " ".join(passage + own)), (i + 1, " ".join(passage + own[:-1] + ["end"]))]
+    sets = {i: shingles(t) for i, t in rows}
+    want = Counter()
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.update((i, j))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_links for x in chosen_path.near_classes(df).collect()}
+    assert all(got[i] <= want[i] for i in sets) and min(want[i] for i in range(200)) == 199
+    for group in (range(200), range(200, 320)):
+        assert sum(got[i] for i in group) >= 0.95 * sum(want[i] for i in group)

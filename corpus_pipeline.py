@@ -39,8 +39,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, but for an edit, go; documents stay, if need be without text."""
-    out = line_dedup.dedup_lines(docs, keep_rows=True).select("row.*", "kept")
+    """Lines that repeat an earlier line, but for a few edits, go; documents stay, if need be without text."""
+    out = line_dedup.dedup_lines(docs, line_dedup.EDITS, keep_rows=True, points=True).select("row.*", "kept")
     own = {"text": F.when(F.col("text").isNotNull(), F.col("kept")), "n_chars": F.when(F.col("text").isNotNull(), F.length("kept")).cast("long")}
     return out.select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
 

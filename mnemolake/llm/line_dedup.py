@@ -2,12 +2,13 @@
 
 Lines within an edit distance of the threshold share one of threshold + 1 segments: a line is indexed by its segments
 under its length, and probes the indexes of its own and of shorter lengths with its substrings at the places an edit
-can move a segment to. Lines that meet are verified with a banded bit-parallel edit distance. A segment that very many
-lines share (hot) would make all their pairs; those lines are told apart by their single deletions instead, of which
-only the earliest line is kept, so the cost grows with the lines.
+can move a segment to. Lines that meet are verified with a banded bit-parallel edit distance. The lines of a segment that
+very many share (hot) are compared block against block where they meet, after a look at the parities of their
+characters' counts; only the later lines leave, but the work grows with the square of such a segment's lines.
 
-A line is what stands between line feeds; distances count bytes of UTF-8. Only lines of LEAST bytes or more are
-compared by distance; equal lines are found at any length. Of the places of a line the first (by doc_id, null first,
+A line is what stands between line feeds; distances count bytes of UTF-8, or code points. One edit is allowed for each
+LEAST of the shorter line, up to the threshold. Only lines of LEAST or more are compared by distance; equal lines are
+found at any length. Of the places of a line the first (by doc_id, null first,
 then by line) stays, unless an earlier different line is near; other places go. Empty lines always stay.
 
 Nulls and empty texts have no lines to remove. Rows that repeat doc_id and text are one document and treated alike. A
@@ -17,6 +18,8 @@ they are with keep_rows, else they are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,21 +33,34 @@ from mnemolake.llm.words import U64, _powers_of, mix, seeds, table, words
 THRESHOLD, LEAST, BUCKET = 1, 24, 48
 #: Lines to compare that may travel to all workers (16 bytes each); beyond that the texts of all lines are shuffled.
 FEW = 1_000_000
+#: Edits that the query and the pipeline allow in long lines, and the lines in a block of a hot segment.
+EDITS, BLOCK = 4, 256
+
+
+def edits(length: int, threshold: int, least: int) -> int:
+    """Edits allowed between a line of a length and one that is as long or longer."""
+    return min(threshold, length // max(1, least))
 
 
-def within(a: bytes, b: bytes, most: int) -> bool:
+def within(a: bytes | str, b: bytes | str, most: int) -> bool:
     """Whether the edit distance is `most` at most: bit d of a state is diagonal d of the band, one state for each
     number of edits, all diagonals stepped at once."""
-    m, n = len(a), len(b)
-    if abs(m - n) > most:
+    if abs(len(a) - len(b)) > most:
         return False
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # what both begin with needs no edits
+        at = (low + high + 1) // 2
+        low, high = (at, high) if a[low:at] == b[low:at] else (low, at - 1)
+    a, b = a[low:], b[low:]
+    m, n = len(a), len(b)
     width, full = 2 * most + 1, (1 << (2 * most + 1)) - 1
     # state e: diagonals (j - i + most) that i bytes of a and j of b reach with e edits
     state = [0] * (most + 1)
     state[0] = 1 << most
     for e in range(1, most + 1):
         state[e] = state[e - 1] | state[e - 1] << 1 & full
-    padded = b"\0" * most + b + b"\0" * (2 * most + 1)
+    pad = "\0" if isinstance(b, str) else b"\0"
+    padded = pad * most + b + pad * (2 * most + 1)
     for i, c in enumerate(a):
         match, band = 0, padded[i : i + width]
         for d in range(width):
@@ -75,24 +91,35 @@ def segments(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
 def probes(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int, int, int]]:
     """(length of the others, segment, start, size): the substrings of a line that may be segments of a line that is as
     long or shorter. A start is possible if the edits to its left and right fit the threshold."""
-    out = []
-    for other in range(length - threshold, length + 1):
-        gap = length - other
-        for i, (at, n) in enumerate(segments(other, threshold)):
-            # with i edits at most to the left, or threshold - i to the right
-            low = max(at - i, at + gap - (threshold - i), 0)
-            high = min(at + i, at + gap + (threshold - i), length - n)
-            out += [(other, i, s, n) for s in range(low, high + 1)]
+    return [p for other in range(length - threshold, length + 1) for p in _probes_of(length, other, threshold)]
+
+
+def _probes_of(length: int, other: int, threshold: int) -> list[tuple[int, int, int, int]]:
+    out, gap = [], length - other
+    for i, (at, n) in enumerate(segments(other, threshold)):
+        # with i edits at most to the left, or threshold - i to the right
+        low = max(at - i, at + gap - (threshold - i), 0)
+        high = min(at + i, at + gap + (threshold - i), length - n)
+        out += [(other, i, s, n) for s in range(low, high + 1)]
     return out
 
 
+@lru_cache(maxsize=20_000)
+def _asked(length: int, threshold: int, least: int) -> np.ndarray:
+    """Rows of length of the shorter line, segment, start, size, own: what a line of a length is indexed by and asks for."""
+    own = [(length, i, at, n) for i, (at, n) in enumerate(segments(length, edits(length, threshold, least)))]
+    others = [other for other in range(max(least, length - threshold), length + 1) if length - other <= edits(other, threshold, least)]
+    asked = [p for other in others for p in _probes_of(length, other, edits(other, threshold, least)) if p not in set(own)]
+    return np.array([(*p, 1) for p in own] + [(*p, 0) for p in asked], np.int64)
+
+
 class _Spans:
     """Hashes of any substrings of some bytes."""
 
     def __init__(self, data: np.ndarray, seed: int):
         self.up, self.down = _powers_of(len(data) + 1)
         self.total = np.zeros(len(data) + 1, U64)
-        np.cumsum(table(seed)[data] * self.up[: len(data)], out=self.total[1:])
+        np.cumsum((data if data.dtype == U64 else table(seed)[data]) * self.up[: len(data)], out=self.total[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U64))
@@ -111,6 +138,16 @@ def _lines(column: pa.Array, seed: int):
     return offsets, data, start, end, h, first, feeds[start] - feeds[offsets[doc]], doc
 
 
+def _code_points(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each code point, and the code points before each byte."""
+    leads = (data & 0xC0) != 0x80
+    leads[:1] = True
+    before = np.append(0, np.cumsum(leads))
+    at = np.flatnonzero(leads)
+    values = mix(table(seed)[data] + (np.arange(len(data)) - at[before[1:] - 1]).astype(U64))
+    return np.add.reduceat(values, at) if len(at) else values, before
+
+
 _ID = ["h1", "h2"]
 _PLACE = ["doc", "text_hash", "line"]
 
@@ -126,29 +163,28 @@ def _places(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "doc long, text_hash long, h1 long, h2 long, line long")
 
 
-def _keys(docs: DataFrame, threshold: int, least: int) -> DataFrame:
+def _keys(docs: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
     """key, own, h1, h2: segments of lines (own), and what lines probe shorter ones with."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, data, start, end, h1, _, _, _ = _lines(batch.column(2), 41)
         h2 = _Spans(data, 42)(start, end)
         _, once = np.unique(h1 ^ mix(h2), return_index=True)
-        once = once[(end - start)[once] >= least]
         start, end, h1, h2 = start[once], end[once], h1[once], h2[once]
-        spans, size = _Spans(data, 43), end - start
-        order = np.argsort(size, kind="stable")
-        keys, owns, which = [], [], []
-        for group in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
-            n = int(size[group[0]])
-            asked = [(n, i, at, m, True) for i, (at, m) in enumerate(segments(n, threshold))]
-            asked += [(*p, False) for p in probes(n, threshold) if p not in {a[:4] for a in asked} and p[0] >= least]
-            for other, i, at, m, own in asked:
-                keys.append(mix(spans(start[group] + at, start[group] + at + m) ^ mix(np.array([other * (threshold + 1) + i], U64))))
-                owns.append(np.full(len(group), own))
-                which.append(group)
-        at = np.concatenate(which) if which else np.zeros(0, np.int64)
-        key = np.concatenate(keys) if keys else np.zeros(0, U64)
-        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.concatenate(owns) if owns else np.zeros(0, bool)), pa.array(h1[at].astype(np.int64)), pa.array(h2[at].astype(np.int64))], ["key", "own", *_ID])
+        if points:
+            data, before = _code_points(data, 43)
+            start, end = before[start], before[end]
+        long = end - start >= least
+        start, size, h1, h2 = start[long], (end - start)[long], h1[long], h2[long]
+        spans, order = _Spans(data, 43), np.argsort(size, kind="stable")
+        lengths, many = np.unique(size, return_counts=True)
+        asked = [_asked(int(n), threshold, least) for n in lengths]
+        rows = np.concatenate([np.tile(a, (m, 1)) for a, m in zip(asked, many.tolist())]) if asked else np.zeros((0, 5), np.int64)
+        at = np.repeat(order, np.repeat([len(a) for a in asked], many)) if asked else order
+        other, i, place, n, own = rows.T
+        place = place + start[at]
+        key = mix(spans(place, place + n) ^ mix((other * (threshold + 1) + i).astype(U64)))
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(own == 1), pa.array(h1[at].astype(np.int64)), pa.array(h2[at].astype(np.int64))], ["key", "own", *_ID])
 
     return map_batches(docs, run, "key long, own boolean, h1 long, h2 long")
 
@@ -164,69 +200,64 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(docs, run, "h1 long, h2 long, content binary").join(wanted, _ID, "left_semi").groupBy(*_ID).agg(F.first("content").alias("content"))
 
 
-def _near_pairs(small: DataFrame, contents: DataFrame, threshold: int) -> DataFrame:
+def _near(x: bytes | str, y: bytes | str, threshold: int, least: int) -> bool:
+    return within(x, y, edits(min(len(x), len(y)), threshold, least))
+
+
+def _read(contents: list[bytes], points: bool) -> list[bytes] | list[str]:
+    return [c.decode(errors="surrogateescape") for c in contents] if points else contents
+
+
+def _near_pairs(small: DataFrame, contents: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
     """Verified pairs as x (h1, h2) and y."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        return batch.filter(pa.array([within(x, y, threshold) for x, y in zip(a, b)], pa.bool_())).select([0, 1, 2, 3])
+        a, b = (_read(batch.column(c).to_pylist(), points) for c in (4, 5))
+        return batch.filter(pa.array([_near(x, y, threshold, least) for x, y in zip(a, b)], pa.bool_())).select([0, 1, 2, 3])
 
     names = ["x1", "x2", "y1", "y2"]
     one = small.join(contents.toDF("x1", "x2", "a"), ["x1", "x2"]).join(contents.toDF("y1", "y2", "b"), ["y1", "y2"])
     return map_batches(one.select(*names, "a", "b"), compare, ", ".join(f"{c} long" for c in names))
 
 
-def _hot_near(hot: DataFrame, contents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h1, h2 of hot lines with an earlier line at distance 1: equal but for one byte at one place, or one byte longer."""
-
-    def run(batch: pa.RecordBatch):
-        name, first, second, place, whole = [], [], [], [], []
-        for h1, h2, p, content in zip(*(c.to_pylist() for c in batch.columns)):
-            a = np.frombuffer(content, np.uint8)
-            spans = _Spans(a, 45)
-            n = len(a)
-            at = np.arange(n)
-            left, right = spans(np.zeros(n, np.int64), at), spans(at + 1, np.full(n, n))
-            gone = mix(left * seeds(2, 46)[0] + right * seeds(2, 46)[1])
-            # one byte changed: the rest at this place; one byte more or less: the shorter line as a whole
-            same = mix(gone + at.astype(U64) * seeds(1, 47)[0] + U64(n))
-            every = values_of(a)
-            minus = mix(values_without(every, n) + U64(n - 1))
-            keys = np.concatenate([same, np.unique(minus), mix(np.array([every.sum(dtype=U64)]) + U64(n))])
-            role = np.concatenate([np.zeros(n), np.ones(len(keys) - n - 1), [2]]).astype(np.int32)
-            name.append(keys.astype(np.int64))
-            whole.append(role)
-            first += [h1] * len(keys)
-            second += [h2] * len(keys)
-            place += [p] * len(keys)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(name)), pa.array(np.concatenate(whole)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(place, batch.column(2).type)], ["key", "role", *_ID, "place"])
-
-    def values_of(a: np.ndarray) -> np.ndarray:
-        return table(48)[a] * _powers_of(len(a) + 2)[0][: len(a)]
-
-    def values_without(v: np.ndarray, n: int) -> np.ndarray:
-        """Sum of the values without byte i, for each i: what follows moves one place to the left."""
-        upto = np.cumsum(v, dtype=U64)
-        return upto - v + (upto[-1] - upto) * _powers_of(n + 2)[1][1]
-
-    place = "struct<doc:long,text_hash:long,line:long>"
-    rows = hot.join(contents, _ID).join(firsts.select(*_ID, "place"), _ID).select(*_ID, "place", "content")
-    keyed = materialize(map_batches(rows, run, f"key long, role int, h1 long, h2 long, place {place}"), "line-deletions")
-    least = keyed.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"p{r}") for r in (0, 1, 2)), F.count("*").alias("n")).filter("n > 1").drop("n")
-    least = materialize(least, "line-deletions-first")
-    other = F.when(F.col("role") == 0, F.col("p0")).when(F.col("role") == 1, F.col("p2")).otherwise(F.col("p1"))
-    return keyed.join(least, "key").filter(other < F.col("place")).select(*_ID).distinct()
-
-
-def _removed(docs: DataFrame, threshold: int, least: int, bucket: int) -> DataFrame:
+def _parities(line: bytes | str) -> int:
+    """Whether each of 64 classes of characters is odd in number: an edit changes two at most."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") if isinstance(line, str) else np.frombuffer(line, np.uint8)
+    return int(np.packbits(np.bincount(codes & 63, minlength=64) & 1).view(np.uint64)[0])
+
+
+def _hot_near(hot: DataFrame, contents: DataFrame, firsts: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
+    """h1, h2 of lines with an earlier near line in one of their hot segments. hot: key, n (lines), own, h1, h2. A
+    segment's lines are cut into blocks, and each two blocks meet in a group of their own."""
+    cut = hot.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64(*_ID, "key"), "blocks").cast("int"))
+    rows = cut.join(contents, _ID).join(firsts.select(*_ID, F.struct("place.*").alias("place")), _ID)
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", *_ID, "content", "place.*")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in _PLACE])
+        lines = _read(group.column("content").to_pylist(), points)
+        marks = np.array([_parities(x) for x in lines], np.uint64)
+        own, block, late = group.column("own").to_numpy(), group.column("block").to_numpy(), []
+        same = group.column("i")[0] == group.column("j")[0]
+        for at in range(1, len(lines)):
+            like = (np.bitwise_count(marks[:at] ^ marks[at]) <= 2 * threshold) & (own[:at] | own[at])
+            if not same:
+                like &= block[:at] != block[at]
+            if any(_near(lines[k], lines[at], threshold, least) for k in np.flatnonzero(like).tolist()):
+                late.append(at)
+        return group.select(_ID).take(pa.array(late, pa.int64()))
+
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "h1 long, h2 long").distinct()
+
+
+def _removed(docs: DataFrame, threshold: int, least: int, bucket: int, points: bool) -> DataFrame:
     """doc, text_hash, lines: the numbers of the lines to remove."""
-    if threshold not in (0, 1):
-        raise ValueError("the threshold is 0 or 1: hot segments are told apart by single deletions")
     places = materialize(_places(docs), "lines")
     firsts = places.groupBy(*_ID).agg(F.min(F.struct(*_PLACE)).alias("place"), F.count("*").alias("n"))
     if threshold:
         firsts = materialize(firsts, "first-lines")
-        keys = materialize(_keys(docs, threshold, least).distinct(), "segments")
+        keys = materialize(_keys(docs, threshold, least, points).groupBy("key", *_ID).agg(F.max("own").alias("own")), "segments")
         sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 and own")
         sizes = materialize(sizes, "segment-sizes")
         small = keys.join(sizes.filter(F.col("n") <= bucket).select("key"), "key")
@@ -234,18 +265,18 @@ def _removed(docs: DataFrame, threshold: int, least: int, bucket: int) -> DataFr
         met = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*_ID, "own"))).alias("all"))
         two = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: x["own"] | y["own"]), lambda y: F.struct(x["h1"].alias("x1"), x["h2"].alias("x2"), y["h1"].alias("y1"), y["h2"].alias("y2")))))
         pairs = materialize(met.select(F.explode(two).alias("t")).select("t.*").distinct(), "line-pairs")
-        hot = materialize(keys.join(sizes.filter(F.col("n") > bucket).select("key"), "key").select(*_ID).distinct(), "hot-lines")
+        hot = materialize(keys.join(sizes.filter(F.col("n") > bucket).select("key", "n"), "key").select("key", "n", "own", *_ID), "hot-lines")
         discard(keys, sizes)
         ends = pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("h1"), F.col("x2").alias("h2")), F.struct(F.col("y1").alias("h1"), F.col("y2").alias("h2")))).alias("e")).select("e.*")
-        wanted = materialize(ends.unionByName(hot).distinct(), "lines-to-compare")
+        wanted = materialize(ends.unionByName(hot.select(*_ID)).distinct(), "lines-to-compare")
         few = wanted.count() <= FEW
         contents = materialize(_texts(docs, F.broadcast(wanted) if few else wanted.hint("shuffle_hash")), "line-contents")
-        near = _near_pairs(pairs, contents, threshold)
+        near = _near_pairs(pairs, contents, threshold, least, points)
         at = lambda a, b, name: firsts.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("place").alias(name))
         later = near.join(at("x1", "x2", "px"), ["x1", "x2"]).join(at("y1", "y2", "py"), ["y1", "y2"])
         x_goes = F.col("px") > F.col("py")
         late = later.select(F.when(x_goes, F.col("x1")).otherwise(F.col("y1")).alias("h1"), F.when(x_goes, F.col("x2")).otherwise(F.col("y2")).alias("h2"))
-        late = materialize(late.unionByName(_hot_near(hot, contents, firsts)).distinct().withColumn("late", F.lit(True)), "late-lines")
+        late = materialize(late.unionByName(_hot_near(hot, contents, firsts, threshold, least, points)).distinct().withColumn("late", F.lit(True)), "late-lines")
         firsts = firsts.join(late, _ID, "left")
     else:
         firsts = firsts.withColumn("late", F.lit(None).cast("boolean"))
@@ -255,13 +286,13 @@ def _removed(docs: DataFrame, threshold: int, least: int, bucket: int) -> DataFr
     return materialize(gone.groupBy("doc", "text_hash").agg(F.collect_list("line").alias("lines")), "removed-lines")
 
 
-def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, points: bool = False) -> DataFrame:
     """doc_id, n_lines (that aren't empty), n_removed, kept (the text without the removed lines) of every row; with
-    keep_rows also `row`, the row as it is."""
+    keep_rows also `row`, the row as it is. Distances count code points with points, else bytes."""
     small_batches(df.sparkSession)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    gone = _removed(docs, threshold, least, bucket)
+    gone = _removed(docs, threshold, least, bucket, points)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"), *([F.struct("*").alias("row")] if keep_rows else []))
     rows = source.join(gone.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("doc_id", "text", "lines", *(["row"] if keep_rows else []))
 

@@ -47,7 +47,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), line_dedup.EDITS, points=True)
     return out.select("doc_id", "n_lines", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
 
 

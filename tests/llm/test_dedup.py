@@ -226,3 +226,22 @@ def test_links_of_dense_groups(spark, monkeypatch):
     assert all(got[i] <= want[i] for i in sets) and min(want[i] for i in range(200)) == 199
     for group in (range(200), range(200, 320)):
         assert sum(got[i] for i in group) >= 0.95 * sum(want[i] for i in group)
+
+
+@pytest.mark.parametrize("bucket, block", [(1000, 256), (2, 5)])
+def test_lines_of_several_edits(spark, bucket, block, monkeypatch):
+    """Code points, up to four edits growing with the length; by pairs, and with all segments hot in small blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefgh é") for _ in range(n)) for n in (23, 24, 47, 48, 73, 97, 130)]
+    rows = [(i, "\n".join(changed(r, r.choice(base), r.randint(0, 6), "abcéж") for _ in range(r.randint(1, 5)))) for i in range(40)]
+    seen, want = [], {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            if not any(x == y or min(len(x), len(y)) >= 24 and distance(x, y) <= min(4, min(len(x), len(y)) // 24) for y in seen):
+                kept.append(x)
+            seen.append(x)
+        want[i] = "\n".join(kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.kept for x in line_dedup.dedup_lines(df, 4, bucket=bucket, points=True).collect()} == want

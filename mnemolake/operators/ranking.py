@@ -160,10 +160,10 @@ def mmr(df: DataFrame, k: int, weight: float = 0.5, normalize: bool = True, pool
     return small.groupBy("query_id").applyInPandas(order, "query_id long, id long, rank int")
 
 
-def greedy_near_dup(df: DataFrame, least: float = 0.92, pool: int = 2000) -> DataFrame:
-    """group, id, rank, vec: in rank order, a row goes if its cosine with a row that stays reaches `least`. Groups are
-    rankings of at most `pool` rows."""
-    small = top(df.withColumnRenamed("rank", "place"), ["group"], pool, F.asc("place"), F.asc("id")).drop("rank")
+def greedy_near_dup(df: DataFrame, least: float = 0.92) -> DataFrame:
+    """group, id, rank, vec: in rank order, a row goes if its cosine with a row that stays reaches `least`. A group of any
+    size is compared whole, in one task."""
+    ranked = df.withColumnRenamed("rank", "place")
 
     def keep(pdf):
         import numpy as np
@@ -171,13 +171,14 @@ def greedy_near_dup(df: DataFrame, least: float = 0.92, pool: int = 2000) -> Dat
         pdf = pdf.sort_values(["place", "id"])
         m = np.array([np.asarray(v, float) for v in pdf["vec"]])
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        stays: list[int] = []
+        stays, held = [], np.empty_like(m)  # the first rows of held are those that stay
         for i in range(len(m)):
-            if not stays or (m[stays] @ m[i]).max() < least:
+            if not stays or (held[: len(stays)] @ m[i]).max() < least:
+                held[len(stays)] = m[i]
                 stays.append(i)
         return pdf.iloc[stays][["group", "id", "place"]]
 
-    return small.groupBy("group").applyInPandas(keep, "group long, id long, place long")
+    return ranked.groupBy("group").applyInPandas(keep, "group long, id long, place long")
 
 
 def near_pairs(df: DataFrame, least: float = 0.92, bands: int = 0) -> DataFrame:

@@ -166,3 +166,10 @@ def test_otlp(spark):
     body = '{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"tokens","sum":{"dataPoints":[{"attributes":[{"key":"type","value":{"stringValue":"in"}}],"asInt":"5","timeUnixNano":"7"}]}},{"name":"h","histogram":{}}]}]}]}'
     got = telemetry.otlp_points(spark.createDataFrame([(body,)], "body string")).collect()
     assert [(r.metric, r.value, r["at"], r.attributes) for r in got] == [("tokens", 5.0, 7, {"type": "in"})]
+
+
+def test_greedy_near_dup_takes_whole_groups(spark):
+    """Row 2,000 of the ranking still counts: it stays if no earlier row is near, else it goes."""
+    rows = [(1, i, i, [1.0, 0.0]) for i in range(2000)] + [(1, 2000, 2000, [0.0, 1.0]), (1, 2001, 2001, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "group long, id long, rank long, vec array<double>")
+    assert sorted(r.id for r in ranking.greedy_near_dup(df).collect()) == [0, 2000]

@@ -31,9 +31,13 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 WINDOW = 20
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Class pattern and entropy, in bits a character, from which a window of WINDOW characters counts.
-CLASSES = ((re.compile(rb"[0-9]+"), 9.0), (re.compile(rb"[0-9a-fA-F]+"), 2.9), (re.compile(rb"[A-Za-z0-9]+"), 3.75), (re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.9))
-#: Harmless: UUIDs, dates and times, paths and names of words, words without digits.
-ALLOWED = tuple(re.compile(p) for p in (rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", rb"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_0-9-]*", rb"/?(?:[A-Za-z]+|[0-9]+)(?:[/_=-]+(?:[A-Za-z]+|[0-9]+))*[/=_-]*", rb"(.)\1*"))
+CLASSES = ((re.compile(rb"[0-9]+"), 2.8), (re.compile(rb"[0-9a-fA-F]+"), 2.9), (re.compile(rb"[A-Za-z0-9]+"), 3.75), (re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.9))
+#: Harmless: UUIDs, dates and times (also 20 to 23 digits in a row), paths and names of words, words without digits.
+ALLOWED = tuple(re.compile(p) for p in (rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", rb"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_0-9-]*", rb"(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[01][0-9]|2[0-3])[0-5][0-9][0-6][0-9][0-9]{6,9}", rb"(?![0-9]+\Z)/?(?:[A-Za-z]+|[0-9]+)(?:[/_=-]+(?:[A-Za-z]+|[0-9]+))*[/=_-]*", rb"(.)\1*"))
+
+#: Digits in the order of counting, and numbers with a decimal point before or after them, are harmless too.
+_COUNTING = (b"0123456789" * 2, b"9876543210" * 2)
+_FRACTION = re.compile(rb"[0-9][.,]\Z"), re.compile(rb"[.,][0-9]")
 
 _KEY_BYTES = bytes(1 if re.fullmatch(rb"[A-Za-z0-9+/_=-]", bytes([b])) else 0 for b in range(256))
 _HEX_BYTES = bytes(1 if re.fullmatch(rb"[0-9a-f]", bytes([b])) else 0 for b in range(256))
@@ -74,13 +78,21 @@ def entropies(data: bytes, window: int = WINDOW):
         yield bits - total / window
 
 
+def _is_number(text: bytes, start: int, end: int) -> bool:
+    word = text[start:end]
+    if not word.isdigit():
+        return False
+    counting = any(all(word[i : i + 10] in c for i in range(0, len(word), 10)) and word[10:] == word[:-10] for c in _COUNTING)
+    return counting or bool(_FRACTION[0].search(text[max(0, start - 2) : start]) or _FRACTION[1].match(text[end : end + 2]))
+
+
 def entropy_spans(text: bytes) -> list[tuple[int, str, int]]:
     if b"\1" * WINDOW not in text.translate(_KEY_BYTES):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if any(p.fullmatch(word) for p in ALLOWED):
+        if any(p.fullmatch(word) for p in ALLOWED) or _is_number(text, *m.span()):
             continue
         least = next(bits for p, bits in CLASSES if p.fullmatch(word))
         begin = end = None

@@ -59,6 +59,13 @@ def test_entropy_by_increments_and_allow_list():
     assert kinds("id 123e4567-e89b-12d3-a456-426614174000 some/path/of/words-and-more") == []
 
 
+def test_random_digits_are_found_but_dates_and_numbers_are_not():
+    digits = "83920174659102837465"
+    assert secret_scan.scan(f"pin {digits} end") == [(4, "entropy", 24)]
+    for harmless in ("0" * 24, "12345678901234567890", "98765432109876543210", "20190131235959123456", f"3.{digits}", f"{digits}.5", "1000000000000000000000"):
+        assert secret_scan.scan(f"x {harmless} y") == []
+
+
 def test_secret_tables(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(SECRETS)] + [(50, None, "x")], "doc_id long, text string, found string")
     got = {r.doc_id: r.found for r in secret_scan.secret_spans(df).collect()}

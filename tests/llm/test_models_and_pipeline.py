@@ -71,6 +71,16 @@ def test_reparameterised_questions(spark):
     assert decontaminate.contaminated(df, items.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), items).count() == 0
 
 
+def test_names_at_the_start_numbers_capitals_and_one_other_word(spark):
+    apples = "Alice has 12 apples. Bob has 3 apples. Carol takes 4 apples from Bob. How many apples does Alice have?"
+    items = spark.createDataFrame([(1, apples), (2, "What is 12 times 7?"), (3, ITEM), (4, "seven of the old boats lay on the beach when the storm came over the hills at night")], "item_id long, text string")
+    renamed = apples.replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Frida").replace("12", "15")
+    docs = [(1, renamed), (2, "so, what is 12 times 7? 84"), (3, ITEM.upper()), (4, "seven of the old boats lay on the shore when the storm came over the hills at night"), (5, "what is 13 times 7? the boats lay on the beach")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_exact_passages_of_the_benchmark(spark):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     texts = {r.item_id: r.text for r in items.collect()}

@@ -2,18 +2,25 @@
 
 Lines within an edit distance of the threshold share one of threshold + 1 segments: a line is indexed by its segments
 under its length, and probes the indexes of its own and of shorter lengths with its substrings at the places an edit
-can move a segment to. Lines that meet are verified with a banded bit-parallel edit distance. The lines of a segment that
-very many share (hot) are compared block against block where they meet, after a look at the parities of their
-characters' counts; only the later lines leave, but the work grows with the square of such a segment's lines.
+can move a segment to. Lines that meet are verified with a banded bit-parallel edit distance.
+
+1. Rows are gathered in batches, which ask each other (see `asking`) which of their distinct lines are the first of all.
+2. Batches ask which segments and probes of those lines others have too. Only lines with such keys leave their batch,
+   once, with their content; so neither texts nor keys without a partner are shuffled.
+3. Lines of one key are compared in pairs. A key that more than BUCKET lines have (hot) is compared block against block
+   in tasks of their own; a pair is looked at only under the smallest hot key that it shares, and only the later lines
+   leave a task. The work on a hot key still grows with the square of its distinct lines.
+4. The later lines of near pairs are told to all batches, which write their rows without them.
 
 A line is what stands between line feeds; distances count bytes of UTF-8, or code points. One edit is allowed for each
 LEAST of the shorter line, up to the threshold. Only lines of LEAST or more are compared by distance; equal lines are
-found at any length. Of the places of a line the first (by doc_id, null first,
+found at any length, by two independent hashes of 64 bits. Of the places of a line the first (by doc_id, null first,
 then by line) stays, unless an earlier different line is near; other places go. Empty lines always stay.
 
-Nulls and empty texts have no lines to remove. Rows that repeat doc_id and text are one document and treated alike. A
-line of any frequency is aggregated before it is shuffled. An empty table gives an empty result. Extra columns stay as
-they are with keep_rows, else they are ignored.
+Nulls and empty texts have no lines to remove. Rows that repeat doc_id and text are one document and treated alike; of
+rows that repeat a doc_id with different texts the one whose text hashes lowest counts as earlier. A line of any
+frequency and length is an entry for each batch. An empty table gives an empty result. Extra columns, of whatever name,
+stay as they are in `row` with keep_rows, else they are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemolake.llm.common import discard, map_batches, materialize, small_batches, string_buffers
-from mnemolake.llm.words import U64, _powers_of, mix, seeds, table, words
+from mnemolake.llm import asking
+from mnemolake.llm.common import discard, give_back, map_batches, materialize, small_batches, string_buffers
+from mnemolake.llm.words import U64, mix, seeds, span_hashes, words
 
 #: Edits, the shortest lines that are compared by distance, and the lines of a segment that are compared in pairs.
 THRESHOLD, LEAST, BUCKET = 1, 24, 48
-#: Lines to compare that may travel to all workers (16 bytes each); beyond that the texts of all lines are shuffled.
-FEW = 1_000_000
 #: Edits that the query and the pipeline allow in long lines, and the lines in a block of a hot segment.
-EDITS, BLOCK = 4, 256
+EDITS, BLOCK = 4, 1024
+#: More edits don't fit the band's bits.
+MOST_EDITS = 15
 
 
 def edits(length: int, threshold: int, least: int) -> int:
@@ -76,6 +84,91 @@ def within(a: bytes | str, b: bytes | str, most: int) -> bool:
     return bool(state[most] >> (n - m + most) & 1)
 
 
+def _trimmed(a: bytes | str, b: bytes | str) -> tuple[bytes | str, bytes | str]:
+    """Without what both begin and end with, which needs no edits."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        at = (low + high + 1) // 2
+        low, high = (at, high) if a[low:at] == b[low:at] else (low, at - 1)
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        at = (low + high + 1) // 2
+        low, high = (at, high) if a[len(a) - at : len(a) - low] == b[len(b) - at : len(b) - low] else (low, at - 1)
+    return a[: len(a) - low], b[: len(b) - low]
+
+
+def _codes(lines: list[bytes] | list[str]) -> list[np.ndarray]:
+    if lines and isinstance(lines[0], str):
+        flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    else:
+        flat = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint32)
+    return np.split(flat, np.cumsum([len(x) for x in lines])[:-1])
+
+
+def within_all(a: list, b: list, most: list[int]) -> np.ndarray:
+    """within() for many pairs: the bands of all step together."""
+    out, rest = np.zeros(len(a), bool), []
+    for k, (x, y, m) in enumerate(zip(a, b, most)):
+        if abs(len(x) - len(y)) > m:
+            continue
+        x, y = _trimmed(x, y)
+        if max(len(x), len(y)) <= m:
+            out[k] = True
+        elif x and y:
+            rest.append((len(x), k, x, y, m))
+    rest.sort(key=lambda r: r[:2])
+    at = 0
+    while at < len(rest):
+        to = at + 1
+        while to < len(rest) and to - at < 4096 and (to - at) * rest[to][0] < 1 << 20:
+            to += 1
+        part = rest[at:to]
+        out[[r[1] for r in part]] = _banded(_codes([r[2] for r in part]), _codes([r[3] for r in part]), np.array([r[4] for r in part]))
+        at = to
+    return out
+
+
+def _banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """within() of pairs whose first strings are in order of their lengths; the states are those of within()."""
+    k, pairs = int(most.max()), len(a)
+    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    left, right = np.full((pairs, int(m[-1])), 0xFFFFFFFF, np.uint32), np.full((pairs, int(m[-1]) + 2 * k + 1), 0xFFFFFFFE, np.uint32)
+    for i, (x, y) in enumerate(zip(a, b)):
+        left[i, : len(x)], right[i, k : k + len(y)] = x, y
+    left, right = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    kind = np.uint16 if 2 * k + 1 < 16 else np.uint32
+    one, full = kind(1), kind((1 << (2 * k + 1)) - 1)
+    state = np.zeros((k + 1, pairs), kind)
+    state[0] = 1 << k
+    for e in range(1, k + 1):
+        state[e] = state[e - 1] | state[e - 1] << one & full
+    done, live, ended = np.zeros((k + 1, pairs), kind), np.arange(pairs), 0
+    for i in range(len(left)):
+        to = int(np.searchsorted(m[live], i, side="right"))
+        if to > ended:
+            done[:, live[ended:to]] = state[:, ended:to]
+            ended = to
+        if i % 16 == 15:
+            stay = ended + np.flatnonzero(state[k, ended:] != 0)
+            if len(stay) < 0.7 * len(live):
+                live, state, left, right, ended = live[stay], state[:, stay], left[:, stay], right[:, stay], 0
+        if ended == len(live):
+            break
+        match, own = np.zeros(len(live) - ended, kind), left[i, ended:]
+        for d in range(2 * k + 1):
+            match |= (own == right[i + d, ended:]).astype(kind) << kind(d)
+        now = state[:, ended:]
+        old = now[0].copy()
+        now[0] &= match
+        for e in range(1, k + 1):
+            was = now[e].copy()
+            now[e] = (was & match | old | old >> one | now[e - 1] << one) & full
+            old = was
+    done[:, live[ended:]] = state[:, ended:]
+    return (done[most, np.arange(pairs)] >> (n - m + k).astype(kind) & one).astype(bool)
+
+
 def segments(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """Start and size of the threshold + 1 segments of lines of a length, the longer ones last."""
     parts = threshold + 1
@@ -106,206 +199,397 @@ def _probes_of(length: int, other: int, threshold: int) -> list[tuple[int, int,
 
 @lru_cache(maxsize=20_000)
 def _asked(length: int, threshold: int, least: int) -> np.ndarray:
-    """Rows of length of the shorter line, segment, start, size, own: what a line of a length is indexed by and asks for."""
+    """Rows of a code for length of the shorter line and segment, start, size, own: what a line of a length is indexed by
+    and asks for."""
     own = [(length, i, at, n) for i, (at, n) in enumerate(segments(length, edits(length, threshold, least)))]
     others = [other for other in range(max(least, length - threshold), length + 1) if length - other <= edits(other, threshold, least)]
     asked = [p for other in others for p in _probes_of(length, other, edits(other, threshold, least)) if p not in set(own)]
-    return np.array([(*p, 1) for p in own] + [(*p, 0) for p in asked], np.int64)
+    rows = np.array([(*p, 1) for p in own] + [(*p, 0) for p in asked], np.int64)
+    code = mix((rows[:, 0] * (threshold + 1) + rows[:, 1]).astype(U64)).astype(np.int64)
+    return np.column_stack([code, rows[:, 2:]])
 
 
 class _Spans:
-    """Hashes of any substrings of some bytes."""
+    """Hashes of any substrings of some code units: sums of powers. What they bring together is verified."""
 
-    def __init__(self, data: np.ndarray, seed: int):
-        self.up, self.down = _powers_of(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, U64)
-        np.cumsum((data if data.dtype == U64 else table(seed)[data]) * self.up[: len(data)], out=self.total[1:])
+    def __init__(self, values: np.ndarray):
+        base = 0x9E3779B97F4A7C15
+        up, self.down = np.full(len(values) + 1, base, U64), np.full(len(values) + 1, pow(base, -1, 1 << 64), U64)
+        up[:1] = self.down[:1] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(self.down, out=self.down)
+        self.total = np.zeros(len(values) + 1, U64)
+        np.cumsum(values * up[:-1], out=self.total[1:])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U64))
+    def __call__(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix((self.total[start + size] - self.total[start]) * self.down[start] + size.astype(U64))
 
 
-def _lines(column: pa.Array, seed: int):
-    """Start, end, hash of each line that isn't empty, lines before each text, bytes, and number of each line in its text."""
-    is_line = np.ones(256, bool)
-    is_line[10] = False
-    offsets, data = string_buffers(column)
-    data = data[int(offsets[0]) : int(offsets[-1])] if len(offsets) else data
-    offsets = offsets - offsets[0]
-    start, end, h, first = words(offsets, data, is_line, seed=seed)
-    feeds = np.append(0, np.cumsum(data == 10))
-    doc = np.searchsorted(first, np.arange(len(start)), side="right") - 1
-    return offsets, data, start, end, h, first, feeds[start] - feeds[offsets[doc]], doc
+_BYTES = mix(np.arange(256, dtype=U64) + U64(0x2C1B3C6D))
 
 
-def _code_points(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each code point, and the code points before each byte."""
+def _units(data: np.ndarray, points: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point, or byte, and those before each byte."""
+    if not points or not len(data):
+        return _BYTES[data], np.arange(len(data) + 1)
     leads = (data & 0xC0) != 0x80
     leads[:1] = True
     before = np.append(0, np.cumsum(leads))
     at = np.flatnonzero(leads)
-    values = mix(table(seed)[data] + (np.arange(len(data)) - at[before[1:] - 1]).astype(U64))
-    return np.add.reduceat(values, at) if len(at) else values, before
+    values = mix(_BYTES[data] + (np.arange(len(data)) - at[before[1:] - 1]).astype(U64))
+    return np.add.reduceat(values, at), before
+
+
+class _Lines:
+    """The lines of a batch that aren't empty: distinct ones in order of their codes, and where each first stands."""
+
+    def __init__(self, packed: bytes):
+        self.rows = asking.unpack(packed)
+        column = self.rows.column("text").combine_chunks()
+        offsets, data = string_buffers(column)
+        self.data = data[int(offsets[0]) : int(offsets[-1])] if len(offsets) else data
+        offsets = offsets - offsets[:1]
+        is_line = np.ones(256, bool)
+        is_line[10] = False
+        self.start, self.end, h1, first = words(offsets, self.data, is_line, seed=41)
+        h2 = span_hashes(self.data, self.start, self.end, 42)
+        self.doc = np.searchsorted(first, np.arange(len(self.start)), side="right") - 1
+        feeds = np.append(0, np.cumsum(self.data == 10))
+        self.number = feeds[self.start] - feeds[offsets[self.doc]]
+        # rows are in order of doc and text hash, so the first of equal lines has the first place
+        self.place = (self.rows.column("doc").to_numpy()[self.doc], self.rows.column("text_hash").to_numpy()[self.doc], self.number)
+        order = np.lexsort((h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+        self.of = np.empty(len(order), np.int64)  # each line's number among the distinct ones
+        self.of[order] = np.cumsum(new) - 1
+        self.first = order[new]
+        self.h1, self.h2 = h1[self.first], h2[self.first]
+
+    def by_bucket(self, buckets: int):
+        """Distinct lines in order of the codes of their hashes, with the buckets and their bounds."""
+        code = asking.codes(self.h1, buckets)
+        order = np.argsort(code, kind="stable")
+        return order, *asking.bounds(code[order], buckets)
+
+    def keys(self, lines: np.ndarray, threshold: int, least: int, points: bool):
+        """key, own, line: segments of some distinct lines, and what they probe shorter ones with."""
+        values, before = _units(self.data, points)
+        begin, size = before[self.start[self.first[lines]]], before[self.end[self.first[lines]]]
+        size = size - begin
+        long = np.flatnonzero(size >= least)
+        order = long[np.argsort(size[long], kind="stable")]
+        lengths, many = np.unique(size[order], return_counts=True)
+        if not len(lengths):
+            return np.zeros(0, U64), np.zeros(0, bool), lines[:0]
+        asked = [_asked(int(n), threshold, least) for n in lengths]
+        rows = np.concatenate([np.tile(a, (m, 1)) for a, m in zip(asked, many.tolist())])
+        at = np.repeat(order, np.repeat([len(a) for a in asked], many))
+        key = mix(_Spans(values)(rows[:, 1] + begin[at], rows[:, 2]) ^ rows[:, 0].astype(U64))
+        return key, rows[:, 3] == 1, lines[at]
 
 
 _ID = ["h1", "h2"]
 _PLACE = ["doc", "text_hash", "line"]
+_ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("line", "<i8")])
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """doc, text_hash, h1, h2, line: every line that isn't empty."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, data, start, end, h, _, line, doc = _lines(batch.column(2), 41)
-        other = _Spans(data, 42)(start, end)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(h.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array(line)], ["doc", "text_hash", *_ID, "line"])
+def _pack_lines(h1, h2, place) -> bytes:
+    """Lines in columns; places are alike, so they shrink."""
+    import zstandard
 
-    return map_batches(docs, run, "doc long, text_hash long, h1 long, h2 long, line long")
+    doc, hash_, line = place
+    columns = (h1.astype("<u8"), h2.astype("<u8"), doc.astype("<i8"), hash_.astype("<i8"), line.astype("<i8"))
+    return len(h1).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
 
-def _keys(docs: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
-    """key, own, h1, h2: segments of lines (own), and what lines probe shorter ones with."""
+def _unpack_lines(blob: bytes) -> np.ndarray:
+    import zstandard
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, data, start, end, h1, _, _, _ = _lines(batch.column(2), 41)
-        h2 = _Spans(data, 42)(start, end)
-        _, once = np.unique(h1 ^ mix(h2), return_index=True)
-        start, end, h1, h2 = start[once], end[once], h1[once], h2[once]
-        if points:
-            data, before = _code_points(data, 43)
-            start, end = before[start], before[end]
-        long = end - start >= least
-        start, size, h1, h2 = start[long], (end - start)[long], h1[long], h2[long]
-        spans, order = _Spans(data, 43), np.argsort(size, kind="stable")
-        lengths, many = np.unique(size, return_counts=True)
-        asked = [_asked(int(n), threshold, least) for n in lengths]
-        rows = np.concatenate([np.tile(a, (m, 1)) for a, m in zip(asked, many.tolist())]) if asked else np.zeros((0, 5), np.int64)
-        at = np.repeat(order, np.repeat([len(a) for a in asked], many)) if asked else order
-        other, i, place, n, own = rows.T
-        place = place + start[at]
-        key = mix(spans(place, place + n) ^ mix((other * (threshold + 1) + i).astype(U64)))
-        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(own == 1), pa.array(h1[at].astype(np.int64)), pa.array(h2[at].astype(np.int64))], ["key", "own", *_ID])
-
-    return map_batches(docs, run, "key long, own boolean, h1 long, h2 long")
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, content of the wanted lines."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, data, start, end, h, _, _, _ = _lines(batch.column(2), 41)
-        other, whole = _Spans(data, 42)(start, end), data.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array([whole[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())], [*_ID, "content"])
-
-    return map_batches(docs, run, "h1 long, h2 long, content binary").join(wanted, _ID, "left_semi").groupBy(*_ID).agg(F.first("content").alias("content"))
+    n = int.from_bytes(blob[:4], "little")
+    raw, out = zstandard.ZstdDecompressor().decompress(blob[4:]), np.zeros(n, _ENTRY)
+    for i, name in enumerate(_ENTRY.names):
+        out[name] = np.frombuffer(raw, _ENTRY[name], n, i * 8 * n)
+    return out
 
 
-def _near(x: bytes | str, y: bytes | str, threshold: int, least: int) -> bool:
-    return within(x, y, edits(min(len(x), len(y)), threshold, least))
+def _stay(blobs: list[bytes]) -> list[np.ndarray]:
+    """Whether each line stands at the first of its places. Blobs that begin with `late` name lines that go."""
+    late = [np.frombuffer(x[4:], "<u8").reshape(-1, 2) for x in blobs if x[:4] == b"late"]
+    parts = [_unpack_lines(x) if x[:4] != b"late" else np.zeros(0, _ENTRY) for x in blobs]
+    x = np.concatenate(parts)
+    order = np.lexsort((x["line"], x["hash"], x["doc"], x["h2"], x["h1"]))
+    head = np.ones(len(x), bool)
+    s = x[order]
+    head[1:] = (s["h1"][1:] != s["h1"][:-1]) | (s["h2"][1:] != s["h2"][:-1])
+    first = s[head][np.cumsum(head) - 1] if len(s) else s  # of each line
+    stays = (s["doc"] == first["doc"]) & (s["hash"] == first["hash"]) & (s["line"] == first["line"])
+    if late:
+        gone = np.concatenate(late)
+        both = np.concatenate([gone, np.column_stack([s["h1"], s["h2"]])])
+        _, number = np.unique(both, axis=0, return_inverse=True)
+        number = number.ravel()
+        stays &= ~np.isin(number[len(gone) :], number[: len(gone)])
+    out = np.zeros(len(x), bool)
+    out[order] = stays
+    return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
+
+
+def _shared(blobs: list[bytes]) -> list[np.ndarray]:
+    """For the segments and then the probes of each batch: whether another entry has the key, and one is a segment."""
+    parts = []
+    for x in blobs:
+        n = int.from_bytes(x[:4], "little")
+        both = asking.from_five(x[4:])
+        parts.append((both[:n], both[n:]))
+    all_ = np.concatenate([y for x in parts for y in x])
+    own = np.concatenate([np.full(len(y), i == 0) for x in parts for i, y in enumerate(x)])
+    _, number, count = np.unique(all_, return_inverse=True, return_counts=True)
+    indexed = np.zeros(len(count), bool)
+    indexed[number[own]] = True
+    return np.split(((count > 1) & indexed)[number], np.cumsum([len(a) + len(b) for a, b in parts])[:-1])
+
+
+def _asked_keys(own: _Lines, stays, buckets: int, threshold: int, least: int, points: bool):
+    """The keys of the lines that are the first of all: key, own, line, code, and whether the batch itself has a partner;
+    with the distinct codes of segments and of probes."""
+    order, some, begin = own.by_bucket(buckets)
+    lines = order[asking.told(stays, some, begin)]
+    key, is_own, line = own.keys(np.sort(lines), threshold, least, points)
+    code = asking.codes(key, buckets)
+    return key, is_own, line, code, np.unique(code[is_own]), np.unique(code[~is_own])
+
+
+def _survivors(own: _Lines, stays, shared, buckets: int, *how):
+    """key, own, line of the keys that have a partner, perhaps."""
+    key, is_own, line, code, segments_, probes_ = _asked_keys(own, stays, buckets, *how)
+    both = np.concatenate([segments_, probes_])
+    order = np.argsort(both >> U64(40), kind="stable")
+    some, begin = asking.bounds(both[order], buckets)
+    bits = np.zeros(len(both), bool)
+    bits[order] = asking.told(shared, some, begin)
+    # within the batch: other lines with the same code, one of them a segment
+    rank = np.argsort(code, kind="stable")
+    new = np.ones(len(code), bool)
+    new[1:] = code[rank[1:]] != code[rank[:-1]]
+    group = np.cumsum(new) - 1
+    mixed = np.zeros(int(new.sum()), bool)
+    mixed[group[1:][~new[1:] & (line[rank[1:]] != line[rank[:-1]])]] = True
+    indexed = np.zeros(len(mixed), bool)
+    indexed[group[is_own[rank]]] = True
+    live = np.empty(len(code), bool)
+    live[rank] = (mixed & indexed)[group]
+    live[is_own] |= bits[: len(segments_)][np.searchsorted(segments_, code[is_own])]
+    live[~is_own] |= bits[len(segments_) :][np.searchsorted(probes_, code[~is_own])]
+    return key[live], is_own[live], line[live]
+
+
+def _edits_of(a: np.ndarray, b: np.ndarray, threshold: int, least: int) -> np.ndarray:
+    return np.minimum(threshold, np.minimum(a, b) // max(1, least))
 
 
 def _read(contents: list[bytes], points: bool) -> list[bytes] | list[str]:
     return [c.decode(errors="surrogateescape") for c in contents] if points else contents
 
 
-def _near_pairs(small: DataFrame, contents: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
-    """Verified pairs as x (h1, h2) and y."""
+def _near_pairs(pairs: DataFrame, lines: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
+    """h1, h2 of the later lines of pairs (x1, x2, y1, y2) that are near."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = (_read(batch.column(c).to_pylist(), points) for c in (4, 5))
-        return batch.filter(pa.array([_near(x, y, threshold, least) for x, y in zip(a, b)], pa.bool_())).select([0, 1, 2, 3])
-
-    names = ["x1", "x2", "y1", "y2"]
-    one = small.join(contents.toDF("x1", "x2", "a"), ["x1", "x2"]).join(contents.toDF("y1", "y2", "b"), ["y1", "y2"])
-    return map_batches(one.select(*names, "a", "b"), compare, ", ".join(f"{c} long" for c in names))
-
-
-def _parities(line: bytes | str) -> int:
-    """Whether each of 64 classes of characters is odd in number: an edit changes two at most."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") if isinstance(line, str) else np.frombuffer(line, np.uint8)
-    return int(np.packbits(np.bincount(codes & 63, minlength=64) & 1).view(np.uint64)[0])
-
-
-def _hot_near(hot: DataFrame, contents: DataFrame, firsts: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
-    """h1, h2 of lines with an earlier near line in one of their hot segments. hot: key, n (lines), own, h1, h2. A
-    segment's lines are cut into blocks, and each two blocks meet in a group of their own."""
-    cut = hot.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64(*_ID, "key"), "blocks").cast("int"))
-    rows = cut.join(contents, _ID).join(firsts.select(*_ID, F.struct("place.*").alias("place")), _ID)
+        most = _edits_of(np.array([len(x) for x in a]), np.array([len(x) for x in b]), threshold, least)
+        near = within_all(a, b, most.tolist())
+        x1, x2, y1, y2 = (batch.column(c).to_numpy() for c in range(4))
+        x_goes = batch.column(6).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([pa.array(np.where(x_goes, x1, y1)[near]), pa.array(np.where(x_goes, x2, y2)[near])], _ID)
+
+    told = lambda a, b, c, p: lines.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("content").alias(c), F.struct(*_PLACE).alias(p))
+    both = pairs.join(told("x1", "x2", "a", "px"), ["x1", "x2"]).join(told("y1", "y2", "b", "py"), ["y1", "y2"])
+    return map_batches(both.select("x1", "x2", "y1", "y2", "a", "b", (F.col("px") > F.col("py")).alias("x_goes")), compare, "h1 long, h2 long")
+
+
+def _histograms(lines: list[np.ndarray]) -> np.ndarray:
+    """How many characters of each of 64 classes lines have: an edit changes two counts by one."""
+    if not lines:
+        return np.zeros((0, 64), np.int32)
+    of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(of * 64 + (np.concatenate(lines) & 63), minlength=64 * len(lines)).reshape(-1, 64).astype(np.int32)
+
+
+def _bits_of(rows: list[list], known: np.ndarray) -> np.ndarray:
+    """Packed bits: which of the known keys each row has."""
+    out = np.zeros((len(rows), len(known)), bool)
+    for i, r in enumerate(rows):
+        r = np.array(r, np.int64)
+        at = np.searchsorted(known, r)
+        ok = at < len(known)
+        out[i, at[ok][known[at[ok]] == r[ok]]] = True
+    return np.packbits(out, axis=1)
+
+
+def _late_in(group: pa.Table, threshold: int, least: int, points: bool) -> list[int]:
+    """Rows, in order of place, that are near an earlier row of their group."""
+    lines = _read(group.column("content").to_pylist(), points)
+    own, block = group.column("own").to_numpy(), group.column("block").to_numpy()
+    same, key = group.column("i")[0] == group.column("j")[0], group.column("key")[0].as_py()
+    codes = _codes(lines)
+    count, size = _histograms(codes), np.array([len(x) for x in lines])
+    parity = np.packbits((count & 1).astype(np.uint8), axis=1).view(np.uint64).ravel()
+    hot = group.column("hot").to_pylist()
+    smaller = np.unique(np.array([h["key"] for r in hot for h in r if h["key"] < key], np.int64))
+    has, owns = _bits_of([[h["key"] for h in r] for r in hot], smaller), _bits_of([[h["key"] for h in r if h["own"]] for r in hot], smaller)
+    found = []
+    for at in range(0, len(lines), 64):
+        rows = np.arange(at, min(len(lines), at + 64))
+        most = _edits_of(size[rows][:, None], size[None, :], threshold, least)
+        like = (np.arange(len(lines))[None, :] < rows[:, None]) & (np.abs(size[rows][:, None] - size[None, :]) <= most) & (own[rows][:, None] | own[None, :])
+        like &= np.bitwise_count(parity[rows][:, None] ^ parity[None, :]) <= 2 * most
+        if not same:
+            like &= block[rows][:, None] != block[None, :]
+        y, x = np.nonzero(like)
+        most, y = most[y, x], y + at
+        near = np.abs(count[y] - count[x]).sum(axis=1) <= 2 * most
+        y, x, most = y[near], x[near], most[near]
+        if len(smaller) and len(y):
+            new = ~((has[y] & owns[x]) | (owns[y] & has[x])).any(axis=1)
+            y, x, most = y[new], x[new], most[new]
+        found.append((y, x, most))
+    y, x, most = (np.concatenate(c) for c in zip(*found))
+    late = np.zeros(len(lines), bool)
+    while len(y):  # a few partners of each line at a time, until it is late or has none left
+        nth = np.arange(len(y)) - np.searchsorted(y, y)
+        now = nth < 4
+        near = within_all([lines[i] for i in x[now]], [lines[i] for i in y[now]], most[now].tolist())
+        late[y[now][near]] = True
+        left = ~now & ~late[y]
+        y, x, most = y[left], x[left], most[left]
+    return np.flatnonzero(late).tolist()
+
+
+def _hot_near(hot: DataFrame, lines: DataFrame, threshold: int, least: int, points: bool) -> DataFrame:
+    """h1, h2 of lines with an earlier near line under a hot key. hot: key, n (lines), own, h1, h2."""
+    all_ = hot.groupBy(*_ID).agg(F.collect_list(F.struct("key", "own")).alias("hot"))  # at most the keys of a line
+    cut = hot.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64(*_ID), "blocks").cast("int"))
+    rows = cut.join(all_.join(lines.select(*_ID, "content", *_PLACE), _ID), _ID)
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", *_ID, "content", "place.*")
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "hot", *_ID, "content", *_PLACE)
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c, "ascending") for c in _PLACE])
-        lines = _read(group.column("content").to_pylist(), points)
-        marks = np.array([_parities(x) for x in lines], np.uint64)
-        own, block, late = group.column("own").to_numpy(), group.column("block").to_numpy(), []
-        same = group.column("i")[0] == group.column("j")[0]
-        for at in range(1, len(lines)):
-            like = (np.bitwise_count(marks[:at] ^ marks[at]) <= 2 * threshold) & (own[:at] | own[at])
-            if not same:
-                like &= block[:at] != block[at]
-            if any(_near(lines[k], lines[at], threshold, least) for k in np.flatnonzero(like).tolist()):
-                late.append(at)
-        return group.select(_ID).take(pa.array(late, pa.int64()))
-
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "h1 long, h2 long").distinct()
-
-
-def _removed(docs: DataFrame, threshold: int, least: int, bucket: int, points: bool) -> DataFrame:
-    """doc, text_hash, lines: the numbers of the lines to remove."""
-    places = materialize(_places(docs), "lines")
-    firsts = places.groupBy(*_ID).agg(F.min(F.struct(*_PLACE)).alias("place"), F.count("*").alias("n"))
-    if threshold:
-        firsts = materialize(firsts, "first-lines")
-        keys = materialize(_keys(docs, threshold, least, points).groupBy("key", *_ID).agg(F.max("own").alias("own")), "segments")
-        sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 and own")
-        sizes = materialize(sizes, "segment-sizes")
-        small = keys.join(sizes.filter(F.col("n") <= bucket).select("key"), "key")
-        # at most `bucket` entries
-        met = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*_ID, "own"))).alias("all"))
-        two = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: x["own"] | y["own"]), lambda y: F.struct(x["h1"].alias("x1"), x["h2"].alias("x2"), y["h1"].alias("y1"), y["h2"].alias("y2")))))
-        pairs = materialize(met.select(F.explode(two).alias("t")).select("t.*").distinct(), "line-pairs")
-        hot = materialize(keys.join(sizes.filter(F.col("n") > bucket).select("key", "n"), "key").select("key", "n", "own", *_ID), "hot-lines")
-        discard(keys, sizes)
-        ends = pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("h1"), F.col("x2").alias("h2")), F.struct(F.col("y1").alias("h1"), F.col("y2").alias("h2")))).alias("e")).select("e.*")
-        wanted = materialize(ends.unionByName(hot.select(*_ID)).distinct(), "lines-to-compare")
-        few = wanted.count() <= FEW
-        contents = materialize(_texts(docs, F.broadcast(wanted) if few else wanted.hint("shuffle_hash")), "line-contents")
-        near = _near_pairs(pairs, contents, threshold, least, points)
-        at = lambda a, b, name: firsts.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("place").alias(name))
-        later = near.join(at("x1", "x2", "px"), ["x1", "x2"]).join(at("y1", "y2", "py"), ["y1", "y2"])
-        x_goes = F.col("px") > F.col("py")
-        late = later.select(F.when(x_goes, F.col("x1")).otherwise(F.col("y1")).alias("h1"), F.when(x_goes, F.col("x2")).otherwise(F.col("y2")).alias("h2"))
-        late = materialize(late.unionByName(_hot_near(hot, contents, firsts, threshold, least, points)).distinct().withColumn("late", F.lit(True)), "late-lines")
-        firsts = firsts.join(late, _ID, "left")
-    else:
-        firsts = firsts.withColumn("late", F.lit(None).cast("boolean"))
-    told = materialize(firsts.filter("n > 1 or late").select(*_ID, F.col("place").alias("first"), "late"), "lines-to-remove")
-    gone = places.join(told, _ID).filter(F.col("late") | (F.struct(*_PLACE) != F.col("first")))
-    # a document's own lines
-    return materialize(gone.groupBy("doc", "text_hash").agg(F.collect_list("line").alias("lines")), "removed-lines")
-
-
-def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, points: bool = False) -> DataFrame:
+        group = group.sort_by([(c, "ascending") for c in _PLACE]).combine_chunks()
+        return group.select(_ID).take(pa.array(_late_in(group, threshold, least, points), pa.int64()))
+
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "h1 long, h2 long")
+
+
+def _late(batches: DataFrame, stays: DataFrame, buckets: int, threshold: int, least: int, bucket: int, points: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """h1, h2 of the lines with an earlier near line, and the tables they are made from."""
+    how = (threshold, least, points)
+
+    def ask(name, packed, stays_):
+        _, _, _, _, segments_, probes_ = _asked_keys(_Lines(packed), stays_, buckets, *how)
+        a, b = asking.bounds(segments_, buckets), asking.bounds(probes_, buckets)
+        parts = [{int(k): codes_[i:j] for k, i, j in zip(some, begin, begin[1:])} for codes_, (some, begin) in ((segments_, a), (probes_, b))]
+        some, none = sorted(parts[0].keys() | parts[1].keys()), np.zeros(0, U64)
+        blobs = [len(parts[0].get(k, none)).to_bytes(4, "little") + asking.five(parts[0].get(k, none)) + asking.five(parts[1].get(k, none)) for k in some]
+        yield asking.asks(name, np.array(some, np.int32), blobs)
+
+    def emit(packed, stays_, shared_):
+        own = _Lines(packed)
+        key, is_own, line = _survivors(own, stays_, shared_, buckets, *how)
+        order = np.argsort(line, kind="stable")
+        line, key, is_own = line[order], key[order], is_own[order]
+        some, begin = np.unique(line, return_index=True)
+        for at in range(0, len(some), 1000):
+            part, upto = some[at : at + 1000], np.append(begin, len(line))[at : at + 1001]
+            each = pa.StructArray.from_arrays([pa.array(key[upto[0] : upto[-1]].astype(np.int64)), pa.array(is_own[upto[0] : upto[-1]])], ["key", "own"])
+            where = own.first[part]
+            content = [own.data[a:b].tobytes() for a, b in zip(own.start[where].tolist(), own.end[where].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.h1[part].astype(np.int64)), pa.array(own.h2[part].astype(np.int64)), *(pa.array(p[where]) for p in own.place), pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(upto - upto[0], pa.int32()), each)],
+                [*_ID, *_PLACE, "content", "keys"],
+            )
+
+    with_first = batches.join(stays.hint("shuffle_hash"), "batch", "left")
+    shared = materialize(asking.answers(asking.over_batches(with_first.select("batch", "packed", "stays"), ask, asking.ASKED), buckets, _shared, "shared"), "shared-segments")
+    with_both = batches.join(stays.join(shared, "batch", "left").hint("shuffle_hash"), "batch", "left")
+    found = asking.over_batches(with_both.select("packed", "stays", "shared"), emit, "h1 long, h2 long, doc long, text_hash long, line long, content binary, keys array<struct<key:long,own:boolean>>")
+    lines = materialize(found, "lines-with-partners")
+    # rows that repeat a document have the same lines
+    keys = materialize(lines.select(*_ID, F.explode("keys").alias("k")).select("k.key", *_ID, "k.own").groupBy("key", *_ID).agg(F.max("own").alias("own")), "segments")
+    once = materialize(lines.select(*_ID, *_PLACE, "content").dropDuplicates(_ID), "lines-to-compare")
+    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 and own").select("key", "n"), "segment-sizes")
+    small = keys.join(sizes.filter(F.col("n") <= bucket).select("key"), "key")
+    # at most `bucket` entries
+    met = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*_ID, "own"))).alias("all"))
+    two = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: x["own"] | y["own"]), lambda y: F.struct(x["h1"].alias("x1"), x["h2"].alias("x2"), y["h1"].alias("y1"), y["h2"].alias("y2")))))
+    pairs = met.select(F.explode(two).alias("t")).select("t.*").distinct()
+    late = _near_pairs(pairs, once, *how)
+    hot = materialize(keys.join(sizes.filter(F.col("n") > bucket), "key").select("key", "n", "own", *_ID), "hot-segments")
+    return late.unionByName(_hot_near(hot, once, *how)).distinct(), [shared, lines, keys, once, sizes, hot]
+
+
+def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, points: bool = False, batch_bytes: int = asking.BATCH_BYTES) -> DataFrame:
     """doc_id, n_lines (that aren't empty), n_removed, kept (the text without the removed lines) of every row; with
     keep_rows also `row`, the row as it is. Distances count code points with points, else bytes."""
-    small_batches(df.sparkSession)
+    if not 0 <= threshold <= MOST_EDITS:
+        raise ValueError(f"the threshold must be 0 to {MOST_EDITS}")
+    spark = df.sparkSession
+    small_batches(spark)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    gone = _removed(docs, threshold, least, bucket, points)
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"), *([F.struct("*").alias("row")] if keep_rows else []))
-    rows = source.join(gone.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("doc_id", "text", "lines", *(["row"] if keep_rows else []))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, removed, kept = [], [], []
-        for text, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            own = text.split("\n")
-            drop = set(lines or ())
-            n.append(sum(map(bool, own)))
-            removed.append(len(drop))
-            kept.append("\n".join([x for i, x in enumerate(own) if i not in drop]) if drop else text)
-        more = [batch.column(3)] if keep_rows else []
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *more], ["doc_id", "n_lines", "n_removed", "kept", *(["row"] if keep_rows else [])])
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *([rows.schema["row"]] if keep_rows else [])])
-    return map_batches(rows, run, schema)
+    id_ = F.col(id_col).cast("long")
+    # the text travels once, so the row goes without it
+    rest = [F.struct(*(F.col(c) for c in df.columns if c != text_col), F.col(text_col).isNull().alias("_null")).alias("rest")] if keep_rows else []
+    source = df.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(asking.NONE)).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"), *rest)
+    batches = materialize(asking.gather(source, batch_bytes, order=("doc", "text_hash")), "line-batches")
+    buckets = asking.bucket_count(batches)
+
+    def ask_lines(name, packed):
+        own = _Lines(packed)
+        order, some, begin = own.by_bucket(buckets)
+        pick = [order[i:j] for i, j in zip(begin, begin[1:])]
+        yield asking.asks(name, some, [_pack_lines(own.h1[p], own.h2[p], tuple(c[own.first[p]] for c in own.place)) for p in pick])
+
+    asked = materialize(asking.over_batches(batches.select("batch", "packed"), ask_lines, asking.ASKED), "lines")
+    stays = materialize(asking.answers(asked, buckets, _stay, "stays"), "first-lines")
+    if threshold:
+        late, made = _late(batches, stays, buckets, threshold, least, bucket, points)
+
+        def tell(batch: pa.RecordBatch) -> pa.RecordBatch:
+            h1, h2 = (c.to_numpy().astype(U64) for c in batch.columns)
+            code = asking.codes(h1, buckets)
+            order = np.argsort(code, kind="stable")
+            some, begin = asking.bounds(code[order], buckets)
+            blobs = [b"late" + np.column_stack([h1[order[i:j]], h2[order[i:j]]]).astype("<u8").tobytes() for i, j in zip(begin, begin[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(len(some), pa.string()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
+
+        named = materialize(map_batches(late, tell, asking.ASKED), "late-lines")
+        discard(*made)
+        first, stays = stays, materialize(asking.answers(asked.unionByName(named), buckets, _stay, "stays"), "lines-that-stay")
+        discard(first, named)
+    discard(asked)
+
+    def finish(packed, given):
+        own = _Lines(packed)
+        order, some, begin = own.by_bucket(buckets)
+        stay = np.zeros(len(own.first), bool)
+        stay[order] = asking.told(given, some, begin)
+        keep = stay[own.of]
+        for c in own.place:
+            keep &= c == c[own.first][own.of]
+        n = np.bincount(own.doc, minlength=own.rows.num_rows)
+        gone: dict[int, list[int]] = {}
+        for d, line in zip(own.doc[~keep].tolist(), own.number[~keep].tolist()):
+            gone.setdefault(d, []).append(line)
+        for at in range(0, own.rows.num_rows, 500):
+            part = own.rows.slice(at, 500)
+            kept = []
+            for d, text in enumerate(part.column("text").to_pylist(), at):
+                drop = set(gone.get(d, ()))
+                kept.append("\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]) if drop else text)
+            removed = [len(gone.get(d, ())) for d in range(at, at + len(kept))]
+            more = [part.column("rest").combine_chunks()] if keep_rows else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), pa.array(n[at : at + 500]), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *more], ["doc_id", "n_lines", "n_removed", "kept", *(["rest"] if keep_rows else [])])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *([source.schema["rest"]] if keep_rows else [])])
+    both = batches.join(stays.hint("shuffle_hash"), "batch", "left")
+    return asking.over_batches(both.select("packed", "stays"), finish, schema)

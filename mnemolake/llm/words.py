@@ -25,10 +25,6 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(_BASE) + U64(seed)) | U64(1)
 
 
-def table(seed: int) -> np.ndarray:
-    return mix(np.arange(256, dtype=U64) + U64(seed) * U64(1_000_003) + U64(1))
-
-
 def not_white() -> np.ndarray:
     out = np.ones(256, bool)
     out[list(WHITE)] = False
@@ -41,21 +37,48 @@ def lower_table() -> np.ndarray:
     return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base, modulo 2**64, and of its inverse."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    up, down = np.full(n, _BASE, U64), np.full(n, inverse, U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-
-
-_POWERS: list = []
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Words that are hashed together.
+_TOGETHER = 1 << 18
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hash of each span of some bytes: the sum of its numbers of eight bytes, each mixed with its place, mixed again.
+
+    Other seeds give independent hashes. A span's bytes pass a bijection that isn't linear before they are added, so
+    strings that defeat polynomials with powers of two for a modulus don't meet here."""
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    padded[len(data) :] = 0
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    places = np.array([(seed * 0x632BE59BD9B4E019 + _BASE) % (1 << 64)], U64)
+    out = np.empty(len(start), U64)
+    for at in range(0, len(start), _TOGETHER):
+        s = start[at : at + _TOGETHER]
+        size = end[at : at + _TOGETHER] - s
+        total = mix((eight[s] & _MASK[np.minimum(size, 8)]) ^ mix(places))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) >> 3  # numbers after the first
+            for part in _parts(more):
+                own, n = long[part], more[part]
+                begin = np.cumsum(n) - n
+                of = np.repeat(np.arange(len(own)), n)
+                j = np.arange(len(of)) - begin[of] + 1
+                left = size[own][of] - 8 * j
+                value = mix((eight[s[own][of] + 8 * j] & _MASK[np.minimum(left, 8)]) ^ mix(j.astype(U64) * U64(_BASE) + places))
+                total[own] += np.add.reduceat(value, begin)
+        out[at : at + _TOGETHER] = mix(total + size.astype(U64) * U64(_BASE))
+    return out
 
 
-def _powers_of(n: int):
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = _powers(max(n, SLICE + 2))
-    return _POWERS
+def _parts(n: np.ndarray, most: int = 1 << 18):
+    """Slices of consecutive spans of together about `most` numbers; one span is never cut."""
+    upto, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, to)
+        at = to
 
 
 def words(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None, seed: int = 1):
@@ -66,7 +89,6 @@ def words(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray, fold: np.n
     begin, end = int(offsets[0]), int(offsets[-1])
     parts = []
     at = begin
-    values = table(seed)
     while at < end:
         to = min(at + SLICE, end)
         if to < end and is_word[data[to - 1]]:  # cut between words
@@ -82,7 +104,7 @@ def words(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray, fold: np.n
                         break
                     step = min(step + SLICE, end)
                 to = step
-        parts.append(_slice(data[at:to], at, offsets, is_word, fold, values))
+        parts.append(_slice(data[at:to], at, offsets, is_word, fold, seed))
         at = to
     if not parts:
         none = np.zeros(0, np.int64)
@@ -91,7 +113,7 @@ def words(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray, fold: np.n
     return start, stop, h, np.searchsorted(start, offsets)
 
 
-def _slice(a: np.ndarray, base: int, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None, values: np.ndarray):
+def _slice(a: np.ndarray, base: int, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None, seed: int):
     if fold is not None:
         a = fold[a]
     ok = is_word[a]
@@ -102,10 +124,7 @@ def _slice(a: np.ndarray, base: int, offsets: np.ndarray, is_word: np.ndarray, f
     starts[inner] = ok[inner]  # a text's first byte starts a word, and ends the one before
     ends[inner - 1] = ok[inner - 1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers_of(len(a) + 1)
-    total = np.zeros(len(a) + 1, U64)
-    np.cumsum(values[a] * up[: len(a)], out=total[1:])
-    return s + base, e + base, mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
+    return s + base, e + base, span_hashes(a, s, e, seed)
 
 
 def grams(h: np.ndarray, k: int, seed: int = 2) -> np.ndarray:

@@ -103,6 +103,18 @@ def test_banded_distance():
             assert line_dedup.within(a.encode(), b.encode(), k) == (distance(a, b) <= k)
 
 
+def test_banded_distance_of_many_pairs():
+    r = random.Random(11)
+    pairs = []
+    for _ in range(4000):
+        a = "".join(r.choice("abé") for _ in range(r.randint(0, 40)))
+        pairs.append((a, changed(r, a, r.randint(0, 6), "abcж"), r.randint(0, 5)))
+    for code in (str, str.encode):
+        a, b = ([code(p[i]) for p in pairs] for i in (0, 1))
+        got = line_dedup.within_all(a, b, [p[2] for p in pairs]).tolist()
+        assert got == [distance(x, y) <= p[2] for x, y, p in zip(a, b, pairs)]
+
+
 def test_segments_meet():
     """Lines within the threshold share a segment of one with a probe of the other."""
     r = random.Random(5)
@@ -129,9 +141,8 @@ def lines_by_hand(rows, least):
 
 
 @pytest.mark.parametrize("bucket", [1000, 3])
-def test_lines(spark, bucket, monkeypatch):
-    """By pairs, and with all segments hot and all lines shuffled."""
-    monkeypatch.setattr(line_dedup, "FEW", 0 if bucket == 3 else line_dedup.FEW)
+def test_lines(spark, bucket):
+    """By pairs, and with all segments hot."""
     r = random.Random(6)
     base = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (10, 24, 25, 30, 41, 60)]
     rows = [(i, "\n".join(changed(r, r.choice(base), r.choice([0, 0, 1, 1, 2]), "abcé") if r.random() < 0.8 else "" for _ in range(r.randint(0, 6)))) for i in range(70)] + [(500, None), (501, "")]

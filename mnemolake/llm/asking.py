@@ -26,20 +26,21 @@ NONE = -(1 << 63)
 ASKED = "bucket int, batch string, blob binary"
 
 
-def gather(df: DataFrame, size: int, text: str = "text", order: Iterable[str] = ("doc",)) -> DataFrame:
-    """batch, packed, n_bytes: the rows of df in batches of about `size` bytes of text, in order within. A longer text
-    makes a batch."""
+def gather(df: DataFrame, size: int, text: str = "text", order: Iterable[str] = ("doc",), ask: Callable[[pa.Table], tuple] | None = None) -> DataFrame:
+    """batch, packed, bucket, blob: the rows of df in batches of about `size` bytes of text, in order within, each a row
+    with `packed`. A longer text makes a batch. With `ask`, what it returns for a batch (buckets, blobs) are rows too."""
     order = [(c, "ascending") for c in order]
 
-    def pack(held: list[pa.RecordBatch], n: int) -> pa.RecordBatch:
+    def pack(held: list[pa.RecordBatch]):
         import zstandard
 
-        sink = pa.BufferOutputStream()
+        name, sink = uuid.uuid4().hex, pa.BufferOutputStream()
         table = pa.Table.from_batches(held).sort_by(order).combine_chunks()
         with pa.ipc.new_stream(sink, table.schema) as s:
             s.write_table(table)
         packed = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([packed], pa.binary()), pa.array([n], pa.int64())], ["batch", "packed", "n_bytes"])
+        some, blobs = ask(table) if ask else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (1 + len(blobs))), pa.array([packed] + [None] * len(blobs), pa.binary()), pa.array([None, *map(int, some)], pa.int32()), pa.array([None, *blobs], pa.binary())], ["batch", "packed", "bucket", "blob"])
 
     def run(batches):
         held, n = [], 0
@@ -54,13 +55,18 @@ def gather(df: DataFrame, size: int, text: str = "text", order: Iterable[str] =
                 n += int(at[end] - at[begin])
                 begin = end
                 if n >= size:
-                    yield pack(held, n)
+                    yield from pack(held)
                     held, n = [], 0
         if held:
-            yield pack(held, n)
+            yield from pack(held)
         give_back()
 
-    return df.mapInArrow(run, "batch string, packed binary, n_bytes long")
+    return df.mapInArrow(run, "batch string, packed binary, bucket int, blob binary")
+
+
+def split(gathered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Batches (batch, packed) and asks (bucket, batch, blob) of a table that gather() made."""
+    return gathered.filter("packed is not null").select("batch", "packed"), gathered.filter("blob is not null").select("bucket", "batch", "blob")
 
 
 def unpack(packed: bytes) -> pa.Table:
@@ -70,10 +76,10 @@ def unpack(packed: bytes) -> pa.Table:
         return s.read_all().combine_chunks()
 
 
-def bucket_count(batches: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets, so that each answers for a bounded part of the text."""
-    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-    partitions = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets, so that each answers for a bounded part of the texts."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(max(1, partitions, -(-total // bucket_bytes)), 1 << 24)
 
 

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemolake.llm import asking
-from mnemolake.llm.common import discard, give_back, map_batches, materialize, small_batches, string_buffers
-from mnemolake.llm.words import U64, mix, seeds, span_hashes, words
+from mnemolake.llm.common import discard, map_batches, materialize, small_batches, string_buffers
+from mnemolake.llm.words import U64, mix, span_hashes
 
 #: Edits, the shortest lines that are compared by distance, and the lines of a segment that are compared in pairs.
 THRESHOLD, LEAST, BUCKET = 1, 24, 48
@@ -203,23 +203,36 @@ def _asked(length: int, threshold: int, least: int) -> np.ndarray:
     and asks for."""
     own = [(length, i, at, n) for i, (at, n) in enumerate(segments(length, edits(length, threshold, least)))]
     others = [other for other in range(max(least, length - threshold), length + 1) if length - other <= edits(other, threshold, least)]
-    asked = [p for other in others for p in _probes_of(length, other, edits(other, threshold, least)) if p not in set(own)]
+    mine = set(own)
+    asked = [p for other in others for p in _probes_of(length, other, edits(other, threshold, least)) if p not in mine]
     rows = np.array([(*p, 1) for p in own] + [(*p, 0) for p in asked], np.int64)
     code = mix((rows[:, 0] * (threshold + 1) + rows[:, 1]).astype(U64)).astype(np.int64)
     return np.column_stack([code, rows[:, 2:]])
 
 
+#: Bytes of lines whose keys are made together: what that takes stays in a processor's cache.
+SLICE = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base, modulo 2**64, and of its inverse."""
+    up, down = np.full(n, _BASE, U64), np.full(n, pow(_BASE, -1, 1 << 64), U64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+
+
+_UP, _DOWN = _powers(SLICE + 1)
+
+
 class _Spans:
     """Hashes of any substrings of some code units: sums of powers. What they bring together is verified."""
 
     def __init__(self, values: np.ndarray):
-        base = 0x9E3779B97F4A7C15
-        up, self.down = np.full(len(values) + 1, base, U64), np.full(len(values) + 1, pow(base, -1, 1 << 64), U64)
-        up[:1] = self.down[:1] = 1
-        np.cumprod(up, out=up)
-        np.cumprod(self.down, out=self.down)
-        self.total = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * up[:-1], out=self.total[1:])
+        n = len(values) + 1
+        up, self.down = (_UP, _DOWN) if n <= len(_UP) else _powers(n)
+        self.total = np.zeros(n, U64)
+        np.cumsum(values * up[: n - 1], out=self.total[1:])
 
     def __call__(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mix((self.total[start + size] - self.total[start]) * self.down[start] + size.astype(U64))
@@ -228,36 +241,24 @@ class _Spans:
 _BYTES = mix(np.arange(256, dtype=U64) + U64(0x2C1B3C6D))
 
 
-def _units(data: np.ndarray, points: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each code point, or byte, and those before each byte."""
-    if not points or not len(data):
-        return _BYTES[data], np.arange(len(data) + 1)
-    leads = (data & 0xC0) != 0x80
-    leads[:1] = True
-    before = np.append(0, np.cumsum(leads))
-    at = np.flatnonzero(leads)
-    values = mix(_BYTES[data] + (np.arange(len(data)) - at[before[1:] - 1]).astype(U64))
-    return np.add.reduceat(values, at), before
-
-
 class _Lines:
-    """The lines of a batch that aren't empty: distinct ones in order of their codes, and where each first stands."""
+    """The lines of a batch that aren't empty, distinct ones by number, and where each first stands."""
 
-    def __init__(self, packed: bytes):
-        self.rows = asking.unpack(packed)
-        column = self.rows.column("text").combine_chunks()
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        column = rows.column("text").combine_chunks()
         offsets, data = string_buffers(column)
         self.data = data[int(offsets[0]) : int(offsets[-1])] if len(offsets) else data
         offsets = offsets - offsets[:1]
-        is_line = np.ones(256, bool)
-        is_line[10] = False
-        self.start, self.end, h1, first = words(offsets, self.data, is_line, seed=41)
-        h2 = span_hashes(self.data, self.start, self.end, 42)
-        self.doc = np.searchsorted(first, np.arange(len(self.start)), side="right") - 1
-        feeds = np.append(0, np.cumsum(self.data == 10))
-        self.number = feeds[self.start] - feeds[offsets[self.doc]]
+        feeds = np.flatnonzero(self.data == 10)
+        start, end = np.sort(np.concatenate([offsets[:-1], feeds + 1])), np.sort(np.concatenate([feeds, offsets[1:]]))
+        some = np.flatnonzero(end > start)
+        self.start, self.end = start[some], end[some]
+        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        self.number = some - (np.searchsorted(feeds, offsets)[self.doc] + self.doc)
+        h1, h2 = span_hashes(self.data, self.start, self.end, 41, 42)
         # rows are in order of doc and text hash, so the first of equal lines has the first place
-        self.place = (self.rows.column("doc").to_numpy()[self.doc], self.rows.column("text_hash").to_numpy()[self.doc], self.number)
+        self.place = (rows.column("doc").to_numpy()[self.doc], rows.column("text_hash").to_numpy()[self.doc], self.number)
         order = np.lexsort((h2, h1))
         new = np.ones(len(order), bool)
         new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
@@ -274,19 +275,43 @@ class _Lines:
 
     def keys(self, lines: np.ndarray, threshold: int, least: int, points: bool):
         """key, own, line: segments of some distinct lines, and what they probe shorter ones with."""
-        values, before = _units(self.data, points)
-        begin, size = before[self.start[self.first[lines]]], before[self.end[self.first[lines]]]
-        size = size - begin
-        long = np.flatnonzero(size >= least)
-        order = long[np.argsort(size[long], kind="stable")]
-        lengths, many = np.unique(size[order], return_counts=True)
-        if not len(lengths):
-            return np.zeros(0, U64), np.zeros(0, bool), lines[:0]
-        asked = [_asked(int(n), threshold, least) for n in lengths]
-        rows = np.concatenate([np.tile(a, (m, 1)) for a, m in zip(asked, many.tolist())])
-        at = np.repeat(order, np.repeat([len(a) for a in asked], many))
-        key = mix(_Spans(values)(rows[:, 1] + begin[at], rows[:, 2]) ^ rows[:, 0].astype(U64))
-        return key, rows[:, 3] == 1, lines[at]
+        lines = lines[np.argsort(self.first[lines], kind="stable")]
+        where = self.first[lines]
+        start, end = self.start[where], self.end[where]
+        out, at = [(np.zeros(0, U64), np.zeros(0, bool), lines[:0])], 0
+        while at < len(lines):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE, side="right")))
+            part = slice(at, to)
+            out.append(self._keys(lines[part], start[part], end[part], threshold, least, points))
+            at = to
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _keys(self, lines: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: int, least: int, points: bool):
+        data = self.data[start[0] : end[-1]]
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)) if points else np.arange(len(data) + 1)
+        begin = np.searchsorted(at, start - start[0])
+        size = np.searchsorted(at, end - start[0]) - begin
+        lengths, which = np.unique(size, return_inverse=True)
+        asked = [_asked(int(n), threshold, least) if n >= least else np.zeros((0, 4), np.int64) for n in lengths]
+        many = np.array([len(a) for a in asked])
+        n = many[which]
+        each = np.arange(int(n.sum())) + np.repeat((np.cumsum(many) - many)[which] - (np.cumsum(n) - n), n)
+        code, place, part, own = np.concatenate(asked)[each].T
+        place = place + np.repeat(begin, n)
+        first = at[place]
+        key = mix(_Spans(_BYTES[data])(first, at[place + part] - first) ^ code.astype(U64))
+        return key, own == 1, np.repeat(lines, n)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and each one's number among them."""
+    order = np.argsort(x)
+    s = x[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    number = np.empty(len(s), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return s[new], number
 
 
 _ID = ["h1", "h2"]
@@ -344,44 +369,37 @@ def _shared(blobs: list[bytes]) -> list[np.ndarray]:
         parts.append((both[:n], both[n:]))
     all_ = np.concatenate([y for x in parts for y in x])
     own = np.concatenate([np.full(len(y), i == 0) for x in parts for i, y in enumerate(x)])
-    _, number, count = np.unique(all_, return_inverse=True, return_counts=True)
-    indexed = np.zeros(len(count), bool)
+    distinct, number = _distinct(all_)
+    indexed = np.zeros(len(distinct), bool)
     indexed[number[own]] = True
-    return np.split(((count > 1) & indexed)[number], np.cumsum([len(a) + len(b) for a, b in parts])[:-1])
+    live = indexed & (np.bincount(number, minlength=len(distinct)) > 1)
+    return np.split(live[number], np.cumsum([len(a) + len(b) for a, b in parts])[:-1])
 
 
-def _asked_keys(own: _Lines, stays, buckets: int, threshold: int, least: int, points: bool):
-    """The keys of the lines that are the first of all: key, own, line, code, and whether the batch itself has a partner;
-    with the distinct codes of segments and of probes."""
+def _first_keys(own: _Lines, stays, buckets: int, threshold: int, least: int, points: bool):
+    """Keys of the lines that are the first of all, of segments and of probes: key, line, distinct codes, each one's number."""
     order, some, begin = own.by_bucket(buckets)
-    lines = order[asking.told(stays, some, begin)]
-    key, is_own, line = own.keys(np.sort(lines), threshold, least, points)
-    code = asking.codes(key, buckets)
-    return key, is_own, line, code, np.unique(code[is_own]), np.unique(code[~is_own])
+    key, is_own, line = own.keys(order[asking.told(stays, some, begin)], threshold, least, points)
+    return [(key[of], line[of], *_distinct(asking.codes(key[of], buckets))) for of in (is_own, ~is_own)]
 
 
 def _survivors(own: _Lines, stays, shared, buckets: int, *how):
     """key, own, line of the keys that have a partner, perhaps."""
-    key, is_own, line, code, segments_, probes_ = _asked_keys(own, stays, buckets, *how)
-    both = np.concatenate([segments_, probes_])
+    (key, line, code, number), (probe, asker, asked, wanted) = _first_keys(own, stays, buckets, *how)
+    both = np.concatenate([code, asked])
     order = np.argsort(both >> U64(40), kind="stable")
-    some, begin = asking.bounds(both[order], buckets)
     bits = np.zeros(len(both), bool)
-    bits[order] = asking.told(shared, some, begin)
-    # within the batch: other lines with the same code, one of them a segment
-    rank = np.argsort(code, kind="stable")
-    new = np.ones(len(code), bool)
-    new[1:] = code[rank[1:]] != code[rank[:-1]]
-    group = np.cumsum(new) - 1
-    mixed = np.zeros(int(new.sum()), bool)
-    mixed[group[1:][~new[1:] & (line[rank[1:]] != line[rank[:-1]])]] = True
-    indexed = np.zeros(len(mixed), bool)
-    indexed[group[is_own[rank]]] = True
-    live = np.empty(len(code), bool)
-    live[rank] = (mixed & indexed)[group]
-    live[is_own] |= bits[: len(segments_)][np.searchsorted(segments_, code[is_own])]
-    live[~is_own] |= bits[len(segments_) :][np.searchsorted(probes_, code[~is_own])]
-    return key[live], is_own[live], line[live]
+    bits[order] = asking.told(shared, *asking.bounds(both[order], buckets))
+    live, live_probes = bits[: len(code)], bits[len(code) :]
+    # within the batch
+    live |= np.bincount(number, minlength=len(code)) > 1
+    if len(code):
+        at = np.minimum(np.searchsorted(code, asked), len(code) - 1)
+        hit = code[at] == asked
+        live[at[hit]] = True
+        live_probes |= hit
+    a, b = live[number], live_probes[wanted]
+    return np.concatenate([key[a], probe[b]]), np.repeat([True, False], [a.sum(), b.sum()]), np.concatenate([line[a], asker[b]])
 
 
 def _edits_of(a: np.ndarray, b: np.ndarray, threshold: int, least: int) -> np.ndarray:
@@ -486,7 +504,7 @@ def _late(batches: DataFrame, stays: DataFrame, buckets: int, threshold: int, le
     how = (threshold, least, points)
 
     def ask(name, packed, stays_):
-        _, _, _, _, segments_, probes_ = _asked_keys(_Lines(packed), stays_, buckets, *how)
+        segments_, probes_ = (x[2] for x in _first_keys(_Lines(asking.unpack(packed)), stays_, buckets, *how))
         a, b = asking.bounds(segments_, buckets), asking.bounds(probes_, buckets)
         parts = [{int(k): codes_[i:j] for k, i, j in zip(some, begin, begin[1:])} for codes_, (some, begin) in ((segments_, a), (probes_, b))]
         some, none = sorted(parts[0].keys() | parts[1].keys()), np.zeros(0, U64)
@@ -494,7 +512,7 @@ def _late(batches: DataFrame, stays: DataFrame, buckets: int, threshold: int, le
         yield asking.asks(name, np.array(some, np.int32), blobs)
 
     def emit(packed, stays_, shared_):
-        own = _Lines(packed)
+        own = _Lines(asking.unpack(packed))
         key, is_own, line = _survivors(own, stays_, shared_, buckets, *how)
         order = np.argsort(line, kind="stable")
         line, key, is_own = line[order], key[order], is_own[order]
@@ -540,16 +558,16 @@ def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, b
     # the text travels once, so the row goes without it
     rest = [F.struct(*(F.col(c) for c in df.columns if c != text_col), F.col(text_col).isNull().alias("_null")).alias("rest")] if keep_rows else []
     source = df.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(asking.NONE)).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"), *rest)
-    batches = materialize(asking.gather(source, batch_bytes, order=("doc", "text_hash")), "line-batches")
-    buckets = asking.bucket_count(batches)
+    buckets = asking.bucket_count(source)
 
-    def ask_lines(name, packed):
-        own = _Lines(packed)
+    def ask_lines(rows: pa.Table):
+        own = _Lines(rows)
         order, some, begin = own.by_bucket(buckets)
         pick = [order[i:j] for i, j in zip(begin, begin[1:])]
-        yield asking.asks(name, some, [_pack_lines(own.h1[p], own.h2[p], tuple(c[own.first[p]] for c in own.place)) for p in pick])
+        return some, [_pack_lines(own.h1[p], own.h2[p], tuple(c[own.first[p]] for c in own.place)) for p in pick]
 
-    asked = materialize(asking.over_batches(batches.select("batch", "packed"), ask_lines, asking.ASKED), "lines")
+    both = materialize(asking.gather(source, batch_bytes, order=("doc", "text_hash"), ask=ask_lines), "line-batches")
+    batches, asked = asking.split(both)
     stays = materialize(asking.answers(asked, buckets, _stay, "stays"), "first-lines")
     if threshold:
         late, made = _late(batches, stays, buckets, threshold, least, bucket, points)
@@ -566,10 +584,9 @@ def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, b
         discard(*made)
         first, stays = stays, materialize(asking.answers(asked.unionByName(named), buckets, _stay, "stays"), "lines-that-stay")
         discard(first, named)
-    discard(asked)
 
     def finish(packed, given):
-        own = _Lines(packed)
+        own = _Lines(asking.unpack(packed))
         order, some, begin = own.by_bucket(buckets)
         stay = np.zeros(len(own.first), bool)
         stay[order] = asking.told(given, some, begin)
@@ -591,5 +608,5 @@ def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, b
             yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), pa.array(n[at : at + 500]), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *more], ["doc_id", "n_lines", "n_removed", "kept", *(["rest"] if keep_rows else [])])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *([source.schema["rest"]] if keep_rows else [])])
-    both = batches.join(stays.hint("shuffle_hash"), "batch", "left")
-    return asking.over_batches(both.select("packed", "stays"), finish, schema)
+    told = batches.join(stays.hint("shuffle_hash"), "batch", "left")
+    return asking.over_batches(told.select("packed", "stays"), finish, schema)

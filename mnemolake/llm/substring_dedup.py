@@ -6,13 +6,13 @@ the same in all documents. Of two equal passages only the outermost symbols can
 stands around them; which symbols that are follows from the passage alone, and the rest, its interior, gets the same
 names in both. So a window of `window` words that occurs twice has an interior of symbols that all occur twice.
 
-1. Documents are gathered in batches, each a row of a table in the shared folder.
-2. Each batch asks, for the distinct symbols of its last round, which of them other batches have too. A bucket of
-   symbols is a row for each batch, so a symbol of whatever frequency costs a batch one entry.
-3. Windows whose interior has shared symbols only are candidates, and so are windows without an interior (runs). Their
-   96-bit fingerprints are compared in the same way: each batch sends the first place of each distinct window and is told
-   whether it is the first of all. This verifies the repeats; windows that merely share symbols go free.
-4. Words covered by a window that is not the first of its kind are removed.
+1. Documents are gathered in batches, each a row of a table in the shared folder; batches ask each other (see `asking`)
+   which of the distinct symbols of the last round others have too.
+2. Windows whose interior has shared symbols only are candidates, and so are windows without an interior (runs). Their
+   fingerprints, of two independent hashes of 64 bits, are compared in the same way: each batch sends the first place of
+   each distinct window and is told whether it is the first of all. This verifies the repeats; windows that merely share
+   symbols go free.
+3. Words covered by a window that is not the first of its kind are removed.
 
 Nulls and empty texts have no words. Documents are ordered by doc_id, null first; of rows that repeat a doc_id an
 arbitrary one counts as earlier. Texts of any length are processed whole: one that is longer than a batch makes a batch.
@@ -21,22 +21,18 @@ An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import id_and_text, materialize, small_batches, string_buffers, texts
-from mnemolake.llm.words import U64, grams, mix, not_white, starts_of, words
+from mnemolake.llm import asking
+from mnemolake.llm.common import id_and_text, materialize, small_batches, string_buffers
+from mnemolake.llm.words import U64, grams, mix, not_white, span_hashes, starts_of, words
 
 WINDOW = 20
 #: Pair rounds: symbols of the last one hold about (4 / 3) ** ROUNDS words, few enough to fit a window several times.
 ROUNDS = 4
-#: Bytes of text in a batch, about.
-BATCH_BYTES = 4 << 20
-_NONE = -(1 << 63)
 
 
 def recompress(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
@@ -80,14 +76,11 @@ def recompress(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
 
 
 class Batch:
-    """The documents of a batch: their words, windows and symbols."""
-
-    def __init__(self, texts_zip: bytes, window: int, rounds: int):
-        import zstandard
+    """The documents of a batch, by doc_id: their words, windows and symbols."""
 
-        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(texts_zip)) as s:
-            got = s.read_all()
-        self.ids, column = got.column(0).combine_chunks(), got.column(1).combine_chunks()
+    def __init__(self, rows: pa.Table, window: int, rounds: int):
+        self.ids, column = rows.column("doc_id").combine_chunks(), rows.column("text").combine_chunks()
+        self.doc = rows.column("doc").to_numpy()
         offsets, self.data = string_buffers(column)
         self.start, self.end, self.h, self.first = words(offsets, self.data, not_white())
         self.at = starts_of(self.first, window)
@@ -98,110 +91,61 @@ class Batch:
             self.symbol, self.lo, self.hi = np.zeros(0, U64), self.at, self.at
         self.window = window
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct symbols, for each symbol its number among them, and whether it occurs twice here."""
-        distinct, number, count = np.unique(self.symbol, return_inverse=True, return_counts=True)
+    def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the distinct symbols, for each symbol its number among them, and whether it occurs twice here."""
+        distinct, number, count = np.unique(asking.codes(self.symbol, buckets), return_inverse=True, return_counts=True)
         return distinct, number, count > 1
 
-    def candidates(self, shared: np.ndarray) -> np.ndarray:
-        """Places of windows whose interior is of shared symbols only; shared: for each distinct symbol."""
-        _, number, here = self.asked()
+    def candidates(self, given, buckets: int) -> np.ndarray:
+        """Places of windows whose interior is of shared symbols only."""
+        distinct, number, here = self.asked(buckets)
+        shared = asking.told(given, *asking.bounds(distinct, buckets))
         alone = np.append(0, np.cumsum(~(shared | here)[number]))
         return self.at[alone[np.maximum(self.hi, self.lo)] == alone[self.lo]]
 
     def fingerprints(self, at: np.ndarray):
-        """Of windows at the places: distinct ones (as 64 and 32 bits), their first places, and each one's number."""
+        """Of windows at the places: distinct ones (two hashes), their first places, and each one's number."""
         if not len(at):
             none = np.zeros(0, np.int64)
-            return none.astype(U64), none.astype(np.uint32), none, none
-        a = grams(self.h, self.window, 11)[at]
-        b = (grams(self.h, self.window, 12)[at] >> U64(32)).astype(np.uint32)
-        key = mix(a + mix(b.astype(U64)))
-        _, where, number = np.unique(key, return_index=True, return_inverse=True)
+            return none.astype(U64), none.astype(U64), none, none
+        h2 = span_hashes(self.data, self.start, self.end, 13)[0]
+        a, b = grams(self.h, self.window, 11)[at], grams(h2, self.window, 12)[at]
+        order = np.lexsort((b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        where = order[new]  # the sort is stable
         return a[where], b[where], at[where], number
 
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """doc_id and start in the document of places."""
         doc = np.searchsorted(self.first, at, side="right") - 1
-        return self.ids.fill_null(_NONE).to_numpy(zero_copy_only=False)[doc], at - self.first[doc]
-
-
-def _gather(df: DataFrame, size: int) -> DataFrame:
-    """Batches of documents, compressed, by doc_id within."""
-    import zstandard
-
-    def pack(ids: list, parts: list) -> pa.RecordBatch:
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
-        sink = pa.BufferOutputStream()
-        column = pa.array([parts[i] for i in order], pa.large_binary())
-        batch = pa.RecordBatch.from_arrays([pa.array([ids[i] for i in order], pa.int64()), column], ["doc_id", "text"])
-        with pa.ipc.new_stream(sink, batch.schema) as s:
-            s.write_batch(batch)
-        packed = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([packed], pa.binary())], ["batch", "packed"])
-
-    def run(batches):
-        ids, parts, held = [], [], 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                ids.append(i)
-                parts.append(text)
-                held += len(text)
-                if held >= size:
-                    yield pack(ids, parts)
-                    ids, parts, held = [], [], 0
-        if ids:
-            yield pack(ids, parts)
-
-    return df.mapInArrow(run, "batch string, packed binary")
-
-
-def _told(answers, name: str, bucket: np.ndarray, buckets: int) -> np.ndarray:
-    """Bits of the answers to a batch, in the order of what it asked."""
-    out = np.zeros(len(bucket), bool)
-    order = np.argsort(bucket, kind="stable")
-    begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for a in answers:
-        own = order[begin[a["bucket"]] : begin[a["bucket"] + 1]]
-        out[own] = np.unpackbits(np.frombuffer(a[name], np.uint8), count=len(own)).astype(bool)
-    return out
-
-
-def _answers(asked: DataFrame, buckets: int, decide, name: str) -> DataFrame:
-    """For each batch the bits that `decide` gives to what it asked, by bucket."""
-
-    def run(rows):
-        held: dict[int, list] = {}
-        for batch in rows:
-            for b, name_, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(b, []).append((name_, blob))
-        for b, own in held.items():
-            bits = decide([blob for _, blob in own])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own]), pa.array([b] * len(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], ["batch", "bucket", "bits"])
+        return self.doc[doc], at - self.first[doc]
 
-    told = asked.repartitionById(buckets, "bucket").mapInArrow(run, "batch string, bucket int, bits binary")
-    # as many as there are buckets, of a few bytes each
-    return told.groupBy("batch").agg(F.collect_list(F.struct("bucket", F.col("bits").alias(name))).alias(name))
+    def by_bucket(self, places: np.ndarray, buckets: int):
+        """Distinct windows by bucket and place: both hashes, first place, order, buckets and bounds, each one's number."""
+        a, b, at, number = self.fingerprints(places)
+        code = asking.codes(a, buckets)
+        order = np.lexsort((at, code >> U64(40)))
+        return a, b, at, order, *asking.bounds(code[order], buckets), number
 
 
 def _shared(blobs: list[bytes]) -> list[np.ndarray]:
-    """Whether each symbol, as 40 bits, was asked for by another batch."""
-    parts = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in blobs]
-    all_ = np.concatenate(parts)
-    wide = np.zeros((len(all_), 8), np.uint8)
-    wide[:, :5] = all_
-    _, number, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
+    """Whether each symbol was asked for by another batch."""
+    parts = [asking.from_five(x) for x in blobs]
+    _, number, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     return np.split(count[number] > 1, np.cumsum([len(p) for p in parts])[:-1])
 
 
-_PLACE = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("start", "<i8")])
+_PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i8")])
 
 
 def _pack_places(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
     """Windows by place, in columns: ids and starts shrink to a byte or two as differences."""
     import zstandard
 
-    columns = (a.astype("<u8"), b.astype("<u4"), np.diff(doc, prepend=0).astype("<i8"), np.diff(start, prepend=0).astype("<i8"))
+    columns = (a.astype("<u8"), b.astype("<u8"), np.diff(doc, prepend=0).astype("<i8"), np.diff(start, prepend=0).astype("<i8"))
     return len(a).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
 
@@ -231,60 +175,35 @@ def _firsts(blobs: list[bytes]) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
 
 
-def remove_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = asking.BATCH_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of every row."""
-    spark = df.sparkSession
-    small_batches(spark)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    batches = materialize(_gather(id_and_text(df, id_col, text_col), batch_bytes), "substring-batches")
-
-    def of_symbols(distinct: np.ndarray) -> np.ndarray:
-        return ((distinct >> U64(40)) % U64(buckets)).astype(np.int64)
-
-    def of_windows(a: np.ndarray) -> np.ndarray:
-        return ((a >> U64(20)) % U64(buckets)).astype(np.int64)
-
-    def rows_of(name: str, bucket: np.ndarray, pack) -> pa.RecordBatch:
-        order = np.argsort(bucket, kind="stable")
-        begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = [i for i in range(buckets) if begin[i] < begin[i + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([name] * len(some), pa.string()), pa.array([pack(order[begin[i] : begin[i + 1]]) for i in some], pa.binary())], ["bucket", "batch", "blob"])
-
-    def ask_symbols(rows):
-        for batch in rows:
-            for name, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                distinct = Batch(packed, window, rounds).asked()[0]
-                five = np.ascontiguousarray(distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-                yield rows_of(name, of_symbols(distinct), lambda own, five=five: five[own].tobytes())
-
-    def found(own: Batch, answers) -> np.ndarray:
-        distinct = own.asked()[0]
-        return own.candidates(_told(answers or [], "shared", of_symbols(distinct), buckets))
-
-    def ask_windows(rows):
-        for batch in rows:
-            for name, packed, answers in zip(*(c.to_pylist() for c in batch.columns)):
-                own = Batch(packed, window, rounds)
-                a, b, at, _ = own.fingerprints(found(own, answers))
-                doc, start = own.places(at)
-                order = np.lexsort((start, doc))
-                a, b, doc, start = a[order], b[order], doc[order], start[order]
-                yield rows_of(name, of_windows(a), lambda i, x=(a, b, doc, start): _pack_places(*(c[i] for c in x)))
-
-    def finish(rows):
-        for batch in rows:
-            for packed, shared, firsts in zip(*(c.to_pylist() for c in batch.columns)):
-                own = Batch(packed, window, rounds)
-                places = found(own, shared)
-                a, _, at, number = own.fingerprints(places)
-                doc, start = own.places(at)
-                order = np.lexsort((start, doc))
-                first = np.zeros(len(at), bool)
-                first[order] = _told(firsts or [], "firsts", of_windows(a[order]), buckets)
-                gone = places[~(first[number] & (at[number] == places))] if len(places) else places
-                n = len(own.h) + 1
-                cover = np.cumsum(np.bincount(gone, minlength=n) - np.bincount(gone + window, minlength=n))
-                yield from _kept(own, cover[:-1] == 0)
+    small_batches(df.sparkSession)
+    docs = id_and_text(df, id_col, text_col).withColumn("doc", F.coalesce("doc_id", F.lit(asking.NONE)))
+    buckets = asking.bucket_count(docs)
+
+    def ask_symbols(rows: pa.Table):
+        distinct = Batch(rows, window, rounds).asked(buckets)[0]
+        some, begin = asking.bounds(distinct, buckets)
+        return some, [asking.five(distinct[i:j]) for i, j in zip(begin, begin[1:])]
+
+    batches, asked = asking.split(materialize(asking.gather(docs, batch_bytes, ask=ask_symbols), "substring-batches"))
+
+    def ask_windows(name, packed, shared):
+        own = Batch(asking.unpack(packed), window, rounds)
+        a, b, at, order, some, begin, _ = own.by_bucket(own.candidates(shared, buckets), buckets)
+        doc, start = own.places(at)
+        yield asking.asks(name, some, [_pack_places(*(c[order[i:j]] for c in (a, b, doc, start))) for i, j in zip(begin, begin[1:])])
+
+    def finish(packed, shared, firsts):
+        own = Batch(asking.unpack(packed), window, rounds)
+        places = own.candidates(shared, buckets)
+        _, _, at, order, some, begin, number = own.by_bucket(places, buckets)
+        first = np.zeros(len(at), bool)
+        first[order] = asking.told(firsts, some, begin)
+        gone = places[~(first[number] & (at[number] == places))] if len(places) else places
+        n = len(own.h) + 1
+        cover = np.cumsum(np.bincount(gone, minlength=n) - np.bincount(gone + window, minlength=n))
+        yield from _kept(own, cover[:-1] == 0)
 
     def _kept(own: Batch, stays: np.ndarray):
         whole = own.data.tobytes()
@@ -299,9 +218,8 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id
             part = slice(at, at + 500)
             yield pa.RecordBatch.from_arrays([own.ids[part], pa.array(n[part], pa.int64()), pa.array(removed[part], pa.int64()), pa.array(texts_[part], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    schema = "bucket int, batch string, blob binary"
-    shared = materialize(_answers(batches.mapInArrow(ask_symbols, schema), buckets, _shared, "shared"), "shared-symbols")
-    with_shared = batches.join(shared.hint("shuffle_hash"), "batch", "left")
-    firsts = materialize(_answers(with_shared.select("batch", "packed", "shared").mapInArrow(ask_windows, schema), buckets, _firsts, "firsts"), "first-windows")
+    shared = materialize(asking.answers(asked, buckets, _shared, "shared"), "shared-symbols")
+    with_shared = batches.join(shared.hint("shuffle_hash"), "batch", "left").select("batch", "packed", "shared")
+    firsts = materialize(asking.answers(asking.over_batches(with_shared, ask_windows, asking.ASKED), buckets, _firsts, "firsts"), "first-windows")
     both = batches.join(shared.join(firsts, "batch", "left").hint("shuffle_hash"), "batch", "left")
-    return both.select("packed", "shared", "firsts").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    return asking.over_batches(both.select("packed", "shared", "firsts"), finish, "doc_id long, n_words long, n_removed long, kept string")

@@ -39,11 +39,12 @@ def lower_table() -> np.ndarray:
 
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 #: Words that are hashed together.
-_TOGETHER = 1 << 18
+_TOGETHER = 1 << 17
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    """Hash of each span of some bytes: the sum of its numbers of eight bytes, each mixed with its place, mixed again.
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, *which: int) -> list[np.ndarray]:
+    """For each seed a hash of each span of some bytes: the sum of its numbers of eight bytes, each mixed with its place,
+    mixed again.
 
     Other seeds give independent hashes. A span's bytes pass a bijection that isn't linear before they are added, so
     strings that defeat polynomials with powers of two for a modulus don't meet here."""
@@ -51,28 +52,30 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     padded[: len(data)] = data
     padded[len(data) :] = 0
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
-    places = np.array([(seed * 0x632BE59BD9B4E019 + _BASE) % (1 << 64)], U64)
-    out = np.empty(len(start), U64)
+    places = [np.array([(seed * 0x632BE59BD9B4E019 + _BASE) % (1 << 64)], U64) for seed in which]
+    out = [np.empty(len(start), U64) for _ in which]
     for at in range(0, len(start), _TOGETHER):
         s = start[at : at + _TOGETHER]
         size = end[at : at + _TOGETHER] - s
-        total = mix((eight[s] & _MASK[np.minimum(size, 8)]) ^ mix(places))
+        value = eight[s] & _MASK[np.minimum(size, 8)]
+        totals = [mix(value ^ mix(p)) for p in places]
         long = np.flatnonzero(size > 8)
         if len(long):
             more = (size[long] - 1) >> 3  # numbers after the first
             for part in _parts(more):
                 own, n = long[part], more[part]
                 begin = np.cumsum(n) - n
-                of = np.repeat(np.arange(len(own)), n)
-                j = np.arange(len(of)) - begin[of] + 1
-                left = size[own][of] - 8 * j
-                value = mix((eight[s[own][of] + 8 * j] & _MASK[np.minimum(left, 8)]) ^ mix(j.astype(U64) * U64(_BASE) + places))
-                total[own] += np.add.reduceat(value, begin)
-        out[at : at + _TOGETHER] = mix(total + size.astype(U64) * U64(_BASE))
+                j = np.arange(1, int(n.sum()) + 1) - np.repeat(begin, n)
+                value = eight[np.repeat(s[own], n) + 8 * j]
+                value[begin + n - 1] &= _MASK[size[own] - 8 * n]
+                for total, p in zip(totals, places):
+                    total[own] += np.add.reduceat(mix(value ^ mix(j.astype(U64) * U64(_BASE) + p)), begin)
+        for x, total in zip(out, totals):
+            x[at : at + _TOGETHER] = mix(total + size.astype(U64) * U64(_BASE))
     return out
 
 
-def _parts(n: np.ndarray, most: int = 1 << 18):
+def _parts(n: np.ndarray, most: int = 1 << 16):
     """Slices of consecutive spans of together about `most` numbers; one span is never cut."""
     upto, at = np.cumsum(n), 0
     while at < len(n):
@@ -124,7 +127,7 @@ def _slice(a: np.ndarray, base: int, offsets: np.ndarray, is_word: np.ndarray, f
     starts[inner] = ok[inner]  # a text's first byte starts a word, and ends the one before
     ends[inner - 1] = ok[inner - 1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return s + base, e + base, span_hashes(a, s, e, seed)
+    return s + base, e + base, span_hashes(a, s, e, seed)[0]
 
 
 def grams(h: np.ndarray, k: int, seed: int = 2) -> np.ndarray:

@@ -12,6 +12,9 @@ The pre-tokeniser also looks at context, so a cut counts only where it sees the
 
 Nulls and empty texts have no ids and decode to the empty text; very long texts are cut like others; repeated rows give
 repeated rows; ids outside the vocabulary are an error. Extra columns of the input, of whatever name, are ignored.
+
+A worker holds the vocabulary (about 50 MB for 50,000 tokens; 5 MB if it only decodes), the remembered fragments, which
+go when its task ends, and what encoding about PART_BYTES of text takes; a longer text is a part of its own.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemolake.llm.common import id_and_text, map_batches, small_batches, texts
+from mnemolake.llm.common import give_back, id_and_text, small_batches, texts
 
-#: Fragments that a worker remembers, and the longest of them in bytes.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 48
+#: Fragments that a worker remembers in each of two generations, and the longest of them in bytes: together 16 MB at most.
+REMEMBERED, REMEMBERED_BYTES = 40_000, 32
 #: A specification travels to every executor, so its size is bounded.
 MAX_SPEC_BYTES = 64 << 20
+#: Bytes of text that are encoded together.
+PART_BYTES = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,23 +53,24 @@ def read_spec(path: str) -> bytes:
     return spec
 
 
-class BoundaryCodec:
-    """Encodes and decodes with a byte-level BPE specification in the tokenizers library's JSON format."""
+def _told(spec: bytes) -> dict:
+    told = json.loads(spec)
+    pre = told.get("pre_tokenizer") or {}
+    if told["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or told.get("normalizer") or told.get("post_processor"):
+        raise ValueError("a byte-level BPE specification without normaliser, prefix space and post-processor is needed")
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in told["added_tokens"]):
+        raise ValueError("added tokens that take white space or whole words aren't supported")
+    return told
+
+
+class Decoder:
+    """Decodes with a byte-level BPE specification in the tokenizers library's JSON format."""
 
     def __init__(self, spec: bytes):
-        from tokenizers import Tokenizer
+        self._take(_told(spec))
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-        told = json.loads(spec)
-        pre = told.get("pre_tokenizer") or {}
-        if told["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or told.get("normalizer") or told.get("post_processor"):
-            raise ValueError("a byte-level BPE specification without normaliser, prefix space and post-processor is needed")
+    def _take(self, told: dict) -> None:
         self.special = {x["content"].encode(): x["id"] for x in told["added_tokens"]}
-        if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in told["added_tokens"]):
-            raise ValueError("added tokens that take white space or whole words aren't supported")
-        self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         to_byte = byte_alphabet()
         vocabulary = told["model"]["vocab"]
         self.size = 1 + max([*vocabulary.values(), *self.special.values()])
@@ -73,8 +79,38 @@ class BoundaryCodec:
             self.token[i] = bytes(to_byte[c] for c in word)
         for word, i in self.special.items():
             self.token[i] = word
-        self.cut = self._cut_table(self.token[i] for i in vocabulary.values())
-        self.known: dict[bytes, bytes] = {}
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the ids' tokens; what isn't UTF-8 becomes the replacement character."""
+        token = self.token
+        out = b"".join([token[i] for i in ids.tolist()])
+        try:
+            out.decode()
+        except UnicodeDecodeError:
+            out = out.decode(errors="replace").encode()
+        return out
+
+
+class BoundaryCodec(Decoder):
+    """Encodes too."""
+
+    def __init__(self, spec: bytes):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        told = _told(spec)
+        self._take(told)
+        self.cut = self._cut_table(self.token[i] for i in told["model"]["vocab"].values())
+        del told
+        self.tokenizer = Tokenizer.from_str(spec.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the remembered fragments."""
+        self.known: dict[bytes, bytes] = {s: np.uint32(i).tobytes() for s, i in self.special.items()}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def _cut_table(tokens) -> np.ndarray:
@@ -119,17 +155,24 @@ class BoundaryCodec:
 
     def _packed(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each fragment as bytes of uint32; those of frequent ones are remembered."""
-        known = self.known
-        if len(known) > REMEMBERED or not known:
-            known.clear()
-            known.update({s: np.uint32(i).tobytes() for s, i in self.special.items()})
+        if len(self.known) > REMEMBERED:
+            older = self.known
+            self.forget()
+            self.older = older
+        known, older = self.known, self.older
         out = [known.get(p) for p in pieces]
-        fresh = [i for i, x in enumerate(out) if x is None]
+        fresh = []
+        for i, x in enumerate(out):
+            if x is None:
+                if (x := older.get(pieces[i])) is None:
+                    fresh.append(i)
+                else:
+                    out[i] = known[pieces[i]] = x
         for start in range(0, len(fresh), 10_000):
             part = fresh[start : start + 10_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in part], add_special_tokens=False)):
                 out[i] = np.array(e.ids, np.uint32).tobytes()
-                if len(pieces[i]) <= REMEMBERED_BYTES:
+                if len(pieces[i]) <= REMEMBERED_BYTES and len(known) <= 2 * REMEMBERED:
                     known[pieces[i]] = out[i]
         return out
 
@@ -176,29 +219,21 @@ class BoundaryCodec:
         at = np.append(0, upto)[np.searchsorted(stop, ends, side="right")]
         return np.split(ids, at[:-1])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of the ids' tokens; what isn't UTF-8 becomes the replacement character."""
-        token = self.token
-        out = b"".join([token[i] for i in ids.tolist()])
-        try:
-            out.decode()
-        except UnicodeDecodeError:
-            out = out.decode(errors="replace").encode()
-        return out
-
 
-_CODECS: dict[str, BoundaryCodec] = {}
+#: The codec that a Python worker used last.
+_CODECS: dict[tuple, Decoder] = {}
 
 
-def codec_of(spec: bytes) -> BoundaryCodec:
-    """One codec for each specification and Python worker."""
-    key = hashlib.sha256(spec).hexdigest()
+def codec_of(spec: bytes, kind: type = BoundaryCodec):
+    """One codec for each Python worker: a task that needs another one takes its place."""
+    key = (kind.__name__, hashlib.sha256(spec).hexdigest())
     if key not in _CODECS:
-        _CODECS[key] = BoundaryCodec(spec)
+        _CODECS.clear()
+        _CODECS[key] = kind(spec)
     return _CODECS[key]
 
 
-def in_parts(data: list[bytes], most: int = 4 << 20):
+def in_parts(data: list[bytes], most: int = PART_BYTES):
     """Consecutive texts of together about as many bytes at most: bounds the memory of a step."""
     part, n = [], 0
     for x in data:
@@ -211,32 +246,51 @@ def in_parts(data: list[bytes], most: int = 4 << 20):
         yield part
 
 
-def encode(df: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every text."""
-    spark = df.sparkSession
-    small_batches(spark)
-    spec = spark.sparkContext.broadcast(read_spec(spec_path))
+def _encoded(codec: BoundaryCodec, column: pa.Array) -> pa.ListArray:
+    ids = [x for part in in_parts(texts(column)) for x in codec.encode(part)]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
+def _decoded(codec: Decoder, lists: pa.ListArray) -> pa.Array:
+    at, flat = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+    return pa.array([codec.decode(flat[a:b]) for a, b in zip(at, at[1:])], pa.binary()).cast(pa.string())
+
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = codec_of(spec.value)
-        ids = [x for part in in_parts(texts(batch.column(1))) for x in codec.encode(part)]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))], ["doc_id", "ids"])
+def _map(df: DataFrame, spec_path: str, kind: type, f, schema: str) -> DataFrame:
+    """f(codec, batch) for each batch; what the codec remembers goes with the task."""
+    small_batches(df.sparkSession)
+    spec = df.sparkSession.sparkContext.broadcast(read_spec(spec_path))
 
-    return map_batches(id_and_text(df, id_col, text_col), run, "doc_id long, ids array<int>")
+    def run(batches):
+        codec = codec_of(spec.value, kind)
+        for batch in batches:
+            if batch.num_rows:
+                yield f(codec, batch)
+        if kind is BoundaryCodec:
+            codec.forget()
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array of int) of every text."""
+    run = lambda codec, batch: pa.RecordBatch.from_arrays([batch.column(0), _encoded(codec, batch.column(1))], ["doc_id", "ids"])
+    return _map(id_and_text(df, id_col, text_col), spec_path, BoundaryCodec, run, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, spec_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, ids and text of every row of ids; null ids count as none."""
-    spark = df.sparkSession
-    small_batches(spark)
-    spec = spark.sparkContext.broadcast(read_spec(spec_path))
+    run = lambda codec, batch: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(codec, batch.column(1))], ["doc_id", "ids", "text"])
+    rows = df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(cast(`{ids_col}` as array<int>), cast(array() as array<int>)) ids")
+    return _map(rows, spec_path, Decoder, run, "doc_id long, ids array<int>, text string")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec, lists = codec_of(spec.value), batch.column(1)
-        at, flat = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
-        out = [codec.decode(flat[a:b]) for a, b in zip(at, at[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
 
-    rows = df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(cast(`{ids_col}` as array<int>), cast(array() as array<int>)) ids")
-    return map_batches(rows, run, "doc_id long, ids array<int>, text string")
+def round_trip(df: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids of every text, and the text that they decode to: encode() and decode() in one worker."""
+
+    def run(codec: BoundaryCodec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _encoded(codec, batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(codec, ids)], ["doc_id", "ids", "text"])
+
+    return _map(id_and_text(df, id_col, text_col), spec_path, BoundaryCodec, run, "doc_id long, ids array<int>, text string")

@@ -21,8 +21,7 @@ def _sha(column) -> F.Column:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(SPEC)
-    both = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    both = bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(SPEC))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), _sha(F.col("text")).alias("decoded_sha256"))
 
 

@@ -46,7 +46,19 @@ def test_tables_with_nulls_and_clashing_columns(spark, tokenizer):
     got = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((a or 0, b or "") for a, b, _ in rows)
     assert all(r.ids == tokenizer.encode(r.text, add_special_tokens=False).ids for r in got)
-    assert bpe.encode(df.limit(0), PATH).count() == 0
+    assert sorted(bpe.round_trip(df, PATH).collect(), key=repr) == sorted(got, key=repr)
+    assert bpe.encode(df.limit(0), PATH).count() == bpe.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_remembered_fragments_are_bounded(codec, tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    many = texts(400, 5)
+    for i in range(0, len(many), 7):
+        part = many[i : i + 7]
+        assert [x.tolist() for x in codec.encode([t.encode() for t in part])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert len(codec.known) <= 41 + len(codec.special) and len(codec.older) <= 41 + len(codec.special)
+    codec.forget()
+    assert len(codec.known) == len(codec.special) and not codec.older
 
 
 def test_files(spark, tokenizer, tmp_path):

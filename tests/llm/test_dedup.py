@@ -214,7 +214,7 @@ def test_runs_reach_the_recall():
 
 def test_links_of_dense_groups(spark, monkeypatch):
     """n_links of different near copies, and of pairs among many documents that share a passage, with small blocks."""
-    monkeypatch.setattr(chosen_path, "BLOCK", 64, raising=False)
+    monkeypatch.setattr(chosen_path, "BLOCK", 64)
     r = random.Random(8)
     base = [f"w{i}" for i in range(110)]
     rows = []

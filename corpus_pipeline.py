@@ -62,8 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the hash of what they decode to."""
-    path = public_tokenizers.path(SPEC)
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.round_trip(docs, public_tokenizers.path(SPEC))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

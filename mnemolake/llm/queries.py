@@ -53,7 +53,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_hits")
+    return scored.select("doc_id", F.coalesce(toxicity.fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_hits")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

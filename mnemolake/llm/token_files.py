@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemolake.llm.bpe import codec_of, in_parts, read_spec
-from mnemolake.llm.common import id_and_text, map_batches, materialize, shared_dir, small_batches, texts
+from mnemolake.llm.common import give_back, id_and_text, materialize, shared_dir, small_batches, texts
 
 #: Ids in a sequence and sequences in a batch.
 SEQUENCE, BATCH = 2048, 64
+#: Bytes of text that a file holds, about, unless more shuffle partitions ask for smaller ones; documents that a task reads.
+FILE_BYTES, READ_DOCUMENTS = 64 << 20, 20_000
 MANIFEST = "part int, path string, documents long, tokens long, sequences long"
 
 
@@ -44,16 +46,20 @@ def write(df: DataFrame, spec_path: str, end_id: int, out_dir: str | None = None
     spec = spark.sparkContext.broadcast(read_spec(spec_path))
     docs = id_and_text(df, id_col, text_col)
     folder = out_dir or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    ends = _ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ends = _ranges(docs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES)))
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def encode(batches):
         codec, zip_ = codec_of(spec.value), zstandard.ZstdCompressor(level=1)
         kind = np.uint16 if max(codec.size, end_id + 1) <= 1 << 16 else np.uint32
         end = np.array([end_id], kind)
-        packed = [zip_.compress(np.append(x.astype(kind), end).tobytes()) for part in in_parts(texts(batch.column(1))) for x in codec.encode(part)]
-        doc = batch.column(0)
-        part = np.searchsorted(np.array(ends, np.int64), doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([doc, pa.array(part), pa.array([kind().itemsize] * len(doc), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "part", "width", "ids"])
+        for batch in batches:
+            packed = [zip_.compress(np.append(x.astype(kind), end).tobytes()) for part in in_parts(texts(batch.column(1))) for x in codec.encode(part)]
+            doc = batch.column(0)
+            part = np.searchsorted(np.array(ends, np.int64), doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(part), pa.array([kind().itemsize] * len(doc), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "part", "width", "ids"])
+        codec.forget()
+        give_back()
 
     def write_files(batches):
         from pyarrow import fs
@@ -76,7 +82,7 @@ def write(df: DataFrame, spec_path: str, end_id: int, out_dir: str | None = None
         if state is not None:
             yield state.close()
 
-    dealt = map_batches(docs, encode, "doc_id long, part int, width int, ids binary").repartitionById(len(ends) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    dealt = docs.mapInArrow(encode, "doc_id long, part int, width int, ids binary").repartitionById(len(ends) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
     return materialize(dealt.mapInArrow(write_files, MANIFEST), "manifest")
 
 
@@ -167,23 +173,32 @@ class TokenReader:
             yield view
             offset, n = offset + len(view), n - len(view)
 
-    def documents(self):
+    def documents(self, begin: int = 0, end: int | None = None):
+        """Index rows (doc_id, offset, n_tokens) of the documents from begin to end."""
+        at = 0
         with self.system.open_input_stream(f"{self.where}.index") as source:
-            yield from pa.ipc.open_stream(source)
+            for batch in pa.ipc.open_stream(source):
+                part = batch.slice(max(0, begin - at), max(0, min(batch.num_rows, end - at if end is not None else batch.num_rows) - max(0, begin - at)))
+                if part.num_rows:
+                    yield part
+                at += batch.num_rows
+                if end is not None and at >= end:
+                    return
 
 
-def read(manifest: DataFrame) -> DataFrame:
+def read(manifest: DataFrame, documents: int = READ_DOCUMENTS) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
-    little-endian unsigned 32-bit integers)."""
+    little-endian unsigned 32-bit integers). A file of more documents is read by several tasks."""
     spark = manifest.sparkSession
     # a row for each file: their running sum is small
     files = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = files.select("path", "base", F.explode(F.sequence(F.lit(0), F.col("documents") - 1, F.lit(documents))).alias("begin"))
 
     def run(batches):
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, base, begin in zip(*(c.to_pylist() for c in batch.columns)):
                 reader = TokenReader(path)
-                for docs in reader.documents():
+                for docs in reader.documents(begin, begin + documents):
                     at, n = docs.column(1).to_numpy(), docs.column(2).to_numpy()
                     crc = []
                     for o, m in zip(at.tolist(), n.tolist()):
@@ -193,4 +208,4 @@ def read(manifest: DataFrame) -> DataFrame:
                         crc.append(c)
                     yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(at + base), docs.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("path", "base").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return pieces.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "begin").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

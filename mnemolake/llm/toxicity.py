@@ -10,6 +10,7 @@ The classifier is fitted on at most SAMPLE labelled texts, chosen by a hash of t
 may travel to every executor. Scoring reads every whole text. Null and empty texts have no hits and get the score of
 such texts; labels that are null, or of no text, are left out; without labels the lexicon is empty and every text gets
 the same score. Repeated rows give repeated scores; an empty table gives an empty result. Extra columns are ignored.
+Very long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from mnemolake.llm.words import words as words_of
 
 #: Labelled texts to fit on, at most.
 SAMPLE = 6_000
-#: Terms of toxic texts that are looked at, at most: the most frequent ones.
-CANDIDATES = 200_000
-#: Terms in the lexicon, at most; lengths of stems; texts that must hold a term.
-TERMS, STEMS, LEAST_TEXTS = 4000, (4, 8), 3
+#: Lengths of stems; toxic texts of the sample that must hold a term.
+STEMS, LEAST_TEXTS = (4, 8), 3
+#: Words that a worker remembers in each of two generations: together 25 MB at most.
+REMEMBERED = 60_000
 #: Share of toxic texts among those that hold a term, after adding PRIOR texts of the usual share.
 LEAST_SHARE, PRIOR = 0.6, 2.0
 #: Characters looked at on both sides of a hit.
@@ -106,6 +107,7 @@ class Model:
         self.weights = weights or [0.0] * (len(FEATURES) + 1)
         self.trie = Trie(words, stems)
         self.known: dict[str, tuple[float, str] | None] = {}
+        self.older: dict[str, tuple[float, str] | None] = {}
 
     def to_json(self) -> str:
         return json.dumps([self.words, self.stems, self.weights])
@@ -123,12 +125,12 @@ class Model:
 
     def hits(self, text: str) -> list[tuple[int, int, float, str, bool]]:
         """(start, end, weight, kind, quoted) of each term in a text."""
-        low, known, out = text.lower(), self.known, []
-        if len(known) > 500_000:
-            known.clear()
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        low, known, older, out = text.lower(), self.known, self.older, []
         words = set(WORD.findall(low))
         for w in words.difference(known):
-            known[w] = self._look(w)
+            known[w] = older[w] if w in older else self._look(w)
         if not any(map(known.__getitem__, words)):
             return out
         for m in WORD.finditer(low):
@@ -185,8 +187,6 @@ def lexicon(held: dict[str, tuple[int, int]], n: tuple[int, int]) -> tuple[dict[
         share = (c1 + PRIOR * usual) / (c0 + c1 + PRIOR)
         if share < LEAST_SHARE or len(t.rstrip("*")) < 3 or 2 * (_part(c1, (c0 + c1) * usual) + _part(c0, (c0 + c1) * (1 - usual))) < bound:
             continue
-        if len(words) + len(stems) >= TERMS:
-            break
         share = min(share, 0.98)
         weight = round(math.log(share / (1 - share)) - math.log(usual / (1 - usual)), 4)
         if not t.endswith("*"):
@@ -275,7 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     schema = "term string, n long"
     of_toxic = rows.filter("toxic = 1").select("text").mapInArrow(count_terms(None), schema).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
-    toxic = {r["term"]: r["n"] for r in of_toxic.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    # terms that several of at most `sample` texts hold
+    toxic = {r["term"]: r["n"] for r in of_toxic.collect()}
     others = rows.filter("toxic = 0").select("text").mapInArrow(count_terms(set(toxic)), schema).groupBy("term").agg(F.sum("n").alias("n"))
     other = {r["term"]: r["n"] for r in others.collect()}
     model = Model(*lexicon({t: (other.get(t, 0), n) for t, n in toxic.items()}, (count.get(0, 0), count.get(1, 0))))

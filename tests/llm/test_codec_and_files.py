@@ -68,6 +68,7 @@ def test_files(spark, tokenizer, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "start")
     manifest = token_files.write(df, PATH, 2, str(tmp_path / "tokens"), sequence=64)
     got = {x.doc_id: x for x in token_files.read(manifest).collect()}
+    assert sorted(token_files.read(manifest, documents=3).collect()) == sorted(got.values())
     at = 0
     for doc, text in sorted(rows, key=lambda x: x[0]):
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")

@@ -18,6 +18,36 @@ def test_trie_and_automaton():
     assert [h[3] for h in model.hits("You 1d10t! scum")] == ["exact", "exact"]
 
 
+def test_automaton_against_all_distances():
+    """Every word at distance 1 of a term of five letters or more, and no other."""
+    r = random.Random(3)
+    terms = {"".join(r.choice("abcd") for _ in range(r.randint(3, 8))): float(i) for i, _ in enumerate(range(60))}
+    trie = toxicity.Model(terms, {}).trie
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(1500):
+        word = "".join(r.choice("abcd") for _ in range(r.randint(4, 9)))
+        want = max((w for t, w in terms.items() if len(t) >= 5 and distance(t, word) <= 1), default=None)
+        got = trie.near(word)
+        assert (got and got[0]) == want
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 10)
+    model = toxicity.Model({"idiot": 5.0}, {}, [1.0] * 8)
+    for i in range(50):
+        assert len(model.hits(f"you idiot number{i} some words")) == 1
+        assert len(model.known) < 16 and len(model.older) < 16
+
+
 def test_quotation_lowers_the_score():
     model = toxicity.Model({"idiot": 5.0}, {}, [1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, -2.0])
     assert [h[4] for h in model.hits('the word "idiot" is rude, you idiot')] == [True, False]

@@ -58,22 +58,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df._table_path)
+        delete_table(df.sparkSession, df._table_path)
 
 
 @contextmanager
-def tables_written(spark: SparkSession, forget: Iterable[str] = ()) -> Iterator[list[str]]:
-    """Gathers the paths of tables that are written meanwhile; those in `forget` are deleted first."""
-    for path in forget:
-        _delete(spark, path)
-    mark, own = len(_WRITTEN), []
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that operators write for themselves meanwhile; results are to be written before the end."""
+    mark = len(_WRITTEN)
     try:
-        yield own
+        yield
     finally:
-        own += _WRITTEN[mark:]
+        for path in _WRITTEN[mark:]:
+            delete_table(spark, path)
+        del _WRITTEN[mark:]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_table(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -20,7 +20,7 @@ then by line) stays, unless an earlier different line is near; other places go.
 Nulls and empty texts have no lines to remove. Rows that repeat doc_id and text are one document and treated alike; of
 rows that repeat a doc_id with different texts the one whose text hashes lowest counts as earlier. A line of any
 frequency and length is an entry for each batch. An empty table gives an empty result. Extra columns, of whatever name,
-stay as they are in `row` with keep_rows, else they are ignored.
+stay as they are in `rest.row` with keep_rows, else they are ignored.
 """
 
 from __future__ import annotations
@@ -548,7 +548,8 @@ def _late(batches: DataFrame, stays: DataFrame, buckets: int, threshold: int, le
 
 def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, points: bool = False, batch_bytes: int = asking.BATCH_BYTES) -> DataFrame:
     """doc_id, n_lines (that aren't empty), n_removed, kept (the text without the removed lines) of every row; with
-    keep_rows also `row`, the row as it is. Distances count code points with points, else bytes."""
+    keep_rows also `rest`: `row`, the row's other columns, and whether its text is `missing`. Distances count code points
+    with points, else bytes."""
     if not 0 <= threshold <= MOST_EDITS:
         raise ValueError(f"the threshold must be 0 to {MOST_EDITS}")
     spark = df.sparkSession
@@ -556,7 +557,7 @@ def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, b
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_ = F.col(id_col).cast("long")
     # the text travels once, so the row goes without it
-    rest = [F.struct(*(F.col(c) for c in df.columns if c != text_col), F.col(text_col).isNull().alias("_null")).alias("rest")] if keep_rows else []
+    rest = [F.struct(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row"), F.col(text_col).isNull().alias("missing")).alias("rest")] if keep_rows else []
     source = df.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(asking.NONE)).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"), *rest)
     buckets = asking.bucket_count(source)
 

@@ -130,9 +130,11 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 @pytest.mark.parametrize("name", ["drop_toxic", "drop_repeated_lines", "drop_near_copies", "drop_contaminated"])
 def test_stages_on_odd_rows(spark, name):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a line\na line", "en", None, 13), (3, "word " * 30, "en", "s", 150)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string, rest int, node long, score double, gone long, missing int, `a.b` int"
+    more = ("k", "r", 1, 2, 0.5, 3, 4, 5)
+    rows = [(1, None, None, None, None, *more), (2, "", "en", "s", 0, *more), (2, "", "en", "s", 0, *more), (None, "a line\na line", "en", None, 13, *more), (3, "word " * 30, "en", "s", 150, *more)]
     df = spark.createDataFrame(rows, schema)
     out = getattr(corpus_pipeline, name)(spark, df, DATA)
+    assert all(r["kept"] == "k" and r["a.b"] == 5 and r["missing"] == 4 for r in out.collect())
     assert out.columns == df.columns and out.filter("doc_id is null").count() == 1 and out.filter("doc_id = 3").count() == 1
     assert getattr(corpus_pipeline, name)(spark, df.limit(0), DATA).count() == 0

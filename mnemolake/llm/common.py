@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,12 +46,14 @@ _WRITTEN: list[str] = []
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage through a Parquet table in the shared folder: a lost executor loses nothing of it."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished steps
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of steps that nothing names any more
+    out = spark.read.schema(schema).parquet(path)
     out._table_path = path
     return out
 

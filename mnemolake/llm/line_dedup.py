@@ -527,11 +527,11 @@ def _late(batches: DataFrame, stays: DataFrame, buckets: int, threshold: int, le
                 [*_ID, *_PLACE, "content", "keys"],
             )
 
-    with_first = batches.join(stays.hint("shuffle_hash"), "batch", "left")
-    shared = materialize(asking.answers(asking.over_batches(with_first.select("batch", "packed", "stays"), ask, asking.ASKED), buckets, _shared, "shared"), "shared-segments")
-    with_both = batches.join(stays.join(shared, "batch", "left").hint("shuffle_hash"), "batch", "left")
-    found = asking.over_batches(with_both.select("packed", "stays", "shared"), emit, "h1 long, h2 long, doc long, text_hash long, line long, content binary, keys array<struct<key:long,own:boolean>>")
-    lines = materialize(found, "lines-with-partners")
+    # nothing names these joins, so their shuffle files go once a step is written
+    joined = lambda bits, *columns: batches.join(bits.hint("shuffle_hash"), "batch", "left").select(*columns)
+    shared = materialize(asking.answers(asking.over_batches(joined(stays, "batch", "packed", "stays"), ask, asking.ASKED), buckets, _shared, "shared"), "shared-segments")
+    kind = "h1 long, h2 long, doc long, text_hash long, line long, content binary, keys array<struct<key:long,own:boolean>>"
+    lines = materialize(asking.over_batches(joined(stays.join(shared, "batch", "left"), "packed", "stays", "shared"), emit, kind), "lines-with-partners")
     # rows that repeat a document have the same lines
     keys = materialize(lines.select(*_ID, F.explode("keys").alias("k")).select("k.key", *_ID, "k.own").groupBy("key", *_ID).agg(F.max("own").alias("own")), "segments")
     once = materialize(lines.select(*_ID, *_PLACE, "content").dropDuplicates(_ID), "lines-to-compare")

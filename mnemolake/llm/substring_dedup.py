@@ -219,7 +219,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id
             yield pa.RecordBatch.from_arrays([own.ids[part], pa.array(n[part], pa.int64()), pa.array(removed[part], pa.int64()), pa.array(texts_[part], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     shared = materialize(asking.answers(asked, buckets, _shared, "shared"), "shared-symbols")
-    with_shared = batches.join(shared.hint("shuffle_hash"), "batch", "left").select("batch", "packed", "shared")
-    firsts = materialize(asking.answers(asking.over_batches(with_shared, ask_windows, asking.ASKED), buckets, _firsts, "firsts"), "first-windows")
+    with_shared = lambda: batches.join(shared.hint("shuffle_hash"), "batch", "left").select("batch", "packed", "shared")
+    firsts = materialize(asking.answers(asking.over_batches(with_shared(), ask_windows, asking.ASKED), buckets, _firsts, "firsts"), "first-windows")
     both = batches.join(shared.join(firsts, "batch", "left").hint("shuffle_hash"), "batch", "left")
     return asking.over_batches(both.select("packed", "shared", "firsts"), finish, "doc_id long, n_words long, n_removed long, kept string")

@@ -22,7 +22,7 @@ _Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: English and Spanish words that carry no topic. (Fixed values.)
-STOPWORDS = (
-    "a an and are as at be by for from has have how in is it its of on or that the this to was were what when where which who will with "
-    "al como con de del el en es la las lo los más no o para por que se sin su un una y"
-).split()
+STOPWORDS = "a an the of to in and or for on is are was were de la el los las que y en un una con por para del".split()
 
 FAILURE, GOTCHA, PREFERENCE, DECISION = r"\b(fail(ed|ure|s)?|broke|crash(ed|es)?|error)\b", r"\b(gotcha|beware|caveat|careful|watch out)\b", r"\b(prefer(s|red)?|likes?|favou?rs?)\b", r"\b(decid(ed|e|es)|decision|chose|chosen|adopt(ed)?)\b"
 KINDS = {"failure": "FAILURES", "gotcha": "GOTCHAS", "preference": "PREFERENCES", "decision": "DECISIONS", "fact": "FACTS"}
@@ -25,9 +22,9 @@ def words(text: Column | str) -> Column:
 
 
 def tokenize(text: Column | str, stopwords: list[str] | None = STOPWORDS) -> Column:
-    """Words of more than one character that aren't stop words: one pattern, so that no word is looked up in a list."""
-    drop = rf"(?!(?:{'|'.join(stopwords)})(?![\p{{L}}\p{{N}}]))" if stopwords else ""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}]){drop}[\p{{L}}\p{{N}}]{{2,}}"), F.lit(0))
+    """Words of more than one character that aren't stop words."""
+    found = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(stopwords or []))
 
 
 def token_estimate(text: Column | str) -> Column:
@@ -50,9 +47,9 @@ def body_of(text: Column | str) -> Column:
 
 
 def normalize_target(target: Column | str) -> Column:
-    """A link's target without label, anchor and .md, in lower case with forward slashes."""
+    """A link's target without label, anchor, outer slashes and .md, in lower case with forward slashes."""
     t = F.substring_index(F.substring_index(_col(target), "|", 1), "#", 1)
-    return F.regexp_replace(F.lower(F.trim(F.replace(t, F.lit("\\"), F.lit("/")))), r"\.md$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.replace(t, F.lit("\\"), F.lit("/")))), r"^/+|/+$", ""), r"\.md$", "")
 
 
 def link_targets(text: Column | str) -> Column:

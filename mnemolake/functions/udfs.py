@@ -7,6 +7,7 @@ import hashlib
 import html
 import re
 import unicodedata
+from difflib import SequenceMatcher
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -17,9 +18,33 @@ BLOCKS = frozenset("p div section article main header footer ul ol li table tr h
 DROPPED = frozenset("script style template noscript svg".split())
 CHROME = frozenset("nav header footer aside form".split())
 VOID = frozenset("br hr img meta link input source area base col embed wbr".split())
-ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
-#: Wording of attempts to steer a reader's model. (Fixed values.)
-INJECTIONS = [re.compile(p, re.I) for p in (r"(ignore|disregard|forget) (all |any )?(the )?(previous|prior|above) (instructions|rules)", r"you are now\b.{0,40}\b(mode|assistant|model)", r"system prompt", r"(ignora|olvida) (todas )?(las )?instrucciones( anteriores)?", r"(reveal|print|show) (me )?(your|the) (system|hidden) (prompt|instructions)", r"do not (tell|inform) the user")]
+ZERO_WIDTH = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
+#: Wording of attempts to steer a reader's model, in English and Spanish, and how a line begins that poses as a turn of a
+#: chat. (Fixed values.)
+FILLER = r"(?:las?|los|todas?|todos?|estas?|esas?|esos|estos|tus|mis|sus|el|lo|cualquier|instrucciones|reglas|indicaciones|directrices|[oó]rdenes|contexto|mensajes?)"
+TARGET = r"(?:anteriores|previas|previos|previo|previa|anterior|de\s+arriba)"
+INJECTIONS = (
+    r"\bignore\s+(?:(?:all|the|any|these|those|my|your)\s+){0,2}(?:previous|prior|above)\b",
+    r"\bdisregard\s+(?:(?:the|all|any|these|those|your|my)\s+){0,2}(?:above|previous|prior)\b",
+    r"\byou\s+are\s+now\b",
+    r"\bnew\s+instructions\b",
+    r"\bsystem\s+prompt\b",
+    r"\b(?:print|reveal|show|repeat)\s+your\s+(?:system\s+)?(?:prompt|instructions)\b",
+    r"\b(?:run|execute)\s+the\s+following\b",
+    r"\bexfiltra\w*",
+    r"<\/?system\b[^>]*>",
+    rf"\b(?:ignora\w*|descarta\w*|olvida\w*)\s+(?:{FILLER}\s+){{0,4}}{TARGET}\b",
+    rf"\bhaz\s+caso\s+omiso\s+de\s+(?:{FILLER}\s+){{0,4}}{TARGET}\b",
+    r"\bnuevas\s+(?:instrucciones|reglas|directrices|[oó]rdenes)\b",
+    r"\b(?:ahora\s+eres|eres\s+ahora|a\s+partir\s+de\s+ahora\s+eres)\b",
+    r"\bprompt\s+del?\s+sistema\b",
+    r"\b(?:revela\w*|muestra\w*|imprime\w*|repite\w*|comparte\w*|ens[eéií][ñn]a\w*)\s+(?:tu|tus)\s+(?:instrucci[oó]n\w*|prompt|indicaciones|directrices|reglas)\b",
+    r"\b(?:ejecuta\w*|corre\w*)\s+(?:el|la|lo|los|las)\s+siguiente",
+    r"\b(?:filtra\w*|env[ií]a\w*|manda\w*)\s+(?:(?:los|las|el|mis|tus|sus)\s+){0,2}(?:secretos|credenciales|contrase[nñ]as|claves|tokens|variables\s+de\s+entorno)\b",
+)
+TURNS = (r"^\s*system\s*:", r"^\s*assistant\s*:", r"^\s*sistema\s*:", r"^\s*asistente\s*:")
+_STEER = [re.compile(p, re.I | re.A) for p in INJECTIONS]
+_POSE = [re.compile(p, re.I | re.A) for p in TURNS]
 
 
 def _arrow(kind: str):
@@ -89,32 +114,12 @@ def embed(s: pd.Series) -> pd.Series:
 
 def longest_block(a: str, b: str) -> tuple[int, int, int]:
     """Start in a, start in b and length of the longest common block; the earliest in a, then in b, of ties."""
-    best, row = (0, 0, 0), {}
-    where: dict[str, list[int]] = {}
-    for j, c in enumerate(b):
-        where.setdefault(c, []).append(j)
-    for i, c in enumerate(a):
-        new = {}
-        for j in where.get(c, ()):
-            n = new[j] = row.get(j - 1, 0) + 1
-            if n > best[2]:
-                best = (i - n + 1, j - n + 1, n)
-        row = new
-    return best
+    return tuple(SequenceMatcher(None, a, b, autojunk=False).find_longest_match())
 
 
 def similarity(a: str, b: str) -> float:
     """Twice the characters in common blocks, found longest first, by all characters; 1 for two empty texts."""
-    if not a and not b:
-        return 1.0
-    todo, common = [(a, b)], 0
-    while todo:
-        x, y = todo.pop()
-        i, j, n = longest_block(x, y)
-        if n:
-            common += n
-            todo += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
-    return 2 * common / (len(a) + len(b))
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 @_arrow("double")
@@ -305,14 +310,21 @@ def chunk_text(s: pd.Series) -> pd.Series:
 
 
 def injection_hits(text: str) -> list[str]:
-    clean = unicodedata.normalize("NFKC", text).translate(ZERO_WIDTH)
-    where = [*clean.split("\n"), re.sub(r"\s+", " ", clean)]
-    return sorted({m[0].lower() for p in INJECTIONS for x in where if (m := p.search(x))})
+    """Lines that a pattern fits, then what fits only across line ends and is in no such line."""
+    seen = lambda x: unicodedata.normalize("NFKC", x)
+    found = [x for x in (y.removesuffix("\r") for y in text.split("\n")) if any(p.search(seen(x)) for p in (*_STEER, *_POSE))]
+    whole, held = " ".join(seen(text).split()), [" ".join(seen(x).split()).lower() for x in found]
+    for p in _STEER:
+        m = p.search(whole)
+        if m and not any(m[0].lower() in h for h in held):
+            found.append(m[0])
+            held.append(m[0].lower())
+    return found
 
 
 @_arrow("array<string>")
 def injection_scan(s: pd.Series) -> pd.Series:
-    """Distinct phrases that try to steer a reader's model, by line and across line ends."""
+    """Lines and phrases that try to steer a reader's model."""
     return s.fillna("").map(injection_hits)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track; a trailing * stands for any ending. (Fixed values.)
-TRACKERS = "utm_* fbclid gclid dclid msclkid mc_cid mc_eid igshid ref ref_src yclid".split()
+#: Query parameters that only track. (Fixed values.)
+TRACKERS = "utm_source utm_medium utm_campaign utm_term utm_content utm_id fbclid gclid gclsrc dclid msclkid yclid igshid mc_cid mc_eid _ga _gl ref_src spm".split()
 
 
 def _col(c: Column | str) -> Column:
@@ -36,14 +36,15 @@ def normalize(url: Column | str) -> Column:
 
 
 def canonical(url: Column | str) -> Column:
-    """https, no www., no trackers, parameters sorted, no slash at the end, no fragment; null without a host."""
-    pattern = "^(" + "|".join(t.replace("*", "[^=]*") for t in TRACKERS) + ")(=|$)"
+    """https, no www., no trackers, parameters sorted, no slash at the end, no fragment. What has no host is only trimmed
+    and lower case; null for null."""
+    pattern = "^(" + "|".join(TRACKERS) + ")(=|$)"
     params = F.array_sort(F.filter(F.split(query_of(url), "&"), lambda p: (p != "") & ~F.lower(p).rlike(pattern)))
     query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")
     path = F.regexp_replace(path_of(url), "/+$", "")
     port = F.regexp_extract(F.lower(F.trim(_col(url))), r"^[a-z][a-z0-9+.-]*://[^/?#]*?(:[0-9]+)(?:[/?#]|$)", 1)
     port = F.when(port.isin(":80", ":443"), "").otherwise(port)
-    return F.when(host_of(url) != "", F.concat(F.lit("https://"), host_of(url), port, path, query))
+    return F.when(host_of(url) != "", F.concat(F.lit("https://"), host_of(url), port, path, query)).otherwise(F.lower(F.trim(_col(url))))
 
 
 def hash8(url: Column | str) -> Column:

@@ -87,3 +87,33 @@ def topic_index(pages: DataFrame, topic: str = "topic") -> DataFrame:
     out = pages.groupBy(topic).agg(F.count("*").alias("n"), F.bool_or("flagged").alias("flagged"), F.bool_or(F.col("status") == "consolidated").alias("consolidated"))
     mark = F.concat(F.when(F.col("flagged"), " (flagged)").otherwise(""), F.when(F.col("consolidated"), " (consolidated)").otherwise(""))
     return out.withColumn("line", F.concat(F.lit("- "), F.col(topic), F.lit(": "), F.col("n"), F.lit(" pages"), mark))
+
+
+def leads(found: DataFrame, done: DataFrame, most: int = 5, key: str = "topic", text: str = "lead") -> DataFrame:
+    """key, lead: new leads of a topic, the first spellings in order, without those that are done, `most` at most. found:
+    key, position, lead; done: key, lead."""
+    same = lambda df: df.withColumn("_k", F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))))
+    fresh = same(found).filter("_k <> ''").join(same(done).select(key, "_k").distinct(), [key, "_k"], "left_anti")
+    once = fresh.groupBy(key, "_k").agg(F.min("position").alias("position"), F.min_by(text, "position").alias(text))
+    w = Window.partitionBy(key).orderBy("position", "_k")
+    return once.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select(key, text)
+
+
+def consolidation_plan(topics: DataFrame, least: int = 2, model: bool = False):
+    """What happens to a topic (status, n): nothing if it is consolidated or small, else a summary by model or by rule."""
+    return topics.withColumn("plan", F.when(F.col("status") == "consolidated", "skip").when(F.col("n") < least, "wait").otherwise("model" if model else "heuristic"))
+
+
+def robots_gate(urls: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
+    """url, allowed: by the rules of hosts whose robots.txt is known; others are open."""
+    from mnemolake.operators.filters import robots_allowed
+
+    told = robots_allowed(urls, rules).join(known.select("host").distinct().withColumn("_known", F.lit(True)), "host", "left")
+    return told.select("url", (F.col("allowed") | F.col("_known").isNull()).alias("allowed"))
+
+
+def job_outcome(rounds: DataFrame, job: str = "job") -> DataFrame:
+    """job, rounds, pages, outcome of job rounds (round, pages, useful, stopped, fatal, open): stopped before failed (a
+    fatal round, or none useful) before done-partial (the last round left something open) before done."""
+    total = rounds.groupBy(job).agg(F.count("*").alias("rounds"), F.sum("pages").alias("pages"), F.bool_or("stopped").alias("_s"), F.bool_or("fatal").alias("_f"), F.bool_or("useful").alias("_u"), F.max_by("open", "round").alias("_o"))
+    return total.select(job, "rounds", "pages", F.when(F.col("_s"), "stopped").when(F.col("_f") | ~F.col("_u"), "failed").when(F.col("_o") > 0, "done-partial").otherwise("done").alias("outcome"))

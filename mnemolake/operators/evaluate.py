@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemolake.operators.ranking import top
+
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, by: str | None = None) -> DataFrame:
     """ranked: query_id, doc_id, rank; relevant: query_id, doc_id, gain. Per query: recall, mrr, hit1, ndcg, ap at k; with
@@ -22,8 +24,9 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, by: st
         F.sum((F.pow(F.lit(2.0), "gain") - 1) / F.log2(F.col("rank") + 1)).alias("dcg"),
         F.sum(F.col("seen") / F.col("rank")).alias("precision"),
     )
-    ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "doc_id"))
-    ideal = rel.withColumn("i", ideal_rank).groupBy("query_id", *([by] if by else [])).agg(F.count("*").alias("n"), F.sum(F.when(F.col("i") <= k, (F.pow(F.lit(2.0), "gain") - 1) / F.log2(F.col("i") + 1)).otherwise(0.0)).alias("idcg"))
+    # only the k best of a query are ranked
+    best = top(rel, ["query_id"], k, F.desc("gain"), F.asc("doc_id")).groupBy("query_id").agg(F.sum((F.pow(F.lit(2.0), "gain") - 1) / F.log2(F.col("rank") + 1)).alias("idcg"))
+    ideal = rel.groupBy("query_id", *([by] if by else [])).agg(F.count("*").alias("n")).join(best, "query_id")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = ideal.join(got, "query_id", "left").select(
         "query_id",
@@ -89,14 +92,15 @@ def bootstrap_interval(values: list[float], seed: int = 1, rounds: int = 2000, l
     return means[int(low * rounds)], means[min(rounds - 1, int((1 - low) * rounds))]
 
 
-def bootstrap_ci(df: DataFrame, by: str, value: str, seed: int = 1, rounds: int = 500, most: int = 2000) -> DataFrame:
-    """by, n, mean, low, high. Groups are per-query metrics, of `most` values at most (those that hash lowest)."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(value), value)
-    small = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= most).select(by, F.col(value).cast("double").alias("value"))
+def bootstrap_ci(df: DataFrame, by: str, value: str, seed: int = 1, rounds: int = 500, most: int = 1_000_000) -> DataFrame:
+    """by, n, mean, low, high. Groups are per-query metrics; one of more than `most` values is an error."""
+    small = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("value"))
 
     def run(pdf):
         import pandas as pd
 
+        if len(pdf) > most:
+            raise ValueError(f"a group has {len(pdf)} values, more than {most}")
         values = sorted(pdf["value"])
         low, high = bootstrap_interval(values, seed, rounds)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(values)], "mean": [round(sum(values) / len(values), 6)], "low": [round(low, 6)], "high": [round(high, 6)]})
@@ -104,6 +108,34 @@ def bootstrap_ci(df: DataFrame, by: str, value: str, seed: int = 1, rounds: int
     return small.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, n long, mean double, low double, high double")
 
 
+def bootstrap_delta(a: list[float], b: list[float], seed: int = 1, rounds: int = 2000, level: float = 0.95) -> tuple[float, float]:
+    """Percentile interval of the difference of means, both sides resampled on their own; none below two values a side."""
+    if min(len(a), len(b)) < 2:
+        return (float("nan"), float("nan"))
+    draw = mulberry32(seed)
+    mean = lambda x: sum(x[int(next(draw) * len(x))] for _ in x) / len(x)
+    found = sorted(mean(a) - mean(b) for _ in range(rounds))
+    low = (1 - level) / 2
+    return found[int(low * rounds)], found[min(rounds - 1, int((1 - low) * rounds))]
+
+
+def describe(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, mean, low, high, median (mean of both middle values of an even number), stdev (0 below two values)."""
+    x = F.col(value).cast("double")
+    return df.filter(x.isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"), F.round(F.median(x), 6).alias("median"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("stdev"))
+
+
+def wire_tokens(*columns: str):
+    """Tokens of a row as compact JSON, four bytes each."""
+    return F.ceil(F.octet_length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})) / 4).cast("long")
+
+
+def assembly_savings(rows: DataFrame, by: str, bundle: str = "bundle_tokens", naive: str = "naive_tokens", complete: str = "complete") -> DataFrame:
+    """by, n, passed (complete answers), and the median saving of those that passed."""
+    saved = F.when(F.col(complete) & (F.col(naive) > 0), 1 - F.col(bundle) / F.col(naive))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(complete).alias("passed"), F.round(F.median(saved), 6).alias("median_saved"))
+
+
 def verdict(n, low, high, delta, epsilon: float = 0.0):
     """directional below five samples; significant if the interval leaves out 0 and the change is large enough."""
     return F.when(n < 5, "directional").when(((low > 0) | (high < 0)) & (F.abs(delta) > epsilon), "significant").otherwise("not significant")

@@ -48,13 +48,17 @@ def any_keyword(text: str, keywords: list[str]) -> Column:
     return out
 
 
-#: Phrases of pages that hide their content. (Fixed values.)
-GATES = ("sign in to continue", "log in to continue", "subscribe to read", "subscribe to continue", "create a free account", "enable javascript and cookies", "verify you are human", "captcha")
+#: What the HTML of pages that hide their content holds. (Fixed values.)
+GATES = (
+    "just a moment...", "checking your browser before accessing", "enable javascript and cookies to continue", "verify you are human", "please verify you are a human", "cf-challenge",
+    "cf-browser-verification", "/cdn-cgi/challenge-platform", "g-recaptcha", "grecaptcha", "h-captcha", "hcaptcha", "please complete the security check", "attention required! | cloudflare",
+    "sign in to continue", "log in to continue", "please log in to view", "subscribe to read the full", "this content is available to subscribers",
+)
 
 
 def gated_reason(html: str, text: str, least: int = 4000) -> Column:
-    """Why a page seems gated: a phrase, or a short text with a password field; null otherwise."""
-    low, out = F.lower(F.col(text)), F.when((F.length(text) < least) & F.col(html).rlike(r"(?i)<input[^>]+type\s*=\s*[\"']?password"), "password field")
+    """Why a page seems gated: a phrase of its HTML, or a short text with a password field; null otherwise."""
+    low, out = F.lower(F.col(html)), F.when((F.length(text) < least) & F.col(html).rlike(r"(?i)<input[^>]+type\s*=\s*[\"']?password"), "password field")
     for phrase in reversed(GATES):
         out = F.when(F.contains(low, F.lit(phrase)), phrase).otherwise(out)
     return out

@@ -59,18 +59,27 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def untyped_neighbors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node, n_seeds: notes that seeds point to, by the number of distinct seeds; seeds themselves are left out."""
-    hit = edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi").join(seeds.select(F.col("node").alias("dst")), "dst", "left_anti")
-    return hit.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("n_seeds"))
+    """node, n_seeds: how many distinct seeds a note is next to. A seed gives to all that it points to, other seeds too; a
+    note that isn't a seed gets from all seeds that it points to."""
+    out, back = _next_to(edges.select("src", "dst").distinct(), seeds)
+    return out.unionByName(back).groupBy("node").agg(F.count("*").alias("n_seeds"))
+
+
+def _next_to(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges from a seed to another note, and from other notes to a seed: node is the one that is reached."""
+    named = lambda c: seeds.select(F.col("node").alias(c)).distinct()
+    out = edges.join(named("src"), "src", "left_semi").filter("src <> dst").withColumnRenamed("dst", "node")
+    back = edges.join(named("src"), "src", "left_anti").join(named("dst"), "dst", "left_semi").withColumnRenamed("src", "node")
+    return out, back.withColumnRenamed("dst", "src")
 
 
 def typed_neighbors(edges: DataFrame, seeds: DataFrame, weights: dict[str, float], other: float = 0.5) -> DataFrame:
-    """node, score: sum of edge type weights between a note and the seeds, in both directions; seeds are left out."""
+    """node, score: sum of edge type weights of a note that seeds point to, or that isn't a seed and points to one."""
     weight = F.lit(other)
     for verb, w in sorted(weights.items()):
         weight = F.when(F.col("type") == verb, F.lit(w)).otherwise(weight)
-    hit = both_ways(edges).join(seeds.select(F.col("node").alias("src")), "src", "left_semi").join(seeds.select(F.col("node").alias("dst")), "dst", "left_anti")
-    return hit.withColumn("w", weight).groupBy(F.col("dst").alias("node")).agg(F.round(F.sum("w"), 6).alias("score"))
+    out, back = _next_to(edges.select("src", "dst", "type"), seeds)
+    return out.unionByName(back).withColumn("w", weight).groupBy("node").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "out", types: list[str] | None = None) -> DataFrame:

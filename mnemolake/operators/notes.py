@@ -89,3 +89,70 @@ def compress_index(index: DataFrame, most: int = 120, text: str = "line") -> Dat
     bullet = F.col(text).rlike(r"^\s*[-*]\s")
     cut = F.when(F.length(text) > most, F.concat(F.regexp_extract(F.substring(text, 1, most), r"^(.*)\s\S*$", 1), F.lit(" …"))).otherwise(F.col(text))
     return index.filter(bullet | F.col(text).startswith("#") | (F.length(text) <= most)).withColumn(text, F.when(bullet, cut).otherwise(F.col(text)))
+
+
+def query_hash(query):
+    """The first twelve hex digits of the query's SHA-256."""
+    return F.substring(F.sha2(query.cast("binary"), 256), 1, 12)
+
+
+def is_hypothesis(text: str = "text"):
+    return T.has_front_status(text, "hypothesis")
+
+
+def append_under_heading(text, heading: str, bullet):
+    """The text with a bullet at the end of a `## ` section; without the section, with a new one at the end."""
+    lines = F.split(text, "\n")
+    at = F.array_position(lines, f"## {heading}").cast("int")
+    after = F.slice(lines, at + 1, F.size(lines))
+    nxt = F.array_position(F.transform(after, lambda x: x.startswith("## ")), True).cast("int")
+    end = F.when(nxt > 0, at + nxt - 1).otherwise(F.size(lines))  # lines up to the section's end
+    # blank lines stay behind the bullet
+    filled = F.aggregate(F.slice(lines, 1, end), F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), lambda s, x: F.struct((s["n"] + 1).alias("n"), F.when(F.trim(x) != "", s["n"] + 1).otherwise(s["last"]).alias("last")))["last"]
+    put = F.array_join(F.concat(F.slice(lines, 1, filled), F.array(F.concat(F.lit("- "), bullet)), F.slice(lines, filled + 1, F.size(lines))), "\n")
+    return F.when(at > 0, put).otherwise(F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit(f"\n\n## {heading}\n- "), bullet))
+
+
+def history_rows(lines: DataFrame, column: str = "line") -> DataFrame:
+    """hash, date, subject of tab-separated history lines; others go."""
+    part = F.split(column, "\t", 3)
+    return lines.filter(F.size(part) == 3).select(part[0].alias("hash"), part[1].alias("date"), part[2].alias("subject"))
+
+
+def schema_verdict(missing, enforced: bool = False):
+    """ok, or a warning with the missing keys; an error where the schema is enforced."""
+    told = F.concat(F.lit("missing: "), F.array_join(missing, ", "))
+    return F.when(F.size(missing) == 0, F.lit("ok")).otherwise(F.raise_error(told) if enforced else told)
+
+
+def actions(broken: DataFrame, orphans: DataFrame, stale: DataFrame, drifted: DataFrame) -> DataFrame:
+    """position, action: what to do next, one line for each kind of finding there is."""
+    rows = [(1, broken, "fix %d broken links"), (2, orphans, "link %d orphaned notes"), (3, stale, "review %d stale notes"), (4, drifted, "reindex %d notes")]
+    out = None
+    for n, df, text in rows:
+        one = df.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(n).alias("position"), F.format_string(text, "n").alias("action"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def reflection(promotions: DataFrame, pairs: DataFrame, ages: DataFrame, activity: DataFrame) -> DataFrame:
+    """kind, key, detail: hypotheses that wait, notes that nearly repeat each other, confidence out of date, and what the
+    last sessions were about. promotions: path, line; pairs: a, b, score; ages: path, status; activity: kind, value, n."""
+    parts = [
+        promotions.select(F.lit("promote").alias("kind"), F.col("path").alias("key"), F.col("line").alias("detail")),
+        pairs.select(F.lit("merge").alias("kind"), F.col("a").cast("string").alias("key"), F.col("b").cast("string").alias("detail")),
+        ages.select(F.lit("verify").alias("kind"), F.col("path").alias("key"), F.col("status").alias("detail")),
+        activity.select(F.concat(F.lit("active "), F.col("kind")).alias("kind"), F.col("value").alias("key"), F.col("n").cast("string").alias("detail")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def reflection_text(found: DataFrame) -> DataFrame:
+    """text: the findings as Markdown, a section for each kind; one row."""
+    line = F.concat(F.lit("- "), F.col("key"), F.lit(": "), F.col("detail"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", line.alias("_l")))), lambda s: s["_l"]), "\n")
+    each = found.groupBy("kind").agg(parts.alias("_t")).withColumn("_s", F.concat(F.lit("## "), F.col("kind"), F.lit("\n"), F.col("_t")))
+    return each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "_s"))), lambda s: s["_s"]), "\n\n").alias("text"))

@@ -18,15 +18,25 @@ def top(df: DataFrame, per: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer files than there are cores, which then would idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def postings(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Query terms, term frequencies of documents for those terms, and each term's statistics with the corpus'."""
+    """Query terms; term frequencies (doc_id, length, term, tf) of documents for those terms; and each term's statistics
+    with the corpus'. A document also counts for the empty term, so that one pass over the texts tells the corpus' size
+    and mean length too: all that is derived from it shares its shuffle."""
     terms = queries.select(F.col("query_id"), F.explode(F.array_distinct(T.tokenize(query_text))).alias("term"))
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), T.tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    # each document's terms are counted where it is read, then only those asked for are shuffled
-    counted = tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(corpus)
-    return terms, counted, df
+    tokens = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("doc_id", T.tokenize("text").alias("tokens"))
+    asked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    each = tokens.select("doc_id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    counted = each.join(asked, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"), F.sum("tf").alias("cf")).filter("cf > 0")
+    corpus = stats.filter("term = ''").select(F.col("df").alias("n"), "mean")
+    # one row
+    return terms, counted.filter("term <> ''"), stats.filter("term <> ''").select("term", "df").join(F.broadcast(corpus))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_text: str = "query") -> DataFrame:
@@ -50,10 +60,11 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **columns: str)
 def bm25_or_fallback(docs: DataFrame, queries: DataFrame, k: int = 10, **columns: str) -> DataFrame:
     """All terms must match; queries without such a document fall back to any term. `mode` tells which."""
     scored = bm25_scores(docs, queries, **columns).withColumn("whole", F.col("matched") == F.col("asked"))
+    # whole matches rank first, so the first k of a query tell whether it has any
+    ranked = top(scored, ["query_id"], k, F.desc("whole"), F.desc("score"), F.asc("doc_id"))
     any_whole = F.max("whole").over(Window.partitionBy("query_id"))
-    chosen = scored.withColumn("any_whole", any_whole).filter(F.col("whole") | ~F.col("any_whole"))
-    ranked = top(chosen, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
-    return ranked.select("query_id", "doc_id", "score", "rank", F.when(F.col("any_whole"), "and").otherwise("or").alias("mode"))
+    chosen = ranked.withColumn("any_whole", any_whole).filter(F.col("whole") | ~F.col("any_whole"))
+    return chosen.select("query_id", "doc_id", "score", "rank", F.when(F.col("any_whole"), "and").otherwise("or").alias("mode"))
 
 
 def bm25f_topk(docs: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 10, doc_id: str = "doc_id", query_text: str = "query") -> DataFrame:
@@ -66,14 +77,54 @@ def bm25f_topk(docs: DataFrame, queries: DataFrame, weights: dict[str, float], k
     return top(scored, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None) -> DataFrame:
+#: Queries that a pass over the corpus answers.
+QUERY_BLOCK = 4096
+
+
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """corpus: id, vec; queries: query_id, vec. The k nearest by cosine, ties by id; with group the nearest of each group.
 
-    Unit vectors are made once for each row; the query side is small and broadcast by Spark if its size allows."""
-    c = corpus.withColumn("unit", V.l2_normalize("vec"))
-    q = queries.select("query_id", V.l2_normalize("vec").alias("asked"))
-    scored = c.join(q).select("query_id", *([group] if group else []), "id", F.round(V.dot("unit", "asked"), DIGITS).alias("score"))
-    return top(scored, ["query_id", *([group] if group else [])], 1 if group else k, F.desc("score"), F.asc("id"))
+    Blocks of queries, of bounded size, travel to the corpus, whose batches answer with their own best rows by a product
+    of matrices; so the rows that are ranked are few. Rows without a vector, or of another size, are left out."""
+    asked = queries.filter(F.size("vec") > 0).select("query_id", "vec")
+    blocks = max(1, -(-asked.count() // block))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    rows = spread(corpus.select(F.col("id").cast("long").alias("id"), *([F.col(group).cast("long").alias(group)] if group else []), F.col("vec").cast("array<double>").alias("vec")))
+    columns = ["query_id", *([group] if group else []), "id", "score"]
+    schema = ", ".join(f"{c} {'double' if c == 'score' else 'long'}" for c in columns)
+    parts = None
+    for n in range(blocks):
+        some = [(r["query_id"], r["vec"]) for r in numbered.filter(F.col("_block") == n).collect()]
+        part = rows.mapInPandas(_nearest(some, k, group), schema) if some else None
+        parts = part if parts is None else parts if part is None else parts.unionByName(part)
+    if parts is None:
+        parts = rows.sparkSession.createDataFrame([], schema)
+    return top(parts, ["query_id", *([group] if group else [])], 1 if group else k, F.desc("score"), F.asc("id"))
+
+
+def _nearest(asked: list, k: int, group: str | None):
+    """The nearest rows of each batch, of the whole batch or of each of its groups."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+        ids, q = np.array([i for i, _ in asked]), unit(np.array([v for _, v in asked], float))
+        for batch in batches:
+            batch = batch[[v is not None and len(v) == q.shape[1] for v in batch["vec"]]].sort_values("id")
+            if not len(batch):
+                continue
+            score = np.round(q @ unit(np.stack(batch["vec"].to_numpy())).T, DIGITS)
+            names = batch[group].to_numpy() if group else np.zeros(len(batch), int)
+            for name in np.unique(names):
+                own = np.flatnonzero(names == name)
+                best = np.argsort(-score[:, own], axis=1, kind="stable")[:, : 1 if group else k]  # ids ascend, so ties go by id
+                at = own[best]
+                out = {"query_id": np.repeat(ids, at.shape[1]), "id": batch["id"].to_numpy()[at.ravel()], "score": np.take_along_axis(score, at, axis=1).ravel()}
+                yield pd.DataFrame(out | ({group: name} if group else {}))
+
+    return run
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, keys: tuple[str, str] = ("query_id", "doc_id"), k: int | None = None) -> DataFrame:
@@ -111,12 +162,12 @@ def decayed_usage(events: DataFrame, key: str, at: str, as_of: str, window_days:
     return events.filter(F.col(at).cast("timestamp") <= now).groupBy(key).agg(F.round(F.sum(weight), DIGITS).alias("usage"))
 
 
-def host_cap(df: DataFrame, n: int, host: str = "host", rank: str = "rank", per: list[str] | None = None) -> DataFrame:
-    """The first n of each host keep their order at the head, the overflow follows in order: new rank in `position`."""
-    per = per or []
+def host_cap(df: DataFrame, n: int, per: list[str], host: str = "host", rank: str = "rank") -> DataFrame:
+    """The first n of each host of a result list (`per`) keep their order at the head, the overflow follows in order: new
+    rank in `position`. Rows without a host are never overflow."""
     over = F.row_number().over(Window.partitionBy(*per, host).orderBy(rank)) > n
     out = df.withColumn("overflow", over & (F.col(host) != ""))
-    return out.withColumn("position", F.row_number().over(Window.partitionBy(*(per or [F.lit(1)])).orderBy("overflow", rank)))
+    return out.withColumn("position", F.row_number().over(Window.partitionBy(*per).orderBy("overflow", rank)))
 
 
 def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -181,22 +232,29 @@ def greedy_near_dup(df: DataFrame, least: float = 0.92) -> DataFrame:
     return ranked.groupBy("group").applyInPandas(keep, "group long, id long, place long")
 
 
-def near_pairs(df: DataFrame, least: float = 0.92, bands: int = 0) -> DataFrame:
-    """a < b: pairs of id, vec with cosine `least` or more.
-
-    Exact: with unit vectors |x - y|**2 <= 2 - 2 * least, so the first coordinate along a fixed direction differs by
-    sqrt(2 - 2 * least) at most; rows meet in cells of that width along it, and only neighbouring cells are compared."""
-    unit = df.select("id", V.l2_normalize("vec").alias("vec")).filter(V.norm("vec") > 0)
-    width = max((2 - 2 * least) ** 0.5, 1e-6)
-    cell = lambda j: F.floor(F.element_at("vec", j) / width)
-    one = unit.select("id", "vec", cell(1).alias("c1"), cell(2).alias("c2"), cell(3).alias("c3"))
-    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    other = one
-    for c in ("c1", "c2", "c3"):
-        other = other.withColumn("d", shift).withColumn(c, F.col(c) + F.col("d")).drop("d")
-    other = other.select(F.col("id").alias("b"), F.col("vec").alias("vb"), "c1", "c2", "c3")
-    pairs = one.withColumnsRenamed({"id": "a", "vec": "va"}).join(other, ["c1", "c2", "c3"]).filter("a < b")
-    return pairs.withColumn("score", F.round(V.dot("va", "vb"), DIGITS)).filter(F.col("score") >= least).select("a", "b", "score")
+def near_pairs(df: DataFrame, least: float = 0.92, block: int = 2048) -> DataFrame:
+    """a < b, score: pairs of id, vec with cosine `least` or more, exactly. Rows are cut into blocks and each two blocks
+    meet in a group of their own, where a product of matrices compares them: only near pairs leave it, the work grows
+    with the square of the rows. Rows without a vector are left out; all must have one size."""
+    rows = df.filter(V.norm("vec") > 0).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        m = np.stack(pdf["vec"].to_numpy())
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        ids, side = pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        left, right = np.flatnonzero(side == key[0]), np.flatnonzero(side == key[1])
+        score = np.round(m[left] @ m[right].T, DIGITS)
+        x, y = np.nonzero((score >= least) & ((ids[left][:, None] < ids[right]) if key[0] == key[1] else True))
+        a, b = ids[left[x]], ids[right[y]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score[x, y]})
+
+    return met.groupBy("i", "j").applyInPandas(compare, "a long, b long, score double").filter("a < b")
 
 
 def mean_vectors(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:

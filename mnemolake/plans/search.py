@@ -53,7 +53,7 @@ def graph_expand(hits: DataFrame, edges: DataFrame, weights: dict[str, float]) -
 def research(results: DataFrame, covered: DataFrame | None = None, per_host: int = 3, k: int = 40) -> DataFrame:
     """results: query_id (the question), list_id (sub-query), rank, url. One ranking a question: lists fused on canonical
     addresses, covered pages left out, hosts capped."""
-    keyed = results.withColumn("key", urls.canonical("url")).filter("key is not null")
+    keyed = results.withColumn("key", urls.canonical("url")).filter("key <> ''")
     once = keyed.groupBy("query_id", "list_id", "key").agg(F.min("rank").alias("rank"))
     parts = once.withColumn("part", 1 / (ranking.RRF_K + F.col("rank")))
     fused = parts.groupBy("query_id", "key").agg(F.round(F.sum("part"), 9).alias("score"), F.count("*").alias("found_by"))
@@ -61,4 +61,4 @@ def research(results: DataFrame, covered: DataFrame | None = None, per_host: int
         fused = fused.join(covered.select("key"), "key", "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     ranked = fused.withColumn("rank", F.row_number().over(w)).withColumn("host", urls.host_of("key"))
-    return ranking.host_cap(ranked, per_host, per=["query_id"]).filter(F.col("position") <= k).select("query_id", "key", "host", "score", "found_by", "position")
+    return ranking.host_cap(ranked, per_host, ["query_id"]).filter(F.col("position") <= k).select("query_id", "key", "host", "score", "found_by", "position")

@@ -217,13 +217,15 @@ def _seeds(spark, d) -> DataFrame:
     return table(spark, d, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("nation/n"), "n_nationkey").alias("node"))
 
 
-@query(f"""WITH {_GRAPH}, {_SEEDS}, b AS (SELECT src, dst, type FROM resolved UNION ALL SELECT dst, src, type FROM resolved)
-    SELECT dst AS node, round(sum(CASE type WHEN 'located_in' THEN 1.0 WHEN 'part_of' THEN 0.8 ELSE 0.5 END), 6)::DOUBLE AS score FROM b WHERE src IN (SELECT node FROM seeds) AND dst NOT IN (SELECT node FROM seeds) GROUP BY 1""")
+@query(f"""WITH {_GRAPH}, {_SEEDS}, b AS (SELECT dst AS node, type FROM resolved WHERE src IN (FROM seeds) AND src <> dst UNION ALL SELECT src, type FROM resolved WHERE src NOT IN (FROM seeds) AND dst IN (FROM seeds))
+    SELECT node, round(sum(CASE type WHEN 'located_in' THEN 1.0 WHEN 'part_of' THEN 0.8 ELSE 0.5 END), 6)::DOUBLE AS score FROM b GROUP BY 1""")
 def typed_neighbors(spark, d):
     return graph.typed_neighbors(_resolved(spark, d), _seeds(spark, d), {"located_in": 1.0, "part_of": 0.8})
 
 
-@query(f"WITH {_GRAPH}, {_SEEDS} SELECT dst AS node, count(DISTINCT src) AS n_seeds FROM resolved WHERE src IN (SELECT node FROM seeds) AND dst NOT IN (SELECT node FROM seeds) GROUP BY 1")
+@query(f"""WITH {_GRAPH}, {_SEEDS}, e AS (SELECT DISTINCT src, dst FROM resolved),
+    b AS (SELECT dst AS node, src AS seed FROM e WHERE src IN (FROM seeds) AND src <> dst UNION ALL SELECT src, dst FROM e WHERE src NOT IN (FROM seeds) AND dst IN (FROM seeds))
+    SELECT node, count(*) AS n_seeds FROM b GROUP BY 1""")
 def untyped_neighbors(spark, d):
     return graph.untyped_neighbors(_resolved(spark, d), _seeds(spark, d))
 
@@ -253,8 +255,8 @@ def _notes(spark, d) -> DataFrame:
     return p.select(F.concat(F.lit("part/p"), "p_partkey").alias("path"), F.concat_ws("\n", *lines).alias("text"), "p_partkey")
 
 
-@query("""SELECT 'part/p' || p_partkey AS src, 'made_by' AS type, lower('BRANDS/' || p_brand) AS target FROM (SELECT p_partkey, split_part(p_brand, '#', 1) AS p_brand FROM part)
-    UNION ALL SELECT 'part/p' || p_partkey, 'relates_to', lower('TYPES/' || p_type) FROM part""")
+@query("""SELECT 'part/p' || p_partkey AS src, 'made_by' AS type, lower('BRANDS/' || p_brand) AS target, '' AS context FROM (SELECT p_partkey, split_part(p_brand, '#', 1) AS p_brand FROM part)
+    UNION ALL SELECT 'part/p' || p_partkey, 'relates_to', lower('TYPES/' || p_type), '' FROM part""")
 def kg_relations(spark, d):
     return knowledge.relations(_notes(spark, d))
 
@@ -355,8 +357,8 @@ def circuit_states(spark, d):
 # ---- web ----
 _HOST = r"regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')"
 _CANON = rf"""WITH p AS (SELECT page_id, url, {_HOST} AS host, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-      list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^({"|".join(t.replace("*", "[^=]*") for t in urls.TRACKERS)})(=|$)'))) AS params FROM pages),
-    c AS (SELECT page_id, host, 'https://' || host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS key FROM p WHERE host <> '')"""
+      list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^({"|".join(urls.TRACKERS)})(=|$)'))) AS params FROM pages),
+    c AS (SELECT page_id, host, CASE WHEN host = '' THEN lower(trim(url)) ELSE 'https://' || host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS key FROM p)"""
 
 
 @query(f"{_CANON} SELECT page_id, key FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY page_id) = 1")
@@ -364,10 +366,11 @@ def url_canonical_dedup(spark, d):
     return ranking.keep_first(table(spark, d, "pages").select("page_id", urls.canonical("url").alias("key")), "key", "page_id")
 
 
-@query(f"""{_CANON}, o AS (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) > 2 AS overflow FROM c)
-    SELECT page_id, host, overflow, (row_number() OVER (ORDER BY overflow, page_id))::INT AS position FROM o""")
+@query(f"""{_CANON}, o AS (SELECT page_id % 97 AS query_id, page_id, host, row_number() OVER (PARTITION BY page_id % 97, host ORDER BY page_id) > 2 AND host <> '' AS overflow FROM c)
+    SELECT query_id, page_id, host, overflow, (row_number() OVER (PARTITION BY query_id ORDER BY overflow, page_id))::INT AS position FROM o""")
 def host_cap(spark, d):
-    return ranking.host_cap(table(spark, d, "pages").select("page_id", urls.host_of("url").alias("host")), 2, rank="page_id")
+    rows = table(spark, d, "pages").select((F.col("page_id") % 97).alias("query_id"), "page_id", urls.host_of("url").alias("host"))
+    return ranking.host_cap(rows, 2, ["query_id"], rank="page_id")
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), h AS (SELECT page_id, u, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS head FROM u)
@@ -440,10 +443,8 @@ def scope_filter(spark, d):
 # ---- evaluation ----
 def _judged(spark, d):
     """Documents by length as rankings of their language; quality as relevance."""
-    from pyspark.sql.window import Window
-
     lang = table(spark, d, "documents").select("doc_id", F.col("lang").alias("query_id"), "n_chars")
-    ranked = lang.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id")))
+    ranked = ranking.top(lang, ["query_id"], 10, F.desc("n_chars"), F.asc("doc_id"))
     rel = table(spark, d, "labels").select("doc_id", F.col("quality").alias("gain")).join(lang.select("doc_id", "query_id"), "doc_id")
     return ranked, rel
 

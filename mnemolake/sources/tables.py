@@ -25,7 +25,8 @@ def notes(spark: SparkSession, root: str, skip: tuple[str, ...] = (), most_bytes
     hidden = F.col("path").rlike(r"(^|/)\.[^/]+/")
     for s in skip:
         hidden = hidden | F.col("path").startswith(f"{s}/") | F.contains(F.col("path"), F.lit(f"/{s}/"))
-    text = F.regexp_replace(F.decode(F.expr(f"substring(content, 1, {most_bytes})"), "UTF-8"), "^﻿", "")
+    # bytes that aren't UTF-8 become replacement characters
+    text = F.regexp_replace(F.make_valid_utf8(F.expr(f"substring(content, 1, {most_bytes})").cast("string")), "^\ufeff", "")
     out = out.filter(~hidden).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), text.alias("text"))
     return out.withColumn("title", text_functions.title_of("text")).withColumn("body", text_functions.body_of("text"))
 
@@ -94,3 +95,33 @@ def compiled(sources: DataFrame, name: str = "name", text: str = "text", per: st
     block = F.concat(F.lit("## "), F.col(name), F.lit("\n\n"), F.col(text))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(name, block.alias("_b")))), lambda s: s["_b"])
     return sources.groupBy(per).agg(F.array_join(parts, "\n\n").alias("document"))
+
+
+def _plain(html):
+    """Text of a piece of HTML."""
+    out = F.regexp_replace(html, "<[^>]+>", " ")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def result_blocks(pages: DataFrame, body: str = "html", block: str = r'<li[^>]+class="[^"]*\bb_algo\b[^"]*"[^>]*>(.*?)</li>', anchor: str = r'<h2>\s*<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>', snippet: str = r"<p[^>]*>(.*?)</p>") -> DataFrame:
+    """position, title, url, snippet of result pages that are made of blocks: each with an anchor, perhaps a paragraph."""
+    each = pages.select(F.posexplode(F.regexp_extract_all(body, F.lit(f"(?is){block}"), F.lit(1))).alias("position", "b"))
+    url, title = (F.regexp_extract("b", f"(?is){anchor}", i) for i in (1, 2))
+    return each.select("position", _plain(title).alias("title"), F.replace(url, F.lit("&amp;"), F.lit("&")).alias("url"), _plain(F.regexp_extract("b", f"(?is){snippet}", 1)).alias("snippet")).filter("url <> '' and title <> ''")
+
+
+def result_anchors(pages: DataFrame, key: str, body: str = "html", classes: str = "result-header|snippet-title|h", snippet: str = "snippet-description", reach: int = 1500) -> DataFrame:
+    """key, position, title, url, snippet of result anchors, the first of each address; the snippet stands within `reach`
+    characters behind its anchor."""
+    anchor = rf'<a[^>]+href="https?://[^"]+"[^>]*class="[^"]*\b(?:{classes})\b[^"]*"[^>]*>.*?</a>'
+    each = pages.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(rf"(?is)({anchor}(?:(?!{anchor}).){{0,{reach}}})"), F.lit(1))).alias("position", "b"))
+    url, title = F.regexp_extract("b", r'(?is)href="([^"]+)"', 1), F.regexp_extract("b", r"(?is)^<a[^>]*>(.*?)</a>", 1)
+    found = each.select(key, "position", _plain(title).alias("title"), F.replace(url, F.lit("&amp;"), F.lit("&")).alias("url"), _plain(F.regexp_extract("b", rf'(?is)class="[^"]*\b{snippet}\b[^"]*"[^>]*>(.*?)</', 1)).alias("snippet")).filter("title <> ''")
+    return found.groupBy(key, "url").agg(F.min_by(F.struct("position", "title", "snippet"), "position").alias("f")).select(key, "f.position", "f.title", "url", "f.snippet")
+
+
+def first_meta(*values):
+    """The first value that isn't blank, trimmed; else empty."""
+    return F.coalesce(*(F.nullif(F.trim(v), F.lit("")) for v in values), F.lit(""))

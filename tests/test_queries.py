@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from mnemolake import queries
+from mnemolake import note_queries, queries  # noqa: F401  (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

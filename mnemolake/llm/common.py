@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -51,8 +52,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _WRITTEN.append(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of steps that nothing names any more
+    for _ in range(2):  # lets Spark remove the shuffle files of steps that nothing names any more
+        gc.collect()
+        time.sleep(0.2)  # Python's side tells the JVM what it dropped a little later
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._table_path = path
     return out

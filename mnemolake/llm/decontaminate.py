@@ -15,8 +15,8 @@ windows go into the join. Items shorter than a window are compared as a whole. W
 LITERALS words that aren't placeholders say nothing and are left out.
 
 Null and empty texts match nothing; a window that occurs in several items counts for each; repeated rows give repeated
-results; an empty table of documents or items gives an empty result. Very long texts are scanned whole. Extra columns
-are ignored.
+results; an empty table of documents or items gives an empty result. Items without an item_id can't be told and are left
+out. Very long texts are scanned whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -160,7 +160,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     wanted = materialize(item_windows(items, item_col, item_text), "item-windows")
     sizes = sorted((r["form"], r["size"]) for r in wanted.select("form", "size").distinct().collect())  # at most K of a form
     keys = wanted.select("form", "size", "hash").distinct().limit(max_keys + 1).collect()
-    few = len(keys) <= max_keys
+    few = len(keys) <= max_keys and wanted.count() <= 4 * max_keys  # many items may share few keys
     told = spark.sparkContext.broadcast({n: np.array(sorted(r["hash"] for r in keys if (r["form"], r["size"]) == n), np.int64) for n in sizes} if few else None)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

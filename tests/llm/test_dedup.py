@@ -37,6 +37,51 @@ def test_exact_groups(spark, hasher):
     assert got == {i: (k, n, i == k) for i, (k, n) in exact_by_hand(rows).items()}
 
 
+def test_exact_groups_of_huge_texts(spark):
+    """Chunks as rows of their own give the same fingerprints and groups."""
+    r = random.Random(12)
+    rows = [(i, "".join(r.choice("ab \n") for _ in range(r.choice([0, 5, 40, 41, 90])))) for i in range(80)] + [(100, "xy " * 500), (101, "x y" * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hasher = exact_dedup.Fingerprint(chunk=16)
+    whole, cut = (sorted(map(tuple, exact_dedup.fingerprints(df, hasher, huge=n).collect())) for n in (1 << 20, 20))
+    assert whole == cut
+    got = {x.doc_id: (x.keep_id, x.group_size) for x in exact_dedup.exact_groups(df, huge=30).collect()}
+    assert got == exact_by_hand(rows)
+
+
+def test_exact_groups_odd_ids_with_collisions(spark):
+    """Null ids, repeated ids with other texts, and the smallest id, where all fingerprints of a length are equal."""
+    low = -(1 << 63)
+    rows = [(None, c) for c in "abcab"] + [(7, "a"), (7, "b"), (low, "c"), (low, "d"), (8, "d ")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), hasher=exact_dedup.Fingerprint((2,), (1,), 4)).collect()
+    size = {"a": 3, "b": 3, "c": 2, "d": 2}
+    assert Counter(x.group_size for x in got) == Counter(size[t.strip()] for _, t in rows)
+    assert sum(x.kept for x in got) == 4 and {x.keep_id for x in got} == {7, low, 8}
+    assert {x.keep_id for x in got if x.group_size == 2} == {low, 8}
+
+
+def test_strings_that_defeat_powers_of_two(spark):
+    """A Thue-Morse word and its complement: no line, window or set of one is taken for the other's."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [x.n_removed for x in line_dedup.dedup_lines(df).collect()] == [0, 0]
+    assert {x.doc_id: x.class_id for x in chosen_path.near_classes(df).collect()} == {1: 1, 2: 2}
+    own = spark.createDataFrame([(i, " ".join([t] + [f"w{j}" for j in range(30)])) for i, t in rows], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in substring_dedup.remove_repeats(own).collect()} == {1: 0, 2: 30}
+
+
+def test_null_and_repeated_ids_of_near_copies(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = " ".join([*words[:-1], "end"])
+    rows = [(None, " ".join(words)), (5, near), (None, "alone here"), (-3, "some other text"), (-3, near), (9, None)]
+    got = chosen_path.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.class_id or 0) for x in got) == [(False, -3, -3), (False, -3, -3), (False, 5, -3), (False, 9, 9), (True, 0, -3), (True, 0, 0)]
+
+
 def test_exact_groups_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id long, text string")
     assert Counter(x.kept for x in exact_dedup.exact_groups(df).collect()) == {True: 1, False: 2}

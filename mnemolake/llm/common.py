@@ -52,7 +52,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _WRITTEN.append(path)
     del df
-    for _ in range(2):  # lets Spark remove the shuffle files of steps that nothing names any more
+    # lets Spark remove the shuffle files of steps that nothing names any more; local runs do without the wait
+    for _ in range(0 if spark.sparkContext.master.startswith("local[") else 2):
         gc.collect()
         time.sleep(0.2)  # Python's side tells the JVM what it dropped a little later
         spark.sparkContext._jvm.System.gc()

@@ -18,6 +18,10 @@ def top(df: DataFrame, per: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Terms of queries that may travel to every worker.
+MOST_TERMS = 1_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores where the input has fewer files than there are cores, which then would idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -30,13 +34,14 @@ def postings(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_
     and mean length too: all that is derived from it shares its shuffle."""
     terms = queries.select(F.col("query_id"), F.explode(F.array_distinct(T.tokenize(query_text))).alias("term"))
     tokens = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("doc_id", T.tokenize("text").alias("tokens"))
-    asked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    small = F.broadcast if terms.count() <= MOST_TERMS else (lambda df: df)
+    asked = small(terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct())
     each = tokens.select("doc_id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
     counted = each.join(asked, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"), F.sum("tf").alias("cf")).filter("cf > 0")
     corpus = stats.filter("term = ''").select(F.col("df").alias("n"), "mean")
-    # one row
-    return terms, counted.filter("term <> ''"), stats.filter("term <> ''").select("term", "df").join(F.broadcast(corpus))
+    # one row of the corpus, and a row for each term
+    return small(terms), counted.filter("term <> ''"), small(stats.filter("term <> ''").select("term", "df").join(F.broadcast(corpus)))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_text: str = "query") -> DataFrame:

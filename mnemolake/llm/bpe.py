@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from mnemolake.llm.common import give_back, id_and_text, small_batches, texts
 
-#: Fragments that a worker remembers in each of two generations, and the longest of them in bytes: together 16 MB at most.
-REMEMBERED, REMEMBERED_BYTES = 40_000, 32
+#: Places for remembered fragments of up to 16 bytes, a power of two, and the most ids that one may have: together 17 MB.
+REMEMBERED, MOST_IDS = 1 << 19, 4
 #: A specification travels to every executor, so its size is bounded.
 MAX_SPEC_BYTES = 64 << 20
 #: Bytes of text that are encoded together.
@@ -91,6 +92,30 @@ class Decoder:
         return out
 
 
+class _Remembered:
+    """Ids of fragments of up to 16 bytes, each at the place that its hash names; a later fragment takes the place.
+
+    A fragment is told by all its bytes, as two numbers; without zero bytes the first of them is never 0."""
+
+    def __init__(self):
+        self.lo, self.hi = np.zeros(REMEMBERED, np.uint64), np.zeros(REMEMBERED, np.uint64)
+        self.n, self.ids = np.zeros(REMEMBERED, np.uint8), np.zeros((REMEMBERED, MOST_IDS), np.uint32)
+
+    def find(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, numbers of ids (0: not known), and ids."""
+        h = (lo ^ (hi << np.uint64(29) | hi >> np.uint64(35))) * np.uint64(0x9E3779B97F4A7C15)
+        at = ((h ^ h >> np.uint64(32)) & np.uint64(REMEMBERED - 1)).astype(np.int64)
+        same = (self.lo[at] == lo) & (self.hi[at] == hi)
+        return at, np.where(same, self.n[at], 0).astype(np.int64), self.ids[at]
+
+    def keep(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> None:
+        at, one = np.unique(at, return_index=True)
+        self.lo[at], self.hi[at], self.n[at] = lo[one], hi[one], n[one]
+        for k in range(MOST_IDS):
+            have = n[one] > k
+            self.ids[at[have], k] = ids[begin[one][have] + k]
+
+
 class BoundaryCodec(Decoder):
     """Encodes too."""
 
@@ -109,8 +134,7 @@ class BoundaryCodec(Decoder):
 
     def forget(self) -> None:
         """Drops the remembered fragments."""
-        self.known: dict[bytes, bytes] = {s: np.uint32(i).tobytes() for s, i in self.special.items()}
-        self.older: dict[bytes, bytes] = {}
+        self.remembered: _Remembered | None = None
 
     @staticmethod
     def _cut_table(tokens) -> np.ndarray:
@@ -153,34 +177,29 @@ class BoundaryCodec(Decoder):
             at = i + len(s)
         return out + self.fragments(data[at:])
 
-    def _packed(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each fragment as bytes of uint32; those of frequent ones are remembered."""
-        if len(self.known) > REMEMBERED:
-            older = self.known
-            self.forget()
-            self.older = older
-        known, older = self.known, self.older
-        out = [known.get(p) for p in pieces]
-        fresh = []
-        for i, x in enumerate(out):
-            if x is None:
-                if (x := older.get(pieces[i])) is None:
-                    fresh.append(i)
-                else:
-                    out[i] = known[pieces[i]] = x
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start : start + 10_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in part], add_special_tokens=False)):
-                out[i] = np.array(e.ids, np.uint32).tobytes()
-                if len(pieces[i]) <= REMEMBERED_BYTES and len(known) <= 2 * REMEMBERED:
-                    known[pieces[i]] = out[i]
-        return out
+    def _look_up(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of fragments one after another, and how many each has."""
+        flat, n = array("I"), []
+        for start in range(0, len(pieces), 10_000):
+            for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces[start : start + 10_000]], add_special_tokens=False):
+                ids = e.ids
+                flat.extend(ids)
+                n.append(len(ids))
+        return np.array(flat, np.uint32), np.array(n, np.int64)
+
+    def _encode_alone(self, data: bytes) -> np.ndarray:
+        """Ids of a text that may hold added tokens and zero bytes."""
+        pieces = self._segments(data)
+        distinct = list(dict.fromkeys(x for x in pieces if x not in self.special))
+        flat, n = self._look_up(distinct)
+        of = dict(zip(distinct, np.split(flat, np.cumsum(n)[:-1]))) | {x: np.array([i], np.uint32) for x, i in self.special.items()}
+        return np.concatenate([of[x] for x in pieces])
 
     def encode(self, data: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, given in UTF-8."""
         odd = {i for i, x in enumerate(data) if b"\0" in x or any(s in x for s in self.special)}
         plain = iter(self._encode_together([x for i, x in enumerate(data) if i not in odd]))
-        return [np.frombuffer(b"".join(self._packed(self._segments(x))), np.uint32) if i in odd else next(plain) for i, x in enumerate(data)]
+        return [self._encode_alone(x) if i in odd else next(plain) for i, x in enumerate(data)]
 
     def _encode_together(self, data: list[bytes]) -> list[np.ndarray]:
         """encode() for texts without added tokens and zero bytes: each distinct fragment is looked up once."""
@@ -210,12 +229,26 @@ class BoundaryCodec(Decoder):
         of[short] = code
         of[alone] = len(first) + np.arange(len(alone))
         distinct = np.concatenate([short[first], alone])
-        packed = self._packed([whole[i:j] for i, j in zip(start[distinct].tolist(), stop[distinct].tolist())])
-        n = np.array([len(x) // 4 for x in packed])
-        ids = np.frombuffer(b"".join(packed), np.uint32)
+        if self.remembered is None:
+            self.remembered = _Remembered()
+        kept, known_n, known_ids = self.remembered.find(lo[first], hi[first])
+        fresh = np.append(np.flatnonzero(known_n == 0), np.arange(len(first), len(distinct)))
+        told = distinct[fresh]
+        flat, fresh_n = self._look_up([whole[i:j] for i, j in zip(start[told].tolist(), stop[told].tolist())])
+        n = np.append(known_n, np.zeros(len(alone), np.int64))
+        n[fresh] = fresh_n
+        begin = np.cumsum(n) - n
+        ids = np.empty(n.sum(), np.uint32)
+        ids[np.repeat(begin[fresh] - (np.cumsum(fresh_n) - fresh_n), fresh_n) + np.arange(len(flat))] = flat
+        for k in range(MOST_IDS):
+            have = np.flatnonzero(known_n > k)
+            ids[begin[have] + k] = known_ids[have, k]
+        short_ones = fresh[: len(fresh) - len(alone)]
+        short_ones = short_ones[n[short_ones] <= MOST_IDS]
+        self.remembered.keep(kept[short_ones], lo[first[short_ones]], hi[first[short_ones]], n[short_ones], ids, begin[short_ones])
         count = n[of]
         upto = np.cumsum(count)
-        ids = ids[np.repeat((np.cumsum(n) - n)[of] - (upto - count), count) + np.arange(upto[-1])]
+        ids = ids[np.repeat(begin[of] - (upto - count), count) + np.arange(upto[-1])]
         at = np.append(0, upto)[np.searchsorted(stop, ends, side="right")]
         return np.split(ids, at[:-1])
 

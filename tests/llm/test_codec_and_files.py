@@ -51,14 +51,15 @@ def test_tables_with_nulls_and_clashing_columns(spark, tokenizer):
 
 
 def test_remembered_fragments_are_bounded(codec, tokenizer, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "REMEMBERED", 16)  # so that fragments take each other's places
+    codec.forget()
     many = texts(400, 5)
     for i in range(0, len(many), 7):
         part = many[i : i + 7]
         assert [x.tolist() for x in codec.encode([t.encode() for t in part])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
-        assert len(codec.known) <= 41 + len(codec.special) and len(codec.older) <= 41 + len(codec.special)
+        assert len(codec.remembered.lo) == len(codec.remembered.ids) == 16 and codec.remembered.n.max() <= bpe.MOST_IDS
     codec.forget()
-    assert len(codec.known) == len(codec.special) and not codec.older
+    assert codec.remembered is None
 
 
 def test_files(spark, tokenizer, tmp_path):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, chosen_path, decontaminate, exact_dedup, fill_in_middle, license_scan, line_dedup, periodic_runs, secret_scan, substring_dedup, token_files, toxicity
+from mnemolake.llm import bpe, chosen_path, decontaminate, exact_dedup, fill_in_middle, license_scan, line_dedup, metric_tree, periodic_runs, secret_scan, substring_dedup, token_files, toxicity
 from mnemolake.llm.common import read_table
 
 SPEC = "byte_bpe_50k.json"
@@ -93,6 +93,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", (-F.col("first.before")).alias("start"), F.col("first.length").alias("length"), (-F.col("first.short")).alias("period"), F.expr("1000 * first.length div -first.short").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return metric_tree.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -149,6 +154,13 @@ ORACLE_SQL = {
                sha256(t) AS restored_sha256
         FROM s
     """,
+    "op13_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND len(q.e) = len(c.e) AND q.vec_id <> c.vec_id),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10
+    """,
     "op10_ngram_jaccard": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
         s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(list_slice(w, p, p + 4), ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),

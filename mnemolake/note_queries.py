@@ -497,18 +497,6 @@ def consolidation_plans(spark, d):
     return crawl.consolidation_plan(t, 8).select("topic", "n", "plan")
 
 
-@query("SELECT 'u' || p_partkey AS url, p_name AS title, 'about ' || p_type AS snippet FROM part")
-def result_pages(spark, d):
-    html = F.concat(F.lit('<ol><li class="b_algo x"><h2><a href="u'), "p_partkey", F.lit('" h="1"><b>'), "p_name", F.lit("</b></a></h2><p>about <i>"), "p_type", F.lit('</i></p></li><li class="b_ad">no</li></ol>'))
-    return sources.result_blocks(table(spark, d, "part").select(html.alias("html"))).select("url", "title", "snippet")
-
-
-@query("SELECT p_partkey, 'http://x/' || p_partkey AS url, p_name AS title, p_type AS snippet FROM part UNION ALL SELECT p_partkey, 'http://y/', 'other', '' FROM part")
-def anchored_results(spark, d):
-    html = F.concat(F.lit('<a href="http://x/'), "p_partkey", F.lit('" class="l result-header">'), "p_name", F.lit('</a> <div class="snippet-description">'), "p_type", F.lit('</div><a href="http://y/" class="h">other</a><a href="http://y/" class="h">again</a>'))
-    return sources.result_anchors(table(spark, d, "part").select("p_partkey", html.alias("html")), "p_partkey").select("p_partkey", "url", "title", "snippet")
-
-
 @query("SELECT 'l' || p_partkey AS url, p_name AS title, p_type AS snippet FROM part")
 def feed_items(spark, d):
     body = F.concat(F.lit("<rss><item><title><![CDATA["), "p_name", F.lit("]]></title><link>l"), "p_partkey", F.lit("</link><description>"), "p_type", F.lit("</description></item><item><title>none</title></item></rss>"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemolake.functions import elements
 from mnemolake.functions import text as text_functions
 
 
@@ -97,29 +98,28 @@ def compiled(sources: DataFrame, name: str = "name", text: str = "text", per: st
     return sources.groupBy(per).agg(F.array_join(parts, "\n\n").alias("document"))
 
 
-def _plain(html):
-    """Text of a piece of HTML."""
-    out = F.regexp_replace(html, "<[^>]+>", " ")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+def _results(pages: DataFrame, key: str, parser: str, body: str, selectors: dict[str, str]) -> DataFrame:
+    each = pages.select(key, F.posexplode(elements.results(body, parser, **selectors)).alias("position", "r"))
+    return each.select(key, "position", "r.title", "r.url", "r.snippet")
 
 
-def result_blocks(pages: DataFrame, body: str = "html", block: str = r'<li[^>]+class="[^"]*\bb_algo\b[^"]*"[^>]*>(.*?)</li>', anchor: str = r'<h2>\s*<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>', snippet: str = r"<p[^>]*>(.*?)</p>") -> DataFrame:
-    """position, title, url, snippet of result pages that are made of blocks: each with an anchor, perhaps a paragraph."""
-    each = pages.select(F.posexplode(F.regexp_extract_all(body, F.lit(f"(?is){block}"), F.lit(1))).alias("position", "b"))
-    url, title = (F.regexp_extract("b", f"(?is){anchor}", i) for i in (1, 2))
-    return each.select("position", _plain(title).alias("title"), F.replace(url, F.lit("&amp;"), F.lit("&")).alias("url"), _plain(F.regexp_extract("b", f"(?is){snippet}", 1)).alias("snippet")).filter("url <> '' and title <> ''")
+def result_blocks(pages: DataFrame, key: str, body: str = "html", **selectors: str) -> DataFrame:
+    """key, position, title, url, snippet of result pages that are made of blocks: each with an anchor, perhaps a
+    paragraph. selectors: block, anchor, snippet."""
+    return _results(pages, key, "blocks", body, selectors)
 
 
-def result_anchors(pages: DataFrame, key: str, body: str = "html", classes: str = "result-header|snippet-title|h", snippet: str = "snippet-description", reach: int = 1500) -> DataFrame:
-    """key, position, title, url, snippet of result anchors, the first of each address; the snippet stands within `reach`
-    characters behind its anchor."""
-    anchor = rf'<a[^>]+href="https?://[^"]+"[^>]*class="[^"]*\b(?:{classes})\b[^"]*"[^>]*>.*?</a>'
-    each = pages.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(rf"(?is)({anchor}(?:(?!{anchor}).){{0,{reach}}})"), F.lit(1))).alias("position", "b"))
-    url, title = F.regexp_extract("b", r'(?is)href="([^"]+)"', 1), F.regexp_extract("b", r"(?is)^<a[^>]*>(.*?)</a>", 1)
-    found = each.select(key, "position", _plain(title).alias("title"), F.replace(url, F.lit("&amp;"), F.lit("&")).alias("url"), _plain(F.regexp_extract("b", rf'(?is)class="[^"]*\b{snippet}\b[^"]*"[^>]*>(.*?)</', 1)).alias("snippet")).filter("title <> ''")
-    return found.groupBy(key, "url").agg(F.min_by(F.struct("position", "title", "snippet"), "position").alias("f")).select(key, "f.position", "f.title", "url", "f.snippet")
+def result_anchors(pages: DataFrame, key: str, body: str = "html", **selectors: str) -> DataFrame:
+    """key, position, title, url, snippet of result anchors, the first of each address; the snippet is the first one
+    between its anchor and the next. selectors: anchor, snippet."""
+    return _results(pages, key, "anchors", body, selectors)
+
+
+def generic_links(pages: DataFrame, key: str, query: str, body: str = "html", limit: int = 8) -> DataFrame:
+    """key, position, url, title, snippet, alike: anchors of pages that no parser knows, as far as they are like the page's
+    query, best first. For pages of which the parsers above find nothing."""
+    each = pages.select(key, F.posexplode(elements.generic_results(body, query, limit)).alias("position", "r"))
+    return each.select(key, "position", "r.*")
 
 
 def first_meta(*values):

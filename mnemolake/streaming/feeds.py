@@ -1,4 +1,4 @@
-"""Streams of changes and events: windows, first sightings, folds, circuit breakers."""
+"""Streams of changes and events: windows, first sightings, folds."""
 
 from __future__ import annotations
 
@@ -43,23 +43,33 @@ def fold(stream: DataFrame, key: str, value: str = "value") -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
 
 
-def circuit_breaker(stream: DataFrame, origin: str = "origin", ok: str = "ok", order: str = "n", limit: int = 3) -> DataFrame:
-    """origin, failures (in a row), open after each batch."""
+def append_log(stream: DataFrame, path: str, checkpoint: str):
+    """Appends to a Parquet log, each batch once, as far as there is input now."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
-    def step(k, batches, state):
-        import pandas as pd
 
-        failures = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(order)
-        for good in rows[ok]:
-            failures = 0 if good else failures + 1
-        state.update((failures,))
-        yield pd.DataFrame({origin: [k[0]], "failures": [failures], "open": [failures >= limit]})
+_USAGE = "type string, message struct<usage:struct<input_tokens:long,output_tokens:long,cache_read_input_tokens:long,cache_creation_input_tokens:long>>"
 
-    kind = stream.schema[origin].dataType.simpleString()
-    return stream.groupBy(origin).applyInPandasWithState(step, f"{origin} {kind}, failures int, open boolean", "failures int", "update", "NoTimeout")
 
+def file_usage(lines: DataFrame) -> DataFrame:
+    """file, turns, input, output, cache_read, cache_creation: what the assistant's turns in each transcript used so far,
+    told for each file that a batch changes. lines: what sources.growing gives; a file that was written anew counts from
+    nothing. Lines that aren't JSON, other entries and missing numbers add nothing."""
+    entry = F.from_json("line", _USAGE)
+    names = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_creation": "cache_creation_input_tokens"}
+    counts = (entry["type"] == "assistant") & entry["message"]["usage"].isNotNull()
+    parts = [F.when(counts, F.coalesce(entry["message"]["usage"][c], F.lit(0))).otherwise(0).alias(k) for k, c in names.items()]
+    columns = ["turns", *names]
 
-def append_log(stream: DataFrame, path: str, checkpoint: str):
-    """Appends to a Parquet log, each batch once, as far as there is input now."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    def step(key, batches, state):
+        import pandas as pd
+
+        rows = pd.concat(list(batches))
+        before = state.get if state.exists and not rows["anew"].any() else (0,) * len(columns)
+        now = tuple(int(b + rows[c].sum()) for b, c in zip(before, columns))
+        state.update(now)
+        yield pd.DataFrame([(key[0], *now)], columns=["file", *columns])
+
+    own = lines.select("file", "anew", F.coalesce(counts, F.lit(False)).cast("long").alias("turns"), *parts)
+    kinds = ", ".join(f"{c} long" for c in columns)
+    return own.groupBy("file").applyInPandasWithState(step, f"file string, {kinds}", kinds, "update", "NoTimeout")

@@ -20,12 +20,10 @@ def test_tumbling_windows_match_batch(spark, tmp_path):
     assert got.agg(F.sum("n")).first()[0] == want.agg(F.sum("n")).first()[0] and got.count() == want.count()
 
 
-def test_running_fold_and_breaker(spark, tmp_path):
+def test_running_fold(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, False), ("a", 2, False), ("a", 3, False), ("b", 1, False), ("b", 2, True)], "origin string, n long, ok boolean")
     rows.coalesce(1).write.parquet(str(tmp_path / "r"))
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "r"))
-    got = {r.origin: (r.failures, r.open) for r in drain(feeds.circuit_breaker(source), "breaker", "update").collect()}
-    assert got == {"a": (3, True), "b": (0, False)}
     folded = {r.origin: (r.n, r.total) for r in drain(feeds.fold(source, "origin", "n"), "folded", "update").collect()}
     assert folded == {"a": (3, 6.0), "b": (2, 3.0)}
 

@@ -16,7 +16,6 @@ joins that split skewed partitions bring its rows together with its result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -91,24 +90,26 @@ def _of_chunks(docs: DataFrame, hasher: Fingerprint | None) -> DataFrame:
             points = pc.utf8_length(batch.column(1)).to_pylist()
             for doc, n_points, text in zip(batch.column(0).to_pylist(), points, texts(batch.column(1))):
                 text = normal(text)
-                key, sha, size = uuid.uuid4().hex, hashlib.sha256(text).hexdigest(), len(text)
+                sha, size = hashlib.sha256(text).hexdigest(), len(text)
                 for n, at in enumerate(range(0, max(1, size), chunk)):
-                    yield pa.RecordBatch.from_pydict({"key": [key], "doc_id": pa.array([doc], pa.int64()), "n_points": [n_points], "n_bytes": [size], "text_sha256": [sha], "n": [n], "content": pa.array([text[at : at + chunk]], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "n_points": [n_points], "n_bytes": [size], "text_sha256": [sha], "n": [n], "content": pa.array([text[at : at + chunk]], pa.binary())})
 
     def hash_(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = Fingerprint(primes, bases, chunk)
-        hashes = [own.of_chunk(x) for x in batch.column(6).to_pylist()]
+        hashes = [own.of_chunk(x) for x in batch.column(5).to_pylist()]
         each = pa.array([[{"hash": h, "shift": pow(g, n, p)} for h, p, g in zip(hs, primes, bases)] for hs, n in hashes], pa.list_(pa.struct([("hash", pa.int64()), ("shift", pa.int64())])))
-        return pa.RecordBatch.from_arrays([*batch.columns[:6], each], [*batch.schema.names[:6], "parts"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], each], [*batch.schema.names[:5], "parts"])
 
-    same = "key string, doc_id long, n_points long, n_bytes long, text_sha256 string, n long"
-    rows = docs.mapInArrow(cut, f"{same}, content binary").repartition("key", "n")
-    # a text's chunks are told apart by a name of its own, so what a repeated task makes must not mix with what is there
-    rows = materialize(map_batches(rows, hash_, f"{same}, parts array<struct<hash:long,shift:long>>"), "chunk-hashes")
-    ordered = F.sort_array(F.collect_list(F.struct("n", "parts")))
+    same = "doc_id long, n_points long, n_bytes long, text_sha256 string, n long"
+    rows = docs.mapInArrow(cut, f"{same}, content binary").repartition("doc_id", "text_sha256", "n")
+    rows = map_batches(rows, hash_, f"{same}, parts array<struct<hash:long,shift:long>>")
+    # chunks are told apart by what their text is, so a task that runs again makes the same ones; rows that repeat an id and a text share them
+    ordered = F.sort_array(F.collect_set(F.struct("n", "parts")))
     total = lambda i, p: F.aggregate("all", F.lit(0).cast("long"), lambda s, x: (s * x["parts"][i]["shift"] + x["parts"][i]["hash"]) % p)
     fp = sum((total(i, p) * (1 << 31 * i) for i, p in enumerate(primes)), F.lit(0).cast("long"))
-    return rows.groupBy("key", "doc_id", "n_points", "n_bytes", "text_sha256").agg(ordered.alias("all")).select("doc_id", "n_points", "n_bytes", fp.alias("fp"), "text_sha256")
+    once = rows.groupBy("doc_id", "n_points", "n_bytes", "text_sha256").agg(ordered.alias("all"), F.count(F.when(F.col("n") == 0, 1)).cast("int").alias("copies"))
+    told = once.select("doc_id", "n_points", "n_bytes", fp.alias("fp"), "text_sha256", "copies")
+    return told.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
 
 
 def _of_texts(docs: DataFrame, hasher: Fingerprint | None) -> DataFrame:

@@ -301,3 +301,19 @@ def test_lines_of_several_edits(spark, bucket, block, monkeypatch):
         want[i] = "\n".join(kept)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: x.kept for x in line_dedup.dedup_lines(df, 4, bucket=bucket, points=True).collect()} == want
+
+
+def test_chunks_of_huge_texts_have_names_of_their_own_content(spark, monkeypatch):
+    """What a task makes again after an executor is lost must fit what other tasks made before."""
+    long = "ab c" * 40
+    rows = [(1, long), (1, long), (1, long + " "), (None, long), (2, long[:-1] + "d"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = exact_dedup.map_batches
+    monkeypatch.setattr(exact_dedup, "map_batches", lambda d, f, schema: seen.append(d) or plain(d, f, schema))
+    hasher = exact_dedup.Fingerprint(chunk=16)
+    got = sorted((r.doc_id or 0, r.n_points, r.n_bytes) for r in exact_dedup.fingerprints(df, hasher, huge=20).collect())
+    assert got == sorted((i or 0, len(t), len(t.replace(" ", ""))) for i, t in rows)
+    cut = next(d for d in seen if "content" in d.columns)
+    once, again = (sorted(map(repr, cut.repartition(n).collect())) for n in (1, 3))
+    assert once == again and "key" not in cut.columns

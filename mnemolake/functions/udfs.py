@@ -258,57 +258,75 @@ def strip_tags(source: pd.Series) -> pd.Series:
     return source.map(lambda x: re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip(), na_action="ignore")
 
 
-def chunks(text: str, most: int = 800, least: int = 40) -> list[tuple[str, str]]:
-    """(heading, content): text under headings, outside fences, in pieces of `most` characters at most; pieces under
-    `least` join the one before."""
-    out: list[tuple[str, str]] = []
-    heading, held, fenced = "", [], False
+_HEADING = re.compile(r"#{1,6}\s+(.*\S)")
 
-    def flush():
-        for piece in pack("\n".join(held).strip(), most):
-            if len(piece) < least and out and out[-1][0] == heading and len(out[-1][1]) + len(piece) + 1 <= most + least:
-                out[-1] = (heading, f"{out[-1][1]}\n{piece}")
-            elif piece:
-                out.append((heading, piece))
-        held.clear()
 
+def sections(text: str, title: str = "") -> list[tuple[str, str]]:
+    """(heading, text) in order; what stands before the first heading has the title. Within a fence of ``` or ~~~, which
+    ends at the same mark, nothing is a heading."""
+    out: list[tuple[str, list[str]]] = [(title.strip(), [])]
+    fence = None
     for line in text.split("\n"):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-        if not fenced and (m := re.match(r"#{1,6}\s+(.*)", line)):
-            flush()
-            heading = m[1].strip()
-        else:
-            held.append(line)
-    flush()
-    return out
+        bare = line.strip()
+        mark = bare[:3] if bare[:3] in ("```", "~~~") else None
+        heading = None if fence or mark else _HEADING.fullmatch(bare)
+        if heading:
+            out.append((heading[1], []))
+            continue
+        if mark:
+            fence = mark if fence is None else None if fence == mark else fence
+        out[-1][1].append(line)
+    return [(h, body) for h, lines in out if (body := "\n".join(lines).strip())]
+
+
+def chunks(text: str, most: int = 800, least: int = 40, title: str = "") -> list[tuple[str, str]]:
+    """(heading, content): pieces of sections of `most` characters at most; a piece under `least` joins the one before. A
+    note without a section is one piece: the beginning of its text, or of its title."""
+    out: list[tuple[str, str]] = []
+    for heading, body in sections(text, title):
+        for piece in pack(body, most):
+            if out and len(piece) < least:
+                out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{piece}")
+            else:
+                out.append((heading, piece))
+    alone = (text if text.strip() else title).strip()[:most]
+    return out or ([(title.strip(), alone)] if alone else [])
 
 
 def pack(text: str, most: int) -> list[str]:
-    """Paragraphs packed greedily; a longer one is cut at a space past its half if there is one."""
-    out, now = [], ""
-    for part in re.split(r"\n\s*\n", text):
-        while len(part) > most:
-            cut = part.rfind(" ", most // 2, most)
-            cut = cut if cut > 0 else most
-            if now:
-                out.append(now)
-                now = ""
-            out.append(part[:cut].strip())
-            part = part[cut:].strip()
-        if now and len(now) + 2 + len(part) > most:
-            out.append(now)
-            now = part
-        else:
-            now = f"{now}\n\n{part}" if now else part
-    return [x for x in [*out, now] if x]
-
-
-@_arrow("array<struct<heading:string,content:string>>")
+    """Paragraphs packed greedily; a longer one is cut at the last space past the half of a piece, or at its end."""
+    out, held = [], ""
+    for part in (p.strip() for p in re.split(r"\n\s*\n", text)):
+        if held and len(held) + 2 + len(part) > most:
+            out.append(held)
+            held = ""
+        if len(part) <= most:
+            held = f"{held}\n\n{part}" if held and part else held or part
+            continue
+        at = 0
+        while at < len(part):
+            end = at + most
+            if end < len(part) and (space := part.rfind(" ", at + most // 2, end)) > 0:
+                end = space
+            out.append(part[at:end].strip())
+            at = end
+    return [x for x in [*out, held] if x]
+
+
+_CHUNKS = "array<struct<heading:string,content:string>>"
+
+
+@_arrow(_CHUNKS)
 def chunk_text(s: pd.Series) -> pd.Series:
     return s.fillna("").map(lambda x: [{"heading": h, "content": c} for h, c in chunks(x)])
 
 
+@_arrow(_CHUNKS)
+def chunk_note(title: pd.Series, body: pd.Series) -> pd.Series:
+    """Chunks of notes whose title stands apart."""
+    return pd.Series([[{"heading": h, "content": c} for h, c in chunks(b, title=t)] for t, b in zip(title.fillna(""), body.fillna(""))])
+
+
 def injection_hits(text: str) -> list[str]:
     """Lines that a pattern fits, then what fits only across line ends and is in no such line."""
     seen = lambda x: unicodedata.normalize("NFKC", x)
@@ -361,19 +379,73 @@ def compact_log(s: pd.Series) -> pd.Series:
     return s.map(compact, na_action="ignore")
 
 
+def minified(text: str, least_saved: int = 200) -> str:
+    """A JSON object or array without white space if that saves `least_saved` characters; anything else as it is."""
+    import json
+
+    if text.lstrip()[:1] not in ("{", "["):
+        return text
+    try:
+        short = json.dumps(json.loads(text), separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return text
+    return short if len(text) - len(short) >= least_saved else text
+
+
 @_arrow("string")
 def minify_json(s: pd.Series) -> pd.Series:
-    """Without white space if that saves 200 characters; what isn't JSON stays."""
+    return s.map(minified, na_action="ignore")
+
+
+def _shortened(answer: str, shorten, where) -> dict:
+    """An answer with the texts in it that `where` finds (holder, key) made shorter; it stays as it is, letter by letter,
+    if none gets shorter. Answers that are no JSON are such a text themselves."""
     import json
 
-    def one(x: str) -> str:
-        try:
-            short = json.dumps(json.loads(x), separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return x
-        return short if len(x) - len(short) >= 200 else x
+    before = len(answer)
+    try:
+        value = json.loads(answer)
+    except (ValueError, RecursionError):
+        value = answer
+    if isinstance(value, str):
+        text = shorten(value)
+        out = answer if text == value else text if value is answer else json.dumps(text, ensure_ascii=False)
+    else:
+        changed = False
+        for holder, key in where(value):
+            text = shorten(holder[key])
+            changed, holder[key] = changed or text != holder[key], text
+        out = json.dumps(value, ensure_ascii=False) if changed else answer
+    return {"text": out, "changed": out != answer, "before": before, "after": len(out)}
+
+
+def _text_blocks(value):
+    """Texts of an answer's content blocks."""
+    content = value.get("content") if isinstance(value, dict) else None
+    return [(b, "text") for b in content if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str)] if isinstance(content, list) else []
+
+
+#: Fields of a tool's answer that hold its output. (Fixed values.)
+OUTPUT_FIELDS = ("stdout", "stderr", "output", "text")
+
+
+def _outputs(value):
+    return [(value, f) for f in OUTPUT_FIELDS if isinstance(value.get(f), str)] if isinstance(value, dict) else []
+
+
+_SHORTENED = "struct<text:string,changed:boolean,before:int,after:int>"
+
+
+@_arrow(_SHORTENED)
+def compact_blocks(s: pd.Series) -> pd.DataFrame:
+    """Answers (JSON) whose text blocks that are JSON themselves lose their white space; other blocks and fields stay."""
+    return pd.DataFrame([_shortened(x or "", minified, _text_blocks) for x in s], columns=["text", "changed", "before", "after"])
+
 
-    return s.map(one, na_action="ignore")
+@_arrow(_SHORTENED)
+def compact_outputs(s: pd.Series) -> pd.DataFrame:
+    """Answers of tools (JSON) whose output fields are compacted as console output; other fields stay."""
+    return pd.DataFrame([_shortened(x or "", compact, _outputs) for x in s], columns=["text", "changed", "before", "after"])
 
 
 @_arrow("string")

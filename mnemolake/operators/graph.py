@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake import session
 from mnemolake.functions.text import normalize_target
 
 
@@ -111,20 +112,22 @@ def superseded(edges: DataFrame, nodes: DataFrame, verb: str = "supersedes") ->
     return own.groupBy(F.col("dst").alias("old")).agg(F.min("src").alias("new"))
 
 
-def demote_superseded(ranked: DataFrame, pairs: DataFrame, pool: int = 1000) -> DataFrame:
-    """query_id, id, rank: each old id moves right behind its new one if that ranks below it; pairs that supersede each
-    other stay. pairs: old, new."""
+def demote_superseded(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, id, rank: each old id moves right behind its new one if that ranks below it, pair after pair in order of
+    the old ids' ranks; pairs that supersede each other stay. pairs: old, new. A query's whole ranking is looked at."""
     mutual = pairs.alias("p").join(pairs.select(F.col("old").alias("n"), F.col("new").alias("o")), (F.col("new") == F.col("n")) & (F.col("old") == F.col("o")), "left_anti")
-    rows = ranked.filter(F.col("rank") <= pool).join(mutual.select(F.col("old").alias("id"), "new"), "id", "left")
+    rows = ranked.join(mutual.select(F.col("old").alias("id"), "new"), "id", "left")
 
     def move(pdf):
-        order = list(pdf.sort_values(["rank", "id"])["id"])
-        for old, new in pdf.dropna(subset=["new"]).sort_values(["rank", "id"])[["id", "new"]].itertuples(index=False):
-            if new in order and order.index(old) < order.index(new):
-                order.remove(old)
-                order.insert(order.index(new) + 1, old)
-        out = pdf[["query_id", "id"]].copy()
-        out["rank"] = [order.index(i) + 1 for i in out["id"]]
+        first = pdf.sort_values(["rank", "id"])
+        # a place behind another is that place and a number, smaller for what came later
+        place = {i: (n,) for n, i in enumerate(first["id"].drop_duplicates())}
+        for turn, (old, new) in enumerate(first.dropna(subset=["new"])[["id", "new"]].itertuples(index=False)):
+            if new in place and place[old] < place[new]:
+                place[old] = (*place[new], -turn)
+        order = {i: n + 1 for n, i in enumerate(sorted(place, key=place.get))}
+        out = pdf[["query_id", "id"]].drop_duplicates().copy()
+        out["rank"] = [order[i] for i in out["id"]]
         return out
 
     return rows.groupBy("query_id").applyInPandas(move, f"query_id {ranked.schema['query_id'].dataType.simpleString()}, id {ranked.schema['id'].dataType.simpleString()}, rank int")
@@ -134,15 +137,22 @@ def full_graph(edges: DataFrame, limit: int = 500) -> DataFrame:
     return edges.select("src", "dst", "type").distinct().orderBy("src", "dst", "type").limit(limit)
 
 
-def genealogy(tree: DataFrame, depth: int = 20) -> DataFrame:
-    """id, parent, label → id, level, line: an indented tree, depth first by id; sort by `way`."""
-    level = tree.filter(F.col("parent").isNull()).select("id", "label", F.lit(0).alias("level"), F.lpad(F.col("id").cast("string"), 12, "0").alias("way"))
-    out = level
-    for n in range(1, depth):
-        nxt = tree.alias("t").join(level.select(F.col("id").alias("parent"), F.col("way").alias("above")), "parent").select("id", "label", F.lit(n).alias("level"), F.concat_ws("/", "above", F.lpad(F.col("id").cast("string"), 12, "0")).alias("way"))
-        if nxt.isEmpty():
+def genealogy(tree: DataFrame) -> DataFrame:
+    """id, parent, label → id, level, line: an indented tree of any depth, depth first by id; sort by `way`. What no root
+    leads to, as in a ring, isn't told. Each level is written once, so none is computed again."""
+    folder, n, out = session.work_folder(tree.sparkSession, "genealogy"), 0, None
+    text = F.col("id").cast("string")
+    name = F.lpad(text, F.greatest(F.lit(20), F.length(text)), F.lit("0"))
+    level = tree.filter(F.col("parent").isNull()).select("id", "label", F.lit(0).alias("level"), name.alias("way"))
+    while True:
+        path = f"{folder}/level={n}"
+        level.write.parquet(path)
+        level, n = tree.sparkSession.read.schema(level.schema).parquet(path), n + 1
+        if out is not None and level.isEmpty():
             break
-        out, level = out.unionByName(nxt), nxt
+        out = level if out is None else out.unionByName(level)
+        above = level.select(F.col("id").alias("parent"), F.col("way").alias("above"))
+        level = tree.join(above, "parent").select("id", "label", F.lit(n).alias("level"), F.concat_ws("/", "above", name).alias("way"))
     return out.withColumn("line", F.concat(F.expr("repeat('  ', level)"), F.lit("- "), F.col("label")))
 
 

@@ -22,10 +22,15 @@ def top(df: DataFrame, per: list[str], k: int, *order: Column) -> DataFrame:
 MOST_TERMS = 1_000_000
 
 
+#: Bytes of an input that may be dealt anew to use all cores.
+SMALL_INPUT = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the input has fewer files than there are cores, which then would idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Rows of a small input dealt to all cores, which a file of few row groups would leave idle. Larger inputs stay as
+    they are read: they have splits enough."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
 
 
 def postings(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,14 +77,47 @@ def bm25_or_fallback(docs: DataFrame, queries: DataFrame, k: int = 10, **columns
     return chosen.select("query_id", "doc_id", "score", "rank", F.when(F.col("any_whole"), "and").otherwise("or").alias("mode"))
 
 
-def bm25f_topk(docs: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 10, doc_id: str = "doc_id", query_text: str = "query") -> DataFrame:
-    """Several fields with weights, summed field by field; ties by doc_id."""
-    parts = None
-    for field, weight in weights.items():
-        one = bm25_scores(docs, queries, doc_id, field, query_text).select("query_id", "doc_id", (F.col("score") * weight).alias("score"))
-        parts = one if parts is None else parts.unionByName(one)
-    scored = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
-    return top(scored, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
+#: Constants of the ranking function over fields, as the engine that it stands for documents them. (Fixed values.)
+FIELDS_K1, FIELDS_B, LEAST_IDF = 1.2, 0.75, 1e-6
+FIELD_WEIGHTS = {"title": 2.0, "body": 1.0}
+
+
+def bm25f_scores(docs: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", query_text: str = "query") -> DataFrame:
+    """query_id, doc_id, matched, asked, score of every pair that shares a term in some field.
+
+    A term's frequencies in the fields are weighted and added, tf = sum of weight * n, and saturate together: idf * tf *
+    (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)), where length counts the words of all fields, and idf is
+    ln((n - df + .5) / (df + .5)), LEAST_IDF at least. All fields are read in one pass, whose shuffle the statistics
+    share; a null field is empty."""
+    weights = weights or FIELD_WEIGHTS
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(query_text))).alias("term"))
+    small = F.broadcast if terms.count() <= MOST_TERMS else (lambda df: df)
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), *(F.coalesce(F.col(f), F.lit("")).alias(f"f{i}") for i, f in enumerate(weights))))
+    tokens = rows.select("doc_id", *(T.tokenize(f"f{i}").alias(f"t{i}") for i in range(len(weights))))
+    length = sum((F.size(f"t{i}") for i in range(len(weights))), F.lit(0))
+    # the empty term, of no weight, stands for the document
+    weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
+    parts = [F.transform(f"t{i}", weighted(w)) for i, w in enumerate(weights.values())]
+    each = tokens.select("doc_id", length.alias("length"), F.explode(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), *parts)).alias("x")).select("doc_id", "length", "x.*")
+    asked = small(terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    counted = each.join(asked, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.sum("w").alias("tf"))
+    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    corpus = stats.filter("term = ''").select(F.col("df").alias("n"), "mean")
+    stats = small(stats.filter("term <> ''").select("term", "df").join(F.broadcast(corpus)))  # one row of the corpus
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("tf") * (FIELDS_K1 + 1) / (F.col("tf") + FIELDS_K1 * (1 - FIELDS_B + FIELDS_B * F.col("length") / F.col("mean")))
+    per_term = counted.filter("term <> ''").join(stats, "term").select("doc_id", "term", part.alias("part"))
+    scored = per_term.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.round(F.sum("part"), DIGITS).alias("score"))
+    return scored.join(terms.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id")
+
+
+def bm25f_topk(docs: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None, k: int = 20, doc_id: str = "doc_id", query_text: str = "query") -> DataFrame:
+    """query_id, doc_id, score, rank, mode: documents with all of a query's terms in any field ("and"); of queries without
+    one, those with some ("or"). Ties by doc_id."""
+    scored = bm25f_scores(docs, queries, weights, doc_id, query_text).withColumn("whole", F.col("matched") == F.col("asked"))
+    ranked = top(scored, ["query_id"], k, F.desc("whole"), F.desc("score"), F.asc("doc_id"))
+    chosen = ranked.withColumn("any_whole", F.max("whole").over(Window.partitionBy("query_id"))).filter(F.col("whole") | ~F.col("any_whole"))
+    return chosen.select("query_id", "doc_id", "score", "rank", F.when(F.col("any_whole"), "and").otherwise("or").alias("mode"))
 
 
 #: Queries that a pass over the corpus answers.

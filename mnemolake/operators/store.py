@@ -53,10 +53,12 @@ def mtimes(notes: DataFrame, paths: DataFrame) -> DataFrame:
 def index_vectors(notes: DataFrame, chunks: DataFrame, embedder: str = "hashing-256") -> DataFrame:
     """path, ordinal, mtime, embedder, heading, content, vec: the chunk table after notes (path, mtime, text) that are new
     or changed were chunked and embedded again; chunks of notes that went, and of other embedders, go. Unchanged chunks
-    pass as they are, so a second run embeds nothing."""
+    pass as they are, so a second run embeds nothing. Where notes have a title of their own, it heads what stands before
+    the first heading, and a note without a body is one chunk of it."""
     have = indexed_keys(chunks, embedder)
     fresh = notes.join(have, ["path", "mtime"], "left_anti")
-    made = fresh.select("path", "mtime", F.posexplode(udfs.chunk_text("text")).alias("ordinal", "c")).select("path", "ordinal", "mtime", F.lit(embedder).alias("embedder"), "c.*")
+    cut = udfs.chunk_note("title", "text") if "title" in fresh.columns else udfs.chunk_text("text")
+    made = fresh.select("path", "mtime", F.posexplode(cut).alias("ordinal", "c")).select("path", "ordinal", "mtime", F.lit(embedder).alias("embedder"), "c.*")
     made = made.withColumn("vec", get_embedder(embedder)(F.col("content")))
     kept = chunks.filter(F.col("embedder") == embedder).join(notes.select("path", "mtime"), ["path", "mtime"], "left_semi")
     return kept.select(made.columns).unionByName(made)

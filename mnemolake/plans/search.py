@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemolake.functions import text as T
 from mnemolake.functions import urls
-from mnemolake.operators import graph, packing, ranking
+from mnemolake.operators import graph, models, packing, ranking
 
 
 def hybrid_search(docs: DataFrame, queries: DataFrame, semantic: DataFrame | None = None, usage: DataFrame | None = None, degrees: DataFrame | None = None, weights: tuple[float, float] = (1.0, 1.0), k: int = 10, pool: int = 50) -> DataFrame:
@@ -45,6 +47,14 @@ def assemble_context(hits: DataFrame, docs: DataFrame, queries: DataFrame, budge
     return packing.within_budget(gated, budget, ["query_id"], ["rank", "doc_id"]).select("query_id", "doc_id", "rank", "passage", "tokens")
 
 
+def reranked_search(docs: DataFrame, queries: DataFrame, load: Callable[[], models.Scorer], name: str, k: int = 10, pool: int = models.POOL, margin: float | None = None, **search) -> DataFrame:
+    """query_id, doc_id, score, logit, rank: the pool of hybrid_search (its arguments: search) in the order of a model that
+    reads each query beside the best passage of each document."""
+    hits = hybrid_search(docs, queries, k=max(pool, k), pool=max(pool, k, search.pop("pool", 50)), **search).join(queries.select("query_id", "query"), "query_id")
+    passages = packing.best_passage(docs, hits.select("query_id", "doc_id", "query")).select("query_id", "doc_id", "passage")
+    return models.rerank(hits.join(passages, ["query_id", "doc_id"], "left"), load, name, k, pool, margin)
+
+
 def graph_expand(hits: DataFrame, edges: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Neighbours of all hits with their scores."""
     return graph.typed_neighbors(edges, hits.select(F.col("doc_id").alias("node")).distinct(), weights)

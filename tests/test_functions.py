@@ -177,3 +177,59 @@ def test_greedy_near_dup_takes_whole_groups(spark):
     rows = [(1, i, i, [1.0, 0.0]) for i in range(2000)] + [(1, 2000, 2000, [0.0, 1.0]), (1, 2001, 2001, [0.0, 2.0])]
     df = spark.createDataFrame(rows, "group long, id long, rank long, vec array<double>")
     assert sorted(r.id for r in ranking.greedy_near_dup(df).collect()) == [0, 2000]
+
+
+def test_chunks_of_all_fences_and_of_notes_without_a_body():
+    body = "## Real\n\nSome prose that introduces the code below it.\n\n~~~bash\n# no heading\n```\n# nor here\n~~~\n\n## Next\n\nEnough prose in this section to stand on its own here.\n"
+    got = udfs.chunks(body, title="T")
+    assert [h for h, _ in got] == ["Real", "Next"] and "# no heading\n```\n# nor here\n~~~" in got[0][1]
+    assert udfs.chunks("", title=" Solo ") == [("Solo", "Solo")] and udfs.chunks(" \n", title="") == [] == udfs.chunks("")
+    assert udfs.chunks("# only a heading", title="T") == [("T", "# only a heading")]
+    intro = "Some text before the first heading, long enough to stand alone."
+    assert udfs.chunks(f"{intro}\n## A\n" + "x" * 60, title="Title")[0] == ("Title", intro)
+    folded = udfs.chunks("## A\n\n" + "x" * 200 + "\n\n## B\n\nhi", title="T")
+    assert folded == [("A", "x" * 200 + "\n\nhi")]
+    big = " ".join(f"word{i}" for i in range(400))
+    parts = udfs.chunks(f"## Big\n\n{big}", title="T")
+    assert all(len(c) <= 800 for _, c in parts) and " ".join(c for _, c in parts) == big
+    assert [c for _, c in udfs.chunks("a" * 1000)] == ["a" * 800, "a" * 200]
+
+
+def test_answers_are_compacted_in_their_texts_only(spark):
+    import json
+
+    wide = json.dumps({"rows": [{"n": i, "é": None} for i in range(30)]}, indent=4, ensure_ascii=False)
+    blocks = {"content": [{"type": "text", "text": wide}, {"type": "text", "text": "plain"}, {"type": "image", "text": wide}, 7], "more": {"text": wide}}
+    log = "\n".join(["same line"] * 400 + ["error: x"])
+    tool = {"stdout": log, "stderr": "short", "exit": 0}
+    rows = [json.dumps(blocks), json.dumps({"content": []}), "no JSON at all", json.dumps("text"), wide, None, json.dumps(tool), log]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "k int, answer string")
+    got = {r.k: r.b for r in df.select("k", udfs.compact_blocks("answer").alias("b")).collect()}
+    out = json.loads(got[0].text)
+    assert json.loads(out["content"][0]["text"]) == json.loads(wide) and len(out["content"][0]["text"]) < len(wide) - 200
+    assert out["content"][1:] == blocks["content"][1:] and out["more"] == blocks["more"] and got[0].changed and got[0].after < got[0].before
+    assert all(got[k].text == rows[k] and not got[k].changed for k in (1, 2, 3, 4, 6, 7)) and got[5].text == ""
+    got = {r.k: r.b for r in df.select("k", udfs.compact_outputs("answer").alias("b")).collect()}
+    out = json.loads(got[6].text)
+    assert len(out["stdout"]) < 100 and "error: x" in out["stdout"] and (out["stderr"], out["exit"]) == ("short", 0)
+    assert got[7].changed and got[7].text == out["stdout"] and all(got[k].text == rows[k] for k in (0, 1, 2, 3, 4))
+
+
+def test_genealogy_of_any_depth_and_long_ids(spark):
+    rows = [(10**15, None, "root")] + [(10**15 + i, 10**15 + i - 1, f"n{i}") for i in range(1, 25)] + [(5, None, "early"), (9, 8, "ring"), (8, 9, "ring")]
+    out = graph.genealogy(spark.createDataFrame(rows, "id long, parent long, label string")).orderBy("way").collect()
+    assert [r.label for r in out] == ["early", "root"] + [f"n{i}" for i in range(1, 25)] and out[-1].level == 24 and out[-1].line == "  " * 24 + "- n24"
+
+
+def test_supersession_looks_at_whole_rankings(spark):
+    ranked = spark.createDataFrame([(1, i, i) for i in range(1, 2001)], "query_id int, id int, rank int")
+    pairs = spark.createDataFrame([(1, 1500), (2, 1500), (3, 2), (1999, 5)], "old int, new int")
+    got = [r.id for r in graph.demote_superseded(ranked, pairs).orderBy("rank").collect()]
+    order = list(range(1, 2001))
+    for old, new in ((1, 1500), (2, 1500), (1999, 5)):  # 3 ranks below the old place of 2, but above its new one
+        if order.index(old) < order.index(new):
+            order.remove(old)
+            order.insert(order.index(new) + 1, old)
+    order.remove(3)
+    order.insert(order.index(2) + 1, 3)
+    assert got == order

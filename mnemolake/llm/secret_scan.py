@@ -4,7 +4,8 @@ Candidates are runs of the characters that keys are written in. A window slides
 characters, and with them the Shannon entropy, are updated as one character enters and one leaves. Windows whose
 entropy reaches the threshold of the candidate's character class (digits, hexadecimal, letters and digits, base 64)
 are joined to spans. An allow list suppresses what is known to look random and be harmless; the spans of the fixed
-patterns always stay.
+patterns always stay. Runs of letters, alone or in names and paths, pass the allow list if they read like words: most of
+their neighbouring consonants are pairs that words have, and their capitals stand where words begin.
 
 Null and empty texts have no spans; texts are scanned whole, however long; repeated rows give repeated results. An
 empty table gives an empty result. Extra columns are ignored. Places are code points.
@@ -31,9 +32,22 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 WINDOW = 20
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Class pattern and entropy, in bits a character, from which a window of WINDOW characters counts.
-CLASSES = ((re.compile(rb"[0-9]+"), 2.8), (re.compile(rb"[0-9a-fA-F]+"), 2.9), (re.compile(rb"[A-Za-z0-9]+"), 3.75), (re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.9))
-#: Harmless: UUIDs, dates and times (also 20 to 23 digits in a row), paths and names of words, words without digits.
-ALLOWED = tuple(re.compile(p) for p in (rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", rb"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_0-9-]*", rb"(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[01][0-9]|2[0-3])[0-5][0-9][0-6][0-9][0-9]{6,9}", rb"(?![0-9]+\Z)/?(?:[A-Za-z]+|[0-9]+)(?:[/_=-]+(?:[A-Za-z]+|[0-9]+))*[/=_-]*", rb"(.)\1*"))
+CLASSES = ((re.compile(rb"[0-9]+"), 2.8), (re.compile(rb"[A-Za-z]+"), 3.1), (re.compile(rb"[0-9a-fA-F]+"), 2.9), (re.compile(rb"[A-Za-z0-9]+"), 3.75), (re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.9))
+#: Harmless: UUIDs, dates and times (also 20 to 23 digits in a row), one character over and over.
+ALLOWED = tuple(re.compile(p) for p in (rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", rb"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_0-9-]*", rb"(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[01][0-9]|2[0-3])[0-5][0-9][0-6][0-9][0-9]{6,9}", rb"(.)\1*"))
+#: Paths and names: parts of letters or digits.
+NAME = re.compile(rb"(?![0-9]+\Z)[/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[/_=-]+(?:[A-Za-z]+|[0-9]+))*[/=_-]*")
+#: Pairs of consonants that words of European languages have within. (Fixed values.)
+PAIRS = frozenset(
+    b"bb bj bl br bs bt cc ch ck cl cr cs ct dd dg dl dr ds dv dw dy ff fl fr ft fs gg gh gl gn gr gs gt hl hm hn hr ht hs "
+    b"kl km kn kr ks kt lb lc ld lf lg lh lk ll lm ln lp lr ls lt lv lw ly mb mf mm mn mp ms nb nc nd nf ng nh nj nk nl nm nn np nq nr ns nt nv nw ny nz "
+    b"ph pl pp pr ps pt py rb rc rd rf rg rh rj rk rl rm rn rp rq rr rs rt rv rw ry rz sb sc sd sf sg sh sk sl sm sn sp sq sr ss st sv sw sy "
+    b"tb tc tf th tl tm tn tp tr ts tt tw ty tz vr wh wl wn wr ws xc xp xt yc yl ym yn yp yr ys yt zz".split()
+)
+#: Share of neighbouring letters that are other pairs of consonants, and letters a capitalised piece, of what isn't words.
+ODD, SHORT_PIECES = 0.17, 2.5
+_CONSONANTS = frozenset(b"bcdfghjklmnpqrstvwxz")
+_PIECES = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
 
 #: Digits in the order of counting, and numbers with a decimal point before or after them, are harmless too.
 _COUNTING = (b"0123456789" * 2, b"9876543210" * 2)
@@ -86,13 +100,26 @@ def _is_number(text: bytes, start: int, end: int) -> bool:
     return counting or bool(_FRACTION[0].search(text[max(0, start - 2) : start]) or _FRACTION[1].match(text[end : end + 2]))
 
 
+def reads_like_words(word: bytes) -> bool:
+    """Whether a name's letters could be words: names without letters are."""
+    pieces = _PIECES.findall(word)
+    letters = sum(map(len, pieces))
+    runs = re.findall(rb"[A-Za-z]+", word)
+    if letters < SHORT_PIECES * len(pieces) and any(p.islower() or len(p) > 1 and not p.isupper() for p in pieces) and letters > 2 * len(runs):
+        return False
+    low = [p.lower() for p in pieces]
+    pairs = sum(len(p) - 1 for p in low)
+    odd = sum(p[i : i + 2] not in PAIRS for p in low for i in range(len(p) - 1) if p[i] in _CONSONANTS and p[i + 1] in _CONSONANTS)
+    return odd < ODD * pairs or pairs < 8
+
+
 def entropy_spans(text: bytes) -> list[tuple[int, str, int]]:
     if b"\1" * WINDOW not in text.translate(_KEY_BYTES):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if any(p.fullmatch(word) for p in ALLOWED) or _is_number(text, *m.span()):
+        if any(p.fullmatch(word) for p in ALLOWED) or NAME.fullmatch(word) and reads_like_words(word) or _is_number(text, *m.span()):
             continue
         least = next(bits for p, bits in CLASSES if p.fullmatch(word))
         begin = end = None

@@ -73,3 +73,34 @@ def test_secret_tables(spark):
         assert [(s.start, s.kind, s.end) for s in got[i]] == secret_scan.scan(t)
     assert got[50] == [] and secret_scan.secret_spans(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_random_letters_are_found_but_names_and_paths_are_not():
+    import random
+    import string
+
+    from pyspark.sql import functions
+
+    dice, spans = random.Random(4), lambda t: [s for s in secret_scan.scan(f"x {t} y") if s[1] == "entropy"]
+    for alphabet in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters):
+        for n in (20, 30, 40):
+            found = sum(bool(spans("".join(dice.choice(alphabet) for _ in range(n)))) for _ in range(300))
+            assert found >= 0.85 * 300, (alphabet, n, found)
+    names = {x for m in (functions, re, hashlib, pytest, string, random) for x in dir(m)} | {x for c in vars(functions).values() if isinstance(c, type) for x in dir(c)}
+    long = [a + b for a in sorted(names) for b in ("", "_of_all_documents", "ForEveryCustomer") if len(a + b) >= 20 and re.fullmatch("[A-Za-z_]+", a)]
+    paths = [f"src/main/{a}/{b}" for a in sorted(names)[:60] for b in ("operators/ranking", "Streaming-Sources") if re.fullmatch("[A-Za-z_]+", a)]
+    bad = [x for x in long + paths if spans(x)]
+    assert len(long) > 500 and len(bad) <= 0.01 * len(long + paths), bad[:9]
+
+
+def test_very_long_candidates_and_repeated_rows(spark):
+    import random
+    import string
+
+    dice = random.Random(8)
+    key = "".join(dice.choice(string.ascii_letters + string.digits + "+/") for _ in range(200_000))
+    rows = [(1, key), (1, key), (2, "a" * 300_000), (3, f"token={key}")]
+    got = secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, [(s.start, s.kind, s.end) for s in r.found]) for r in got)
+    assert found[0] == found[1] and found[0][1] and found[0][1][0][0] < 20 and found[0][1][-1][2] > 199_900
+    assert found[2] == (2, [(0, "hex", 300_000)]) and found[3][1][0] == (0, "assign", 200_006)

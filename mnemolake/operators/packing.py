@@ -22,6 +22,29 @@ def best_passage(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", te
     return best.select("query_id", "doc_id", F.array_max("hits").alias("hits"), F.substring(passage, 1, most).alias("passage"))
 
 
+def extract_passage(text, query, most: int = 800):
+    """The paragraph (between blank lines) in which the query's terms occur most often, the first of ties, and the one that
+    follows, as far as both fit `most` characters; the first two if no term occurs. One that is longer alone is cut, with
+    an ellipsis. A query without terms gives the beginning of the first two; a text without paragraphs gives nothing."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    both = F.struct(parts.alias("parts"), F.array_distinct(T.tokenize(F.coalesce(query, F.lit("")))).alias("terms"))
+
+    def count(s):
+        hits = F.transform(s["parts"], lambda p: F.size(F.filter(T.tokenize(p), lambda t: F.array_contains(s["terms"], t))))
+        return F.struct(s["parts"].alias("parts"), s["terms"].alias("terms"), hits.alias("hits"))
+
+    def pick(s):
+        at = F.array_position(s["hits"], F.array_max(s["hits"])).cast("int")  # all are 0 if no term occurs, so the first
+        one, two = F.get(s["parts"], at - 1), F.get(s["parts"], at)
+        longer = F.concat(one, F.lit("\n\n"), two)
+        found = F.when(F.length(one) > most, F.concat(F.substring(one, 1, most), F.lit("…"))).when(two.isNull() | (F.length(longer) > most), one).otherwise(longer)
+        plain = F.substring(F.array_join(F.slice(s["parts"], 1, 2), "\n\n"), 1, most)
+        return F.when(F.size(s["parts"]) == 0, F.lit("")).when(F.size(s["terms"]) == 0, plain).otherwise(found)
+
+    # arrays of one, so that what a step computes is there once for the next
+    return F.transform(F.transform(F.array(both), count), pick)[0]
+
+
 def within_budget(rows: DataFrame, budget: int, per: list[str], order: list[str], cost: str = "tokens") -> DataFrame:
     """Rows in order as long as their running cost fits; the first always stays."""
     w = Window.partitionBy(*per).orderBy(*order)

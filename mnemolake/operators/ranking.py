@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemolake import session
 from mnemolake.functions import text as T
 from mnemolake.functions import vectors as V
 
@@ -120,52 +121,95 @@ def bm25f_topk(docs: DataFrame, queries: DataFrame, weights: dict[str, float] |
     return chosen.select("query_id", "doc_id", "score", "rank", F.when(F.col("any_whole"), "and").otherwise("or").alias("mode"))
 
 
-#: Queries that a pass over the corpus answers.
-QUERY_BLOCK = 4096
+#: Queries of a block, and bytes of all blocks that may be sent to every worker.
+QUERY_BLOCK, SENT_BYTES = 4096, 64 << 20
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """corpus: id, vec; queries: query_id, vec. The k nearest by cosine, ties by id; with group the nearest of each group.
 
-    Blocks of queries, of bounded size, travel to the corpus, whose batches answer with their own best rows by a product
-    of matrices; so the rows that are ranked are few. Rows without a vector, or of another size, are left out."""
-    asked = queries.filter(F.size("vec") > 0).select("query_id", "vec")
-    blocks = max(1, -(-asked.count() // block))
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    rows = spread(corpus.select(F.col("id").cast("long").alias("id"), *([F.col(group).cast("long").alias(group)] if group else []), F.col("vec").cast("array<double>").alias("vec")))
-    columns = ["query_id", *([group] if group else []), "id", "score"]
-    schema = ", ".join(f"{c} {'double' if c == 'score' else 'long'}" for c in columns)
-    parts = None
-    for n in range(blocks):
-        some = [(r["query_id"], r["vec"]) for r in numbered.filter(F.col("_block") == n).collect()]
-        part = rows.mapInPandas(_nearest(some, k, group), schema) if some else None
-        parts = part if parts is None else parts if part is None else parts.unionByName(part)
-    if parts is None:
-        parts = rows.sparkSession.createDataFrame([], schema)
+    Queries are packed in blocks of bounded size, batches of the corpus in packs, both as Arrow streams, and joined; no
+    vector passes through the driver. A pack answers each query with its own best rows by a product of matrices, so few
+    rows are ranked. Blocks that together have SENT_BYTES at most are broadcast, so the corpus isn't shuffled; more are
+    dealt with the packs by block and slice. Ids and groups keep their types. Rows and queries without a vector, with a
+    null or a component that isn't finite are left out, and a query meets vectors of its own size only."""
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    whole = lambda df, *more: df.filter((F.size("vec") > 0) & finite).select(*more, F.col("vec").cast("array<double>").alias("vec"))
+    asked = whole(queries, "query_id").withColumn("dim", F.size("vec"))
+    rows = spread(whole(corpus, "id", *([group] if group else [])))
+    kinds = {"query_id": asked, **({group: rows} if group else {}), "id": rows}
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c, df in kinds.items()) + ", score double"
+    packs = rows.mapInArrow(_packed, "dim int, held binary")
+    n, most = asked.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    blocks = max(1, -(-n // block))
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(_block, "dim int, block int, asked binary")
+    if 8 * n * most <= SENT_BYTES:
+        met = packs.join(F.broadcast(packed), "dim")
+    else:
+        slices = packs.sparkSession.sparkContext.defaultParallelism
+        dealt = packs.withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = dealt.join(packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["dim", "block", "slice"])
+    parts = met.select("held", "asked").mapInArrow(_nearest(k, group, [*kinds, "score"]), schema)
     return top(parts, ["query_id", *([group] if group else [])], 1 if group else k, F.desc("score"), F.asc("id"))
 
 
-def _nearest(asked: list, k: int, group: str | None):
-    """The nearest rows of each batch, of the whole batch or of each of its groups."""
+def _stream(table) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as s:
+        s.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(batches):
+    """A row of each batch for each size of vector: its rows, by id."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("vec"))
+        for dim in pc.unique(sizes):
+            own = batch.filter(pc.equal(sizes, dim)).sort_by("id")
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim.as_py()], pa.int32()), "held": pa.array([_stream(own)], pa.binary())})
+
+
+def _block(table):
+    import pyarrow as pa
+
+    return pa.table({"dim": table.column("dim").slice(0, 1), "block": table.column("block").slice(0, 1), "asked": pa.array([_stream(table.select(["query_id", "vec"]))], pa.binary())})
+
+
+def _opened(packed):
+    """A pack's table and its vectors as unit rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(pa.py_buffer(packed.as_py())) as s:
+        table = s.read_all().combine_chunks()
+    m = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return table, m / np.where(n > 0, n, 1)
+
+
+def _nearest(k: int, group: str | None, columns: list[str]):
+    """The nearest rows of each pack for each query of a block, of the whole pack or of each of its groups."""
 
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
-        ids, q = np.array([i for i, _ in asked]), unit(np.array([v for _, v in asked], float))
         for batch in batches:
-            batch = batch[[v is not None and len(v) == q.shape[1] for v in batch["vec"]]].sort_values("id")
-            if not len(batch):
-                continue
-            score = np.round(q @ unit(np.stack(batch["vec"].to_numpy())).T, DIGITS)
-            names = batch[group].to_numpy() if group else np.zeros(len(batch), int)
-            for name in np.unique(names):
-                own = np.flatnonzero(names == name)
-                best = np.argsort(-score[:, own], axis=1, kind="stable")[:, : 1 if group else k]  # ids ascend, so ties go by id
-                at = own[best]
-                out = {"query_id": np.repeat(ids, at.shape[1]), "id": batch["id"].to_numpy()[at.ravel()], "score": np.take_along_axis(score, at, axis=1).ravel()}
-                yield pd.DataFrame(out | ({group: name} if group else {}))
+            for pack, block in zip(batch.column(0), batch.column(1)):
+                (held, rows), (asked, q) = _opened(pack), _opened(block)
+                score = np.round(q @ rows.T, DIGITS)
+                names = held.column(group).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if group else np.zeros(len(rows), int)
+                for name in np.unique(names):
+                    own = np.flatnonzero(names == name)
+                    best = np.argsort(-score[:, own], axis=1, kind="stable")[:, : 1 if group else k]  # ids ascend, so ties go by id
+                    at, who = own[best].ravel(), np.repeat(np.arange(len(q)), best.shape[1])
+                    found = {c: (asked if c == "query_id" else held).column(c).combine_chunks().take(pa.array(who if c == "query_id" else at)) for c in columns[:-1]}
+                    yield pa.RecordBatch.from_arrays([*found.values(), pa.array(score[who, at])], columns)
 
     return run
 
@@ -254,25 +298,63 @@ def mmr(df: DataFrame, k: int, weight: float = 0.5, normalize: bool = True, pool
     return small.groupBy("query_id").applyInPandas(order, "query_id long, id long, rank int")
 
 
-def greedy_near_dup(df: DataFrame, least: float = 0.92) -> DataFrame:
-    """group, id, rank, vec: in rank order, a row goes if its cosine with a row that stays reaches `least`. A group of any
-    size is compared whole, in one task."""
-    ranked = df.withColumnRenamed("rank", "place")
+def greedy_near_dup(df: DataFrame, least: float = 0.92, block: int = 4096) -> DataFrame:
+    """group, id, place: in rank order, a row goes if its cosine with a row that stays reaches `least`. Rows without a
+    vector, or with a null in it, go too.
+
+    A group is taken in blocks of `block` ranks, one after another for all groups at once: a block loses, in tasks of its
+    own, what is near to a row that stayed before, and what is left of it is then looked at in order. So a task holds two
+    blocks, whatever the group's size."""
+    spark = df.sparkSession
+    kept = df.filter(F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull()))
+    folder = session.work_folder(spark, "near-duplicates")
+    order = F.row_number().over(Window.partitionBy("group").orderBy("rank", "id")) - 1
+    kept.select("group", "id", F.col("rank").alias("place"), F.col("vec").cast("array<double>").alias("vec"), order.alias("n")).withColumn("block", F.floor(F.col("n") / block)).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    schema = rows.schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    most = rows.agg(F.max("block")).first()[0]
+    stays = None
+
+    def unit(frame):
+        import numpy as np
+
+        m = np.stack(frame["vec"].to_numpy())
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    def keep(pdf):
+    def look(frame):
         import numpy as np
 
-        pdf = pdf.sort_values(["place", "id"])
-        m = np.array([np.asarray(v, float) for v in pdf["vec"]])
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        stays, held = [], np.empty_like(m)  # the first rows of held are those that stay
+        frame = frame.sort_values("n")
+        m = unit(frame)
+        held, own = np.empty_like(m), []  # the first rows of held are those that stay
         for i in range(len(m)):
-            if not stays or (held[: len(stays)] @ m[i]).max() < least:
-                held[len(stays)] = m[i]
-                stays.append(i)
-        return pdf.iloc[stays][["group", "id", "place"]]
+            if not own or (held[: len(own)] @ m[i]).max() < least:
+                held[len(own)] = m[i]
+                own.append(i)
+        return frame.iloc[own]
+
+    def near(left, right):
+        import pandas as pd
 
-    return ranked.groupBy("group").applyInPandas(keep, "group long, id long, place long")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"group": [], "n": []})
+        return left[(unit(left) @ unit(right).T).max(1) >= least][["group", "n"]]
+
+    for number in range(0 if most is None else int(most) + 1):
+        now = rows.filter(F.col("block") == number)
+        if stays is not None:
+            keys = ["group", "b"]
+            before = stays.select("group", "vec", F.col("block").alias("b"))
+            there = before.select(F.col("group").alias("group"), F.col("b").alias("b")).distinct()
+            each = now.join(there, "group").select("group", "b", "n", "vec")
+            group_type = schema["group"].dataType.simpleString()
+            gone = each.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(near, f"`group` {group_type}, n int").distinct()
+            now = now.join(gone.select(F.col("group").alias("group"), F.col("n").alias("n")), ["group", "n"], "left_anti")
+        now.groupBy("group").applyInPandas(look, kinds).write.parquet(f"{folder}/stays={number}")
+        stays = spark.read.schema(schema).parquet(*(f"{folder}/stays={i}" for i in range(number + 1)))
+    out = rows if stays is None else stays
+    return out.select("group", "id", F.col("place").cast("long").alias("place"))
 
 
 def near_pairs(df: DataFrame, least: float = 0.92, block: int = 2048) -> DataFrame:

@@ -51,8 +51,8 @@ def reranked_search(docs: DataFrame, queries: DataFrame, load: Callable[[], mode
     """query_id, doc_id, score, logit, rank: the pool of hybrid_search (its arguments: search) in the order of a model that
     reads each query beside the best passage of each document."""
     hits = hybrid_search(docs, queries, k=max(pool, k), pool=max(pool, k, search.pop("pool", 50)), **search).join(queries.select("query_id", "query"), "query_id")
-    passages = packing.best_passage(docs, hits.select("query_id", "doc_id", "query")).select("query_id", "doc_id", "passage")
-    return models.rerank(hits.join(passages, ["query_id", "doc_id"], "left"), load, name, k, pool, margin)
+    read = hits.join(docs.select("doc_id", "text"), "doc_id").withColumn("passage", packing.extract_passage(F.col("text"), F.col("query")))
+    return models.rerank(read, load, name, k, pool, margin)
 
 
 def graph_expand(hits: DataFrame, edges: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -50,6 +50,41 @@ def test_vector_queries_in_blocks(spark):
     assert near == blocks and len(near) == 30
 
 
+def test_vector_queries_of_odd_rows_and_any_ids(spark, monkeypatch):
+    inf = float("inf")
+    rows = [("b", [1.0, 0.0], "x"), ("a", [2.0, 0.0], "x"), ("c", [0.0, 1.0], None), ("d", None, "x"), ("e", [1.0, None], "x"), ("f", [inf, 1.0], "x"), ("g", [1.0], "y"), ("h", [], "y"), ("z", [0.0, 0.0], "y")]
+    df = spark.createDataFrame(rows, "id string, vec array<double>, label string")
+    asked = df.select(F.col("id").alias("query_id"), "vec")
+    want = {("a", "a", 1.0), ("a", "b", 1.0), ("b", "a", 1.0), ("b", "b", 1.0), ("c", "c", 1.0), ("c", "a", 0.0), ("g", "g", 1.0), ("z", "a", 0.0), ("z", "b", 0.0)}
+    for sent in (ranking.SENT_BYTES, 0):
+        monkeypatch.setattr(ranking, "SENT_BYTES", sent)
+        for b in (100, 1):
+            assert {(r.query_id, r.id, r.score) for r in ranking.vector_topk(df, asked, 2, block=b).collect()} == want
+    grouped = {(r.query_id, r.label, r.id) for r in ranking.vector_topk(df, asked.filter("query_id = 'b'"), group="label").collect()}
+    assert grouped == {("b", "x", "a"), ("b", "y", "z"), ("b", None, "c")}
+    assert ranking.vector_topk(df, asked.limit(0)).count() == 0 and ranking.vector_topk(df.limit(0), asked).count() == 0
+
+
+def test_near_duplicates_block_by_block(spark):
+    import random
+
+    dice = random.Random(3)
+    centres = [[dice.gauss(0, 1) for _ in range(4)] for _ in range(12)]
+    rows = [(f"g{i % 3}", i, 1000 - i, [c + dice.gauss(0, 0.15) for c in dice.choice(centres)]) for i in range(240)] + [("g0", 900, 5, None), ("g1", 901, 5, [1.0, None, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "group string, id long, rank int, vec array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = set()
+    for g in ("g0", "g1", "g2"):
+        stays = []
+        for _, i, _, v in sorted((r for r in rows if r[0] == g and r[3] and None not in r[3]), key=lambda r: (r[2], r[1])):
+            if all(cos(v, w) < 0.95 for w in stays):
+                stays.append(v)
+                want.add(i)
+    for block in (4096, 17):
+        assert {r.id for r in ranking.greedy_near_dup(df, 0.95, block).collect()} == want
+    assert ranking.greedy_near_dup(df.limit(0)).count() == 0
+
+
 def test_reflection_and_actions(spark):
     none = spark.createDataFrame([], "path string, line string")
     promotions = spark.createDataFrame([("a.md", "status: pending x")], "path string, line string")

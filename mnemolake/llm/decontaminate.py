@@ -11,8 +11,10 @@ which finds copies in capitals and items that are mostly numbers. A match is of
 the item's windows or covers most of its words, so one word replaced in a long item leaves it.
 
 The item side's keys filter documents' windows where they are made if there are few enough (a checked size); else all
-windows go into the join. Items shorter than a window are compared as a whole. Windows of an item with fewer than
-LITERALS words that aren't placeholders say nothing and are left out.
+windows go into the join. Items shorter than a window are compared as a whole. Windows of a longer item with fewer than
+LITERALS words that aren't placeholders say nothing and are left out. An item of one window with so few, but FEWEST at
+least, is looked for as a sentence of its own: "What is 99 plus 7?" for "What is 12 plus 30?", but not within a longer
+sentence. Items of fewer than SHORTEST words say nothing, wherever they stand.
 
 Null and empty texts match nothing; a window that occurs in several items counts for each; repeated rows give repeated
 results; an empty table of documents or items gives an empty result. Items without an item_id can't be told and are left
@@ -31,6 +33,8 @@ from mnemolake.llm.common import id_and_text, map_batches, materialize, small_ba
 from mnemolake.llm.words import U64, grams, lower_table, mix, starts_of, words
 
 K, LITERALS = 8, 4
+#: Words of an item, and those that aren't placeholders in one of a single window, at least.
+SHORTEST, FEWEST = 3, 2
 #: Share of an item's windows, and of its slots, that a match needs; and how far its diagonals may lie apart.
 ENOUGH, CONSISTENT, NEAR = 0.5, 0.8, 6
 #: Share of an item's words that make a match whatever its share of windows.
@@ -105,6 +109,7 @@ class Canonical:
         before = np.append(0, np.cumsum(keep))
         self.kind = kind[keep]
         self.h = np.where(self.kind < 3, _CODES[np.minimum(self.kind, 2)], h[keep])
+        self.opening = self.opens[keep]
         self.start = start[keep]
         last = np.flatnonzero(keep)
         self.end = end[np.append(last[1:] - 1, len(end) - 1)] if len(last) else end[:0]
@@ -125,12 +130,12 @@ class Canonical:
 
 
 _SLOT = pa.struct([("place", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
-_HIT = pa.list_(pa.struct([("form", pa.int32()), ("n_windows", pa.int32()), ("n_words", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("place", pa.int64()), ("gram", pa.string()), ("slots", pa.list_(_SLOT))]))
-_HITS = "array<struct<form:int,n_windows:int,n_words:int,size:int,hash:long,place:long,gram:string,slots:array<struct<place:int,kind:string,value:string>>>>"
+_HIT = pa.list_(pa.struct([("form", pa.int32()), ("n_windows", pa.int32()), ("n_words", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("gram", pa.string()), ("slots", pa.list_(_SLOT))]))
+_HITS = "array<struct<form:int,n_windows:int,n_words:int,size:int,hash:long,place:long,alone:boolean,gram:string,slots:array<struct<place:int,kind:string,value:string>>>>"
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, form, n_windows, n_words, size, hash, place, gram, slots: what is looked for."""
+    """item_id, form, n_windows, n_words, size, hash, place, alone (must be a sentence), gram, slots: what is looked for."""
     small_batches(items.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -139,12 +144,13 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
             own = canonical.form(form)
             for item, (i, j) in enumerate(zip(own.first.tolist(), own.first[1:].tolist())):
                 size, hits = min(K, j - i), []
-                if size:
+                if j - i >= SHORTEST:
                     h = grams(own.h[i:j], size).astype(np.int64)
                     for at in range(j - i - size + 1):
-                        if (own.kind[i + at : i + at + size] == 3).sum() >= min(LITERALS, size):
+                        literals = int((own.kind[i + at : i + at + size] == 3).sum())
+                        if literals >= (FEWEST if size == j - i else LITERALS):
                             gram, slots = own.window(i + at, size)
-                            hits.append({"form": form, "n_words": j - i, "size": size, "hash": int(h[at]), "place": at, "gram": gram, "slots": slots})
+                            hits.append({"form": form, "n_words": j - i, "size": size, "hash": int(h[at]), "place": at, "alone": literals < LITERALS, "gram": gram, "slots": slots})
                 found[item] += [hit | {"n_windows": len(hits)} for hit in hits]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _HIT)], ["doc_id", "hits"])
 
@@ -178,12 +184,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             doc = np.searchsorted(own.first, at, side="right") - 1
             for i, d, c in zip(at.tolist(), doc.tolist(), code.tolist()):
                 gram, slots = own.window(i, size)
-                found[d].append({"form": form, "size": size, "hash": c, "place": i - int(own.first[d]), "gram": gram, "slots": slots})
+                sentence = bool(own.opening[i]) and (i + size == int(own.first[d + 1]) or bool(own.opening[i + size]))
+                found[d].append({"form": form, "size": size, "hash": c, "place": i - int(own.first[d]), "alone": sentence, "gram": gram, "slots": slots})
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _HIT)], ["doc_id", "hits"])
 
     rows = map_batches(id_and_text(docs, id_col, text_col), run, f"doc_id long, hits {_HITS}").filter(F.size("hits") > 0)
-    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode("hits").alias("hit")).select("row", "doc_id", "hit.form", "hit.size", "hit.hash", "hit.gram", F.col("hit.place").alias("doc_place"), F.col("hit.slots").alias("doc_slots"))
-    joined = each.join(F.broadcast(wanted) if few else wanted, ["form", "size", "hash", "gram"])
+    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode("hits").alias("hit")).select("row", "doc_id", "hit.form", "hit.size", "hit.hash", "hit.gram", F.col("hit.place").alias("doc_place"), F.col("hit.alone").alias("sentence"), F.col("hit.slots").alias("doc_slots"))
+    joined = each.join(F.broadcast(wanted) if few else wanted, ["form", "size", "hash", "gram"]).filter(~F.col("alone") | F.col("sentence"))
     near = Window.partitionBy("row", "item_id", "form").orderBy("diagonal", "place")
     voted = joined.withColumn("diagonal", F.col("doc_place") - F.col("place"))
     voted = voted.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > NEAR, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(near))

@@ -10,7 +10,7 @@ UNITS = set(d.UNITS.split())
 
 
 def canonical(text, form):
-    """(kind, shown, value) of each canonical word of a text in a form."""
+    """(kind, shown, value, whether it opens a sentence) of each canonical word of a text in a form."""
     out, last_end, before_number, before_name = [], 0, False, False
     for m in WORD.finditer(text):
         word = m[0]
@@ -21,22 +21,24 @@ def canonical(text, form):
         name = form < 2 and not number and not unit and word[0].isupper() and small > 0 and (form == 1 or not opens)
         last_end, before_number = m.end(), number
         if form == 2:
-            out.append([3, word.lower(), word])
+            out.append([3, word.lower(), word, None, opens])
             continue
         if name and before_name and not opens:
             out[-1][2] = text[out[-1][3] : m.end()]
         else:
             kind = 0 if number else 1 if unit else 2 if name else 3
-            out.append([kind, f"<{d.SLOTS[kind]}>" if kind < 3 else word.lower(), word, m.start()])
+            out.append([kind, f"<{d.SLOTS[kind]}>" if kind < 3 else word.lower(), word, m.start(), opens])
         before_name = name
-    return [w[:3] for w in out]
+    return [(*w[:3], w[4]) for w in out]
 
 
 def places_of(doc, item):
     """Good places of an item in a document, in one form: their number, greatest share, whether one has the item's values."""
     size = min(d.K, len(item))
-    windows = [i for i in range(len(item) - size + 1) if size and sum(w[0] == 3 for w in item[i : i + size]) >= min(d.LITERALS, size)]
-    hits = sorted((j - i, i) for i in windows for j in range(len(doc) - size + 1) if all(a[:2] == b[:2] for a, b in zip(item[i : i + size], doc[j : j + size])))
+    literals = lambda i: sum(w[0] == 3 for w in item[i : i + size])
+    windows = [i for i in range(len(item) - size + 1) if len(item) >= d.SHORTEST and literals(i) >= (d.FEWEST if size == len(item) else d.LITERALS)]
+    sentence = lambda j: doc[j][3] and (j + size == len(doc) or doc[j + size][3])
+    hits = sorted((j - i, i) for i in windows for j in range(len(doc) - size + 1) if all(a[:2] == b[:2] for a, b in zip(item[i : i + size], doc[j : j + size])) and (literals(i) >= d.LITERALS or sentence(j)))
     runs = []
     for hit in hits:
         if not runs or hit[0] - runs[-1][-1][0] > d.NEAR:
@@ -73,8 +75,9 @@ def test_all_pairs_of_a_fixture(spark):
     r = random.Random(11)
     plain = "the sea was calm and nobody on the long quay spoke a word before the bell rang".split()
     items = [(i, _question(r)) for i in range(8)]
-    items += [(20, "What is 12 times 7?"), (21, "short one"), (22, None), (23, ""), (24, " ".join(plain)), (25, items[0][1])]
+    items += [(20, "What is 12 times 7?"), (21, "short one"), (22, None), (23, ""), (24, " ".join(plain)), (25, items[0][1]), (26, "What is 12 plus 30?"), (27, "Add 12 and 30"), (28, "Paris"), (29, "the long quay")]
     docs = [(1, None), (2, ""), (3, "x"), (4, "What is 13 times 7? What is 12 times 7?")]
+    docs += [(5, "Sums: what is 99 plus 7? Add 5 and 6. We add 5 and 6 to what is 1 plus 2 now."), (6, "Paris\nI love Paris in the spring on the long quay"), (7, "We sat.\nThe long quay\nwas wet")]
     for n in range(60):
         filler = " ".join(r.choice(plain) for _ in range(r.randint(0, 30)))
         text = r.choice(items[:8])[1] if n % 3 else _question(r)
@@ -97,6 +100,7 @@ def test_all_pairs_of_a_fixture(spark):
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_places int")
     got = {(x.doc_id, x.item_id): (x.n_places, round(x.share, 9), x.same_values) for x in d.contaminated(df, benchmark).collect()}
     assert got == want
+    assert {(5, 26), (5, 27), (7, 29)} <= set(want) and want[5, 27][0] == 1 and not any(doc == 6 or item == 28 for doc, item in want)
     assert len(want) > 40 and {(4, 20), (500, 24), (501, 1)} <= set(want) and not {1, 2, 3} & {doc for doc, _ in want}
 
 

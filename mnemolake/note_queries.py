@@ -478,10 +478,10 @@ def topic_lines(spark, d):
     return crawl.topic_index(p).select("topic", "line")
 
 
-@query("""WITH f AS (SELECT p_brand AS topic, lower(p_type) AS k, min(p_partkey) AS n FROM part WHERE p_size % 3 <> 0 GROUP BY ALL), g AS (SELECT p_brand AS topic, lower(p_type) AS k FROM part WHERE p_size % 3 = 0)
+@query("""WITH f AS (SELECT p_brand AS topic, lower(p_type || ' ' || p_partkey % 97) AS k, min(p_partkey) AS n FROM part WHERE p_size % 3 <> 0 GROUP BY ALL), g AS (SELECT p_brand AS topic, lower(p_type || ' ' || p_partkey % 97) AS k FROM part WHERE p_size % 3 = 0)
     SELECT topic, k AS lead FROM f WHERE (topic, k) NOT IN (SELECT topic, k FROM g) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n, k) <= 5""")
 def new_leads(spark, d):
-    p = table(spark, d, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("position"), F.lower("p_type").alias("lead"), "p_size")
+    p = table(spark, d, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("position"), F.lower(F.concat("p_type", F.lit(" "), (F.col("p_partkey") % 97).cast("string"))).alias("lead"), "p_size")
     return crawl.leads(p.filter("p_size % 3 <> 0"), p.filter("p_size % 3 = 0"))
 
 

@@ -64,10 +64,10 @@ def result_links(pages: DataFrame, body: str = "html", link_class: str = "result
     return each.select("position", url.alias("url"), title.alias("title")).filter("url <> ''")
 
 
-def result_json(rows: DataFrame, body: str = "body", limit: int = 20) -> DataFrame:
-    """position, url, title, content of a search answer's results that have a url."""
+def result_json(rows: DataFrame, body: str = "body", limit: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep (columns that tell answers apart), position, url, title, content of search answers' results that have a url."""
     schema = "struct<results:array<struct<url:string,title:string,content:string,engine:string,score:double>>>"
-    out = rows.select(F.posexplode(F.from_json(body, schema)["results"]).alias("position", "r")).select("position", "r.*")
+    out = rows.select(*keep, F.posexplode(F.from_json(body, schema)["results"]).alias("position", "r")).select(*keep, "position", "r.*")
     return out.filter("url is not null and url <> ''").filter(F.col("position") < limit).fillna({"title": "", "content": ""})
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from mnemolake import audit_queries, model_queries, note_queries, page_queries, queries, stream_queries  # noqa: F401  (register their queries)
+from mnemolake import audit_queries, model_queries, note_queries, page_queries, queries, stream_queries, text_queries  # noqa: F401  (register their queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

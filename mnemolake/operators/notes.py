@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -156,3 +158,59 @@ def reflection_text(found: DataFrame) -> DataFrame:
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", line.alias("_l")))), lambda s: s["_l"]), "\n")
     each = found.groupBy("kind").agg(parts.alias("_t")).withColumn("_s", F.concat(F.lit("## "), F.col("kind"), F.lit("\n"), F.col("_t")))
     return each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "_s"))), lambda s: s["_s"]), "\n\n").alias("text"))
+
+
+FRONT_KEY = r"[A-Za-z0-9_][A-Za-z0-9_.-]*"
+
+
+def yaml_scalar(value):
+    """A scalar as YAML: numbers and booleans as they are, words plain, what could be read as something else quoted."""
+    s = value.cast("string")
+    safe = s.rlike(r"^[A-Za-z0-9][A-Za-z0-9 _./-]*$") & (s == F.trim(s)) & ~s.rlike(r"(?i)^(true|false|null|yes|no|on|off)$") & ~s.rlike(r"^[0-9.+-]+$")
+    quoted = F.to_json(F.struct(s.alias("v")))
+    return F.when(safe, s).when(s.isNotNull(), F.substring(quoted, F.lit(6), F.length(quoted) - 6))
+
+
+def edit_front_matter(df: DataFrame, set: dict[str, object] | None = None, remove: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """The rows with top-level scalar keys of their front matter set and removed, all other lines as they are.
+
+    set: a key's value, a string, a number, a boolean or a column. A note without front matter gets a block; one whose last
+    key goes loses it. Adds `refused` (keys whose value goes on in indented lines: such a note stays as it is) and
+    `not_found` (keys to remove that aren't there). A null text counts as empty, a null value removes nothing and sets
+    nothing. Line ends stay what they are in the note."""
+    set = set or {}
+    if not set and not remove:
+        raise ValueError("nothing to set or remove")
+    if bad := [k for k in (*set, *remove) if not re.fullmatch(FRONT_KEY, k)]:
+        raise ValueError(f"not keys: {bad}")
+    if bad := [k for k, v in set.items() if not isinstance(v, (str, int, float, bool, Column))]:
+        raise ValueError(f"not scalars: {bad}")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    block = F.regexp_extract(whole, r"(?s)\A---\r?\n(?:.*?\r?\n)??---(?:\r?\n|\z)", 0)
+    out = df.withColumn("_t", whole).withColumn("_b", block).withColumn("_eol", F.when(F.contains(whole, F.lit("\r\n")), "\r\n").otherwise("\n"))
+    inner = F.regexp_replace(F.regexp_replace("_b", r"\A---\r?\n", ""), r"(?:\A|\r?\n)---(?:\r?\n)?\z", "")
+    lines = F.when((F.col("_b") == "") | (inner == ""), F.array().cast("array<string>")).otherwise(F.split(inner, r"\r?\n"))
+    out = out.withColumn("_lines", lines).withColumn("refused", F.array().cast("array<string>")).withColumn("not_found", F.array().cast("array<string>"))
+
+    def place(key: str):
+        return F.coalesce(F.array_position(F.transform("_lines", lambda x: x.startswith(f"{key}:")), True), F.lit(0)).cast("int")
+
+    for key, value, gone in [*((k, v, False) for k, v in set.items()), *((k, None, True) for k in remove)]:
+        at = place(key)
+        nested = (at > 0) & F.coalesce(F.get("_lines", at).rlike(r"^[ \t]"), F.lit(False))
+        if gone:
+            new, wanted = F.filter("_lines", lambda x, i: i != at - 1), at > 0
+        else:
+            scalar = F.lit(str(value).lower() if isinstance(value, bool) else str(value)) if isinstance(value, (bool, int, float)) else yaml_scalar(value if isinstance(value, Column) else F.lit(value))
+            if isinstance(value, Column) and dict(df.select(value.alias("v")).dtypes)["v"] not in ("string",):
+                scalar = value.cast("string")
+            line = F.concat(F.lit(f"{key}: "), scalar)
+            new = F.when(at > 0, F.transform("_lines", lambda x, i: F.when(i == at - 1, line).otherwise(x))).otherwise(F.array_append("_lines", line))
+            wanted = line.isNotNull()
+        out = out.withColumn("_new", F.when(nested | ~wanted, F.col("_lines")).otherwise(new)).withColumn("refused", F.when(nested, F.array_append("refused", F.lit(key))).otherwise(F.col("refused")))
+        if gone:
+            out = out.withColumn("not_found", F.when(at == 0, F.array_append("not_found", F.lit(key))).otherwise(F.col("not_found")))
+        out = out.withColumn("_lines", F.col("_new"))
+    joined = F.when(F.size("_lines") == 0, F.lit("")).otherwise(F.concat(F.lit("---"), F.col("_eol"), F.array_join(F.transform("_lines", lambda x: F.concat(x, F.col("_eol"))), ""), F.lit("---"), F.col("_eol")))
+    edited = F.concat(joined, F.substring("_t", F.length("_b") + 1, F.length("_t")))
+    return out.withColumn(text, F.when(F.size("refused") > 0, F.col("_t")).otherwise(edited)).drop("_t", "_b", "_eol", "_lines", "_new")

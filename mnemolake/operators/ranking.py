@@ -295,7 +295,8 @@ def mmr(df: DataFrame, k: int, weight: float = 0.5, normalize: bool = True, pool
                     near[i] = max(near[i], float(unit[i] @ unit[best]))
         return pdf.iloc[chosen].assign(rank=range(1, len(chosen) + 1))[["query_id", "id", "rank"]]
 
-    return small.groupBy("query_id").applyInPandas(order, "query_id long, id long, rank int")
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("query_id", "id"))
+    return small.groupBy("query_id").applyInPandas(order, f"{kinds}, rank int")
 
 
 def greedy_near_dup(df: DataFrame, least: float = 0.92, block: int = 4096) -> DataFrame:

@@ -72,3 +72,29 @@ def research(results: DataFrame, covered: DataFrame | None = None, per_host: int
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     ranked = fused.withColumn("rank", F.row_number().over(w)).withColumn("host", urls.host_of("key"))
     return ranking.host_cap(ranked, per_host, ["query_id"]).filter(F.col("position") <= k).select("query_id", "key", "host", "score", "found_by", "position")
+
+
+def judged_research(judged: DataFrame, drop_below: float = 3.0, near: float | None = 0.92, diversify: float | None = None, k: int = 40) -> DataFrame:
+    """query_id, key, relevance, rank, dropped: pages in the order of their verdicts.
+
+    judged: query_id, key, position, relevance (null: no verdict), relevant (of pages without a score: false is a rejection,
+    null unknown), vec. Scores come first, then pages that were called relevant or not without a score (as 5), then those
+    without a verdict (as -1), in the order they had. Scores under `drop_below` go; `dropped` tells how many of the query
+    did. Then a page goes whose cosine with a better one reaches `near`, pages without a vector stay; with `diversify`,
+    maximal marginal relevance of that weight orders what is left."""
+    verdict = F.coalesce(F.col("relevance").cast("double"), F.when(F.col("relevant").isNull(), F.lit(-1.0)).otherwise(5.0))
+    own = Window.partitionBy("query_id")
+    rejected = F.coalesce(F.col("relevance") < drop_below, F.lit(False))
+    rows = judged.withColumn("verdict", verdict).withColumn("dropped", F.count_if(rejected).over(own)).filter(~rejected)
+    rows = rows.withColumn("rank", F.row_number().over(own.orderBy(F.desc("verdict"), "position", "key")))
+    if near is not None:
+        stays = ranking.greedy_near_dup(rows.select(F.col("query_id").alias("group"), F.col("key").alias("id"), "rank", "vec"), near)
+        bare = rows.filter(F.col("vec").isNull()).select(F.col("query_id").alias("group"), F.col("key").alias("id"))
+        left = stays.select("group", "id").unionByName(bare)
+        rows = rows.join(left.select(F.col("group").alias("query_id"), F.col("id").alias("key")), ["query_id", "key"], "left_semi")
+    order = F.col("rank")
+    if diversify is not None:
+        turns = ranking.mmr(rows.select("query_id", F.col("key").alias("id"), F.coalesce(F.col("relevance").cast("double"), F.lit(0.0)).alias("score"), "vec"), k, diversify, pool=k)
+        rows = rows.join(turns.select("query_id", F.col("id").alias("key"), F.col("rank").alias("turn")), ["query_id", "key"])
+        order = F.col("turn")
+    return rows.withColumn("rank", F.row_number().over(own.orderBy(order))).filter(F.col("rank") <= k).select("query_id", "key", "relevance", "rank", "dropped")

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemolake.operators import audit, knowledge, packing
+from mnemolake.operators import audit, knowledge, notes, packing
+from mnemolake.plans import search
 from mnemolake.queries import _TOKENS, query
 from mnemolake.sources.tables import table
 
@@ -76,3 +77,23 @@ def extracted_passages(spark, d):
     asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
     both = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(asked, "item_id")
     return both.select("doc_id", "item_id", packing.extract_passage(F.col("text"), F.col("query")).alias("passage"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '---' || chr(10) || 'status:' || chr(10) || '  - a' || chr(10) || '---' || chr(10) || 'body' ELSE '---' || chr(10) || CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE 'kind: note' || chr(10) END || 'status: confirmed' || chr(10) || 'n: ' || o_orderkey || chr(10) || '---' || chr(10) || 'body' END AS text,
+    CASE WHEN o_orderkey % 5 = 0 THEN ['status'] ELSE []::VARCHAR[] END AS refused, CASE WHEN o_orderkey % 5 IN (0, 1) THEN ['old'] ELSE []::VARCHAR[] END AS not_found FROM orders""")
+def edited_notes(spark, d):
+    key = F.col("o_orderkey") % 5
+    text = F.when(key == 0, "---\nstatus:\n  - a\n---\nbody").when(key == 1, "body").otherwise("---\nkind: note\nold: 1\nstatus: draft\n---\nbody")
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return notes.edit_front_matter(rows, {"status": "confirmed", "n": F.col("o_orderkey")}, ("old",)).select("o_orderkey", "text", "refused", "not_found")
+
+
+_JUDGED = "j AS (SELECT o_custkey AS query_id, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 11)::DOUBLE END AS relevance, CASE WHEN o_orderkey % 8 = 0 THEN true END AS relevant FROM orders)"
+
+
+@query(f"""WITH {_JUDGED}, v AS (SELECT *, coalesce(relevance, CASE WHEN relevant IS NULL THEN -1 ELSE 5 END) AS verdict, count(*) FILTER (relevance < 3) OVER (PARTITION BY query_id) AS dropped FROM j)
+    SELECT query_id, key, relevance, (row_number() OVER (PARTITION BY query_id ORDER BY verdict DESC, position, key))::INT AS rank, dropped FROM v WHERE relevance IS NULL OR relevance >= 3 QUALIFY rank <= 40""")
+def research_verdicts(spark, d):
+    key = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), key.alias("key"), F.when(key % 4 > 0, (key % 11).cast("double")).alias("relevance"), F.when(key % 8 == 0, True).alias("relevant"), F.lit(None).cast("array<double>").alias("vec"))
+    return search.judged_research(o.withColumn("position", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY key)")), near=None)

@@ -72,51 +72,108 @@ def hedges_g(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     return s.select(F.round(F.when(pooled > 0, g).otherwise(0.0), 6).alias("g"))
 
 
-def mulberry32(seed: int):
-    """The generator of that name: numbers from 0 to below 1."""
-    state = seed & 0xFFFFFFFF
-    while True:
-        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
-        t = ((state ^ (state >> 15)) * (state | 1)) & 0xFFFFFFFF
-        t = (t ^ (t + (((t ^ (t >> 7)) * (t | 61)) & 0xFFFFFFFF))) & 0xFFFFFFFF
-        yield ((t ^ (t >> 14)) & 0xFFFFFFFF) / 4294967296
-
-
-def bootstrap_interval(values: list[float], seed: int = 1, rounds: int = 2000, level: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of the mean from resampled means, indices rounded down."""
-    if not values:
-        return (float("nan"), float("nan"))
-    draw, n = mulberry32(seed), len(values)
-    means = sorted(sum(values[int(next(draw) * n)] for _ in range(n)) / n for _ in range(rounds))
-    low = (1 - level) / 2
-    return means[int(low * rounds)], means[min(rounds - 1, int((1 - low) * rounds))]
+def mulberry32(seed: int, first: int, count: int):
+    """Numbers first + 1 to first + count of the generator of that name, from 0 to below 1: its state only counts, so any
+    stretch can be had alone."""
+    import numpy as np
 
+    mask, u = np.uint64(0xFFFFFFFF), np.uint64
+    state = (u(seed & 0xFFFFFFFF) + (np.arange(first + 1, first + count + 1, dtype=np.uint64) & mask) * u(0x6D2B79F5)) & mask
+    t = ((state ^ (state >> u(15))) * (state | u(1))) & mask
+    t = (t ^ (t + (((t ^ (t >> u(7))) * (t | u(61))) & mask))) & mask
+    return ((t ^ (t >> u(14))) & mask) / 4294967296
 
-def bootstrap_ci(df: DataFrame, by: str, value: str, seed: int = 1, rounds: int = 500, most: int = 1_000_000) -> DataFrame:
-    """by, n, mean, low, high. Groups are per-query metrics; one of more than `most` values is an error."""
-    small = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("value"))
 
-    def run(pdf):
-        import pandas as pd
+#: Numbers that are drawn at a time.
+DRAWN = 1 << 20
+
+
+def resampled(sides: list, seed: int, first: int, rounds: int):
+    """The mean of each side (values) in rounds first to first + rounds: a column a side. A round draws for one side after
+    the other, indices rounded down."""
+    import numpy as np
 
-        if len(pdf) > most:
-            raise ValueError(f"a group has {len(pdf)} values, more than {most}")
-        values = sorted(pdf["value"])
-        low, high = bootstrap_interval(values, seed, rounds)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(values)], "mean": [round(sum(values) / len(values), 6)], "low": [round(low, 6)], "high": [round(high, 6)]})
+    sides = [np.asarray(s, float) for s in sides]
+    size, out = sum(map(len, sides)), np.empty((rounds, len(sides)))
+    step = max(1, DRAWN // size)
+    for at in range(0, rounds, step):
+        n = min(step, rounds - at)
+        drawn, begin = mulberry32(seed, (first + at) * size, n * size).reshape(n, size), 0
+        for i, side in enumerate(sides):
+            out[at : at + n, i] = side[(drawn[:, begin : begin + len(side)] * len(side)).astype(np.int64)].mean(1)
+            begin += len(side)
+    return out
 
-    return small.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, n long, mean double, low double, high double")
+
+def _bounds(rounds: int, level: float) -> tuple[int, int]:
+    low = round((1 - level) / 2, 12)
+    return int(low * rounds), min(rounds - 1, int((1 - low) * rounds))
+
+
+def bootstrap_interval(values: list[float], seed: int = 1, rounds: int = 10_000, level: float = 0.95) -> tuple[float, float]:
+    """Percentile interval of the mean from resampled means."""
+    if not len(values):
+        return (float("nan"), float("nan"))
+    means, (low, high) = sorted(resampled([values], seed, 0, rounds)[:, 0].tolist()), _bounds(rounds, level)
+    return means[low], means[high]
 
 
-def bootstrap_delta(a: list[float], b: list[float], seed: int = 1, rounds: int = 2000, level: float = 0.95) -> tuple[float, float]:
+def bootstrap_delta(a: list[float], b: list[float], seed: int = 1, rounds: int = 10_000, level: float = 0.95) -> tuple[float, float]:
     """Percentile interval of the difference of means, both sides resampled on their own; none below two values a side."""
     if min(len(a), len(b)) < 2:
         return (float("nan"), float("nan"))
-    draw = mulberry32(seed)
-    mean = lambda x: sum(x[int(next(draw) * len(x))] for _ in x) / len(x)
-    found = sorted(mean(a) - mean(b) for _ in range(rounds))
-    low = (1 - level) / 2
-    return found[int(low * rounds)], found[min(rounds - 1, int((1 - low) * rounds))]
+    both, (low, high) = resampled([a, b], seed, 0, rounds), _bounds(rounds, level)
+    found = sorted((both[:, 0] - both[:, 1]).tolist())
+    return found[low], found[high]
+
+
+#: Rounds that a row of work stands for.
+ROUNDS = 250
+
+
+def _intervals(sides: DataFrame, names: list[str], seed: int, rounds: int, level: float) -> DataFrame:
+    """by, low, high of groups with a column of values for each name: rounds are dealt to tasks, not groups."""
+    kind = sides.schema["by"].dataType.simpleString()
+    work = sides.select("by", *names, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(ROUNDS))).alias("first"))
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                got = resampled([getattr(row, n) for n in names], seed, row.first, min(ROUNDS, rounds - row.first))
+                yield pd.DataFrame({"by": [row.by] * len(got), "stat": got[:, 0] - (got[:, 1] if len(names) > 1 else 0.0)})
+
+    stats = work.repartition("by", "first").mapInPandas(run, f"by {kind}, stat double")
+    low, high = _bounds(rounds, level)
+    ordered = stats.groupBy("by").agg(F.sort_array(F.collect_list("stat")).alias("stats"))  # a number for each round
+    return ordered.select("by", F.round(F.get("stats", F.lit(low)), 6).alias("low"), F.round(F.get("stats", F.lit(high)), 6).alias("high"))
+
+
+def _values(condition, value: str, most: int):
+    """Values in order; more than `most` are an error."""
+    held = F.sort_array(F.collect_list(F.when(condition, F.col(value).cast("double"))))
+    return F.when(F.size(held) > most, F.raise_error(F.concat(F.lit("a group has more values than "), F.lit(most)))).otherwise(held)
+
+
+def bootstrap_ci(df: DataFrame, by: str, value: str, seed: int = 1, rounds: int = 10_000, most: int = 1_000_000, level: float = 0.95) -> DataFrame:
+    """by, n, mean, low, high: percentile interval of each group's mean from means of values drawn with the fixed
+    generator, values in order of size. Groups are per-query metrics; one of more than `most` values is an error. Null
+    values don't count, and a group without any has no row."""
+    own = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("by")).agg(F.count("*").alias("n"), F.round(F.avg(F.col(value).cast("double")), 6).alias("mean"), _values(F.lit(True), value, most).alias("a"))
+    found = _intervals(own.select("by", "a"), ["a"], seed, rounds, level).withColumnRenamed("by", "_by")
+    return own.join(found, own["by"].eqNullSafe(found["_by"])).select(F.col("by").alias(by), "n", "mean", "low", "high")
+
+
+def bootstrap_delta_ci(df: DataFrame, by: str, side: str, value: str, a, b, seed: int = 1, rounds: int = 10_000, most: int = 1_000_000, level: float = 0.95) -> DataFrame:
+    """by, n_a, n_b, delta, low, high: difference of the means of rows whose `side` is a and b, and the percentile interval
+    of such differences, both sides drawn on their own; null bounds where a side has under two values."""
+    there = F.col(value).isNotNull()
+    is_a, is_b = (there & (F.col(side) == F.lit(x)) for x in (a, b))
+    own = df.groupBy(F.col(by).alias("by")).agg(F.count_if(is_a).alias("n_a"), F.count_if(is_b).alias("n_b"), F.round(F.avg(F.when(is_a, F.col(value).cast("double"))) - F.avg(F.when(is_b, F.col(value).cast("double"))), 6).alias("delta"), _values(is_a, value, most).alias("a"), _values(is_b, value, most).alias("b"))
+    enough = own.filter("n_a >= 2 AND n_b >= 2").select("by", "a", "b")
+    found = _intervals(enough, ["a", "b"], seed, rounds, level).withColumnRenamed("by", "_by")
+    return own.join(found, own["by"].eqNullSafe(found["_by"]), "left").select(F.col("by").alias(by), "n_a", "n_b", "delta", "low", "high")
 
 
 def describe(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -475,6 +475,11 @@ def hedges_g(spark, d):
     return evaluate.hedges_g(_lengths(spark, d), "quality", "n_chars", 1, 0)
 
 
-@query()
+@query("""WITH x AS (SELECT quality, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY quality ORDER BY n_chars) - 1 AS i FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL),
+    s AS (SELECT quality, count(*) AS n, avg(v) AS mean FROM x GROUP BY 1), k AS (SELECT quality, n, unnest(range(200 * n)) AS k FROM s),
+    a AS (SELECT quality, n, k, (1 + (k + 1)::UBIGINT * 1831565813::UBIGINT) & 4294967295::UBIGINT AS s FROM k), b AS (SELECT quality, n, k, (xor(s, s >> 15) * (s | 1::UBIGINT)) & 4294967295::UBIGINT AS t FROM a),
+    c AS (SELECT quality, n, k, xor(t, t + ((xor(t, t >> 7) * (t | 61::UBIGINT)) & 4294967295::UBIGINT)) & 4294967295::UBIGINT AS t FROM b), u AS (SELECT quality, n, k // n AS round, floor((xor(t, t >> 14) & 4294967295::UBIGINT) / 4294967296.0::DOUBLE * n)::BIGINT AS i FROM c),
+    m AS (SELECT quality, round, avg(v) AS stat FROM u JOIN x USING (quality, i) GROUP BY 1, 2), r AS (SELECT quality, stat, row_number() OVER (PARTITION BY quality ORDER BY stat) - 1 AS place FROM m)
+    SELECT quality, n, round(mean, 6) AS mean, round(max(stat) FILTER (place = 5), 6) AS low, round(max(stat) FILTER (place = 195), 6) AS high FROM s JOIN r USING (quality) GROUP BY quality, n, mean""")
 def bootstrap_ci(spark, d):
     return evaluate.bootstrap_ci(_lengths(spark, d), "quality", "n_chars", rounds=200)

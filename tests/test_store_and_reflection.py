@@ -111,3 +111,43 @@ def test_leads_are_told_once(spark):
     found = spark.createDataFrame([("t", 1, " One  lead"), ("t", 2, "one lead"), ("t", 3, "Done"), ("t", 4, "two")], "topic string, position int, lead string")
     done = spark.createDataFrame([("t", "done")], "topic string, lead string")
     assert [r.lead for r in crawl.leads(found, done).orderBy("lead").collect()] == [" One  lead", "two"]
+
+
+def draws_by_hand(seed):
+    """The generator, one number after another."""
+    state = seed & 0xFFFFFFFF
+    while True:
+        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+        t = ((state ^ (state >> 15)) * (state | 1)) & 0xFFFFFFFF
+        t = (t ^ (t + (((t ^ (t >> 7)) * (t | 61)) & 0xFFFFFFFF))) & 0xFFFFFFFF
+        yield ((t ^ (t >> 14)) & 0xFFFFFFFF) / 4294967296
+
+
+def test_any_stretch_of_the_generator_and_intervals_by_hand(spark, monkeypatch):
+    import itertools
+    import random
+
+    for seed in (1, 7, 4294967295):
+        whole = list(itertools.islice(draws_by_hand(seed), 500))
+        assert evaluate.mulberry32(seed, 0, 500).tolist() == whole and evaluate.mulberry32(seed, 123, 77).tolist() == whole[123:200]
+    dice = random.Random(6)
+    rows = [(g, s, float(dice.randint(0, 50))) for g in ("x", "y", None) for s in (0, 1, 2) for _ in range(dice.randint(2, 9))] + [("lone", 0, 1.0), ("lone", 1, 2.0), ("lone", 1, 3.0), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, side int, value double")
+    monkeypatch.setattr(evaluate, "DRAWN", 64)
+
+    def by_hand(sides, rounds):
+        draw, stats = draws_by_hand(3), []
+        for _ in range(rounds):
+            means = [sum(s[int(next(draw) * len(s))] for _ in s) / len(s) for s in sides]
+            stats.append(means[0] - (means[1] if len(means) > 1 else 0))
+        stats.sort()
+        return round(stats[int(0.025 * rounds)], 6), round(stats[min(rounds - 1, int(0.975 * rounds))], 6)
+
+    got = {r.g: (r.n, r.low, r.high) for r in evaluate.bootstrap_ci(df, "g", "value", 3, 600).collect()}
+    own = {g: sorted(v for h, _, v in rows if h == g and v is not None) for g in ("x", "y", None, "lone")}
+    assert got == {g: (len(v), *by_hand([v], 600)) for g, v in own.items()}
+    told = {r.g: (r.n_a, r.n_b, r.low, r.high) for r in evaluate.bootstrap_delta_ci(df, "g", "side", "value", 0, 1, 3, 600).collect()}
+    for g in ("x", "y", None):
+        a, b = (sorted(v for h, s, v in rows if (h, s) == (g, i)) for i in (0, 1))
+        assert told[g] == (len(a), len(b), *by_hand([a, b], 600))
+    assert told["lone"] == (1, 2, None, None) and told["none"] == (0, 0, None, None)

@@ -1,6 +1,7 @@
 """Every registered query against the same computation in DuckDB, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from mnemolake import audit_queries, model_queries, note_queries, page_queries, queries, stream_queries, text_queries  # noqa: F401  (register their queries)
@@ -21,7 +22,12 @@ def duck():
 
 def rows(pdf):
     columns = sorted(pdf.columns)
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+
+    def plain(v):
+        if hasattr(v, "tolist") and getattr(v, "ndim", 0) or isinstance(v, list):
+            return tuple(map(plain, v))
+        return None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+
     return columns, sorted((tuple(map(plain, r)) for r in pdf[columns].astype(object).itertuples(index=False, name=None)), key=repr)
 
 

@@ -14,7 +14,8 @@ The item side's keys filter documents' windows where they are made if there are
 windows go into the join. Items shorter than a window are compared as a whole. Windows of a longer item with fewer than
 LITERALS words that aren't placeholders say nothing and are left out. An item of one window with so few, but FEWEST at
 least, is looked for as a sentence of its own: "What is 99 plus 7?" for "What is 12 plus 30?", but not within a longer
-sentence. Items of fewer than SHORTEST words say nothing, wherever they stand.
+sentence; one of two or three words, none of them a placeholder, is found anywhere. Items of fewer than SHORTEST words say
+nothing, wherever they stand.
 
 Null and empty texts match nothing; a window that occurs in several items counts for each; repeated rows give repeated
 results; an empty table of documents or items gives an empty result. Items without an item_id can't be told and are left
@@ -34,7 +35,7 @@ from mnemolake.llm.words import U64, grams, lower_table, mix, starts_of, words
 
 K, LITERALS = 8, 4
 #: Words of an item, and those that aren't placeholders in one of a single window, at least.
-SHORTEST, FEWEST = 3, 2
+SHORTEST, FEWEST = 2, 2
 #: Share of an item's windows, and of its slots, that a match needs; and how far its diagonals may lie apart.
 ENOUGH, CONSISTENT, NEAR = 0.5, 0.8, 6
 #: Share of an item's words that make a match whatever its share of windows.
@@ -150,7 +151,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                         literals = int((own.kind[i + at : i + at + size] == 3).sum())
                         if literals >= (FEWEST if size == j - i else LITERALS):
                             gram, slots = own.window(i + at, size)
-                            hits.append({"form": form, "n_words": j - i, "size": size, "hash": int(h[at]), "place": at, "alone": literals < LITERALS, "gram": gram, "slots": slots})
+                            hits.append({"form": form, "n_words": j - i, "size": size, "hash": int(h[at]), "place": at, "alone": literals < min(LITERALS, size), "gram": gram, "slots": slots})
                 found[item] += [hit | {"n_windows": len(hits)} for hit in hits]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _HIT)], ["doc_id", "hits"])
 

@@ -108,7 +108,7 @@ def test_names_at_the_start_numbers_capitals_and_one_other_word(spark):
     docs = [(1, renamed), (2, "so, what is 12 times 7? 84"), (3, ITEM.upper()), (4, "seven of the old boats lay on the shore when the storm came over the hills at night"), (5, "what is 13 times 7? the boats lay on the beach")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect()}
-    assert got == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 2)}  # a short item with another number, as a sentence of its own, counts too
 
 
 def test_exact_passages_of_the_benchmark(spark):

@@ -6,7 +6,8 @@ can move a segment to. Lines that meet are verified with a banded bit-parallel e
 
 1. Rows are gathered in batches, which ask each other (see `asking`) which of their distinct lines are the first of all.
 2. Batches ask which segments and probes of those lines others have too. Only lines with such keys leave their batch,
-   once, with their content; so neither texts nor keys without a partner are shuffled.
+   once, with their content; keys without a partner aren't shuffled as rows. The packed batches themselves are, where
+   the answers are joined to them.
 3. Lines of one key are compared in pairs. A key that more than BUCKET lines have (hot) is compared block against block
    in tasks of their own; a pair is looked at only under the smallest hot key that it shares, and only the later lines
    leave a task. The work on a hot key still grows with the square of its distinct lines.

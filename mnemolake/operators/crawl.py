@@ -107,8 +107,11 @@ def consolidation_plan(topics: DataFrame, least: int = 2, model: bool = False):
 def robots_gate(urls: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
     """url, allowed: by the rules of hosts whose robots.txt is known; others are open."""
     from mnemolake.operators.filters import robots_allowed
+    from mnemolake.operators.ranking import MOST_TERMS
 
-    told = robots_allowed(urls, rules).join(known.select("host").distinct().withColumn("_known", F.lit(True)), "host", "left")
+    hosts = known.select("host").distinct()
+    small = F.broadcast if hosts.count() <= MOST_TERMS else (lambda df: df)  # as there, hosts are of any size
+    told = robots_allowed(urls, rules).join(small(hosts.withColumn("_known", F.lit(True))), "host", "left")
     return told.select("url", (F.col("allowed") | F.col("_known").isNull()).alias("allowed"))
 
 

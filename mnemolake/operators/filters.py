@@ -73,7 +73,11 @@ def not_english(text: str, stopwords: tuple[str, ...] = ("el", "la", "los", "que
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls: url, host, path; rules: host, prefix, allow. Adds allowed: the longest prefix decides, allow wins ties, and
     without a rule a path is allowed."""
-    hit = urls.join(rules.withColumnRenamed("host", "rule_host"), (F.col("host") == F.col("rule_host")) & F.expr("startswith(path, prefix)"), "left")
+    from mnemolake.operators.ranking import MOST_TERMS, by_key
+
+    # a join by host would bring all addresses of a large host to one task
+    small = F.broadcast if rules.count() <= MOST_TERMS else (lambda df: df)
+    hit = by_key(urls.select("url", "host", "path"), "url").join(small(rules.withColumnRenamed("host", "rule_host")), (F.col("host") == F.col("rule_host")) & F.expr("startswith(path, prefix)"), "left")
     size = F.length("prefix")
     best = hit.groupBy("url", "host", "path").agg(F.max(F.when(F.col("allow"), size)).alias("yes"), F.max(F.when(~F.col("allow"), size)).alias("no"))
     return best.select("url", "host", "path", (F.coalesce("yes", F.lit(0)) >= F.coalesce("no", F.lit(0))).alias("allowed"))

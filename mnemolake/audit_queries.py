@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemolake.operators import audit, knowledge, notes, packing
+from mnemolake.operators import audit, knowledge, notes, packing, ranking
 from mnemolake.plans import search
 from mnemolake.queries import _TOKENS, query
 from mnemolake.sources.tables import table
@@ -23,7 +23,8 @@ def _notes(spark, d):
     key = F.col("o_orderkey")
     status = F.when(key % 4 == 0, "hypothesis").when(key % 4 == 1, "confirmed").otherwise("draft")
     text = F.concat(F.lit("---\nstatus: "), status, F.lit("\n---\n- placed_by [[c"), "o_custkey", F.lit("]]\nsee [[ORDERS/O"), (key + 1).cast("string"), F.lit("|next]] and `[[code]]`"), F.when(key % 50 == 0, "\n<<<<<<< HEAD").otherwise(""))
-    orders = table(spark, d, "orders").select(F.concat(F.lit("ORDERS/o"), "o_orderkey", F.lit(".md")).alias("path"), text.alias("text"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+    # the file is small, what is made of its rows and parsed isn't
+    orders = ranking.spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(F.concat(F.lit("ORDERS/o"), "o_orderkey", F.lit(".md")).alias("path"), text.alias("text"), F.col("o_orderdate").cast("timestamp").alias("modified"))
     return customers.unionByName(orders)
 
 

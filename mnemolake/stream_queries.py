@@ -32,6 +32,16 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return raw.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
 
 
+#: Bytes of the table's files to a shard: some 13,000 events.
+SHARD_BYTES = 256 << 10
+
+
+def _shards(spark: SparkSession, d: str) -> int:
+    """Shards whose number grows with the table, so what one holds doesn't."""
+    size = int(spark.read.parquet(f"{d}/events.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(timed.SHARDS, -(-size // SHARD_BYTES)) if size < 1 << 50 else timed.SHARDS
+
+
 @query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e),
     g AS (SELECT user_id, burst, count(*) AS n, min(ts) AS first, max(ts) AS last FROM b GROUP BY 1, 2)
@@ -70,8 +80,8 @@ def breaker_attempts(spark, d):
 def cached_pages(spark, d):
     own = _own(spark)
     body = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("b"), "event_id"))
-    asked = _events(own, d).select("user_id", F.col("event_type").alias("url"), body.alias("body"), (F.col("event_id") % 4 != 0).alias("ok"), "at")
-    out = _drained(timed.page_cache(asked, "user_id", ttl="2 days", keep="365 days"), session.work_folder(spark, "pages"))
+    asked = _events(own, d).select("user_id", F.col("event_type").alias("url"), body.alias("body"), (F.col("event_id") % 4 != 0).alias("ok"), "event_id", "at")
+    out = _drained(timed.page_cache(asked, "user_id", ttl="2 days", keep="365 days", order=("event_id",), shards=_shards(spark, d)), session.work_folder(spark, "pages"))
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 

@@ -48,7 +48,7 @@ def _shards(spark: SparkSession, d: str) -> int:
     SELECT user_id, n, first, last FROM g WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
 def debounced_changes(spark, d):
     own = _own(spark)
-    out = _drained(timed.debounce(_events(own, d), "user_id", quiet="6 hours"), session.work_folder(spark, "debounce"))
+    out = _drained(timed.debounce(_events(own, d), "user_id", quiet="6 hours", shards=_shards(spark, d)), session.work_folder(spark, "debounce"))
     return out.select("user_id", "n", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")))
 
 
@@ -65,7 +65,7 @@ def debounced_changes(spark, d):
 def breaker_attempts(spark, d):
     own = _own(spark)
     tries = _events(own, d).withColumn("ok", F.col("event_type") != "error")
-    out = _drained(timed.circuit_breaker(tries, "user_id", limit=2, cooldown="12 hours", forget="3 days"), session.work_folder(spark, "breaker"))
+    out = _drained(timed.circuit_breaker(tries, "user_id", limit=2, cooldown="12 hours", forget="3 days", shards=_shards(spark, d)), session.work_folder(spark, "breaker"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "open_until")})
 
 

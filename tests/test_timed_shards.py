@@ -92,3 +92,30 @@ def test_cached_pages_of_one_time_come_in_order_of_events(spark, tmp_path, tied)
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     got = queries.QUERIES["cached_pages"](spark, str(tmp_path)).select("user_id", "at", "url", "body", "served").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(c.sql(queries.SQL["cached_pages"]).fetchall(), key=repr)
+
+
+def bursts(batches, quiet):
+    """The same of each key, one change after another; what isn't quiet at the end isn't told."""
+    by, out = {}, []
+    for key, t in sorted(((r[0], r[-1]) for rows in batches for r in rows), key=lambda r: r[1]):
+        mine = by.setdefault(key, [])
+        if mine and seconds(t) - seconds(mine[-1][2]) < quiet:
+            mine[-1] = (mine[-1][0] + 1, mine[-1][1], t)
+        else:
+            mine.append((1, t, t))
+    end = max(seconds(r[-1]) for rows in batches for r in rows)
+    return sorted(((key, *b) for key, mine in by.items() for b in mine if seconds(b[2]) + quiet <= end), key=repr)
+
+
+@pytest.mark.parametrize("shards", [3, timed.SHARDS])
+def test_bursts_of_many_keys(replay, shards):
+    batches = [[(r[0], r[-1]) for r in rows] for rows in requests(random.Random(2))]
+    got, timers = replay("path long, at timestamp", batches, lambda s: timed.debounce(s, "path", quiet="6 seconds", shards=shards))
+    assert got == bursts(batches, 6)
+    assert 0 < timers <= shards
+
+
+def test_a_stream_sets_a_timer_for_a_shard(replay):
+    rows = [(f"k{i}", at(i % 5)) for i in range(1000)]
+    got, timers = replay("path string, at timestamp", [rows], lambda s: timed.debounce(s, "path", quiet="2 seconds"))
+    assert len(got) == 600 and 0 < timers <= timed.SHARDS
